@@ -75,16 +75,17 @@ def running(
 ) -> DataFrame:
     """Add running ``sum`` or ``max`` columns, in ``order`` within ``keys``.
 
-    ``order`` must be unique within a group, and ``df`` cheap to read twice: the
-    sizes of the groups are counted first.  The count is pre-aggregated and only two
-    numbers reach the driver.
+    ``order`` must be unique within a group, and ``df`` cheap to read twice: its rows
+    are counted first, and its groups when there are many rows.  The counts are
+    pre-aggregated and only one number reaches the driver.
     """
     limit = hot_rows or HOT_ROWS
-    sizes = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
-    if sizes[0] is None or sizes[0] <= limit:
-        return _whole_groups(df, keys, order, totals)
-    slices = 2 * -(-sizes[1] // limit)
-    return _sliced_groups(df, keys, order, totals, slices)
+    total = df.count()
+    if total > limit:
+        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+        if largest > limit:
+            return _sliced_groups(df, keys, order, totals, 2 * -(-total // limit))
+    return _whole_groups(df, keys, order, totals)
 
 
 def numbered(
