@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from appcensus.functions.keys import IDENTITY_KEYS, identity_keys
 from appcensus.operators.dedupe import entry_struct, preference
-from appcensus.schema import ENTRY_COLUMNS, ENTRY_SCHEMA
+from appcensus.schema import ENTRY_COLUMNS
 
 # The fields compared between two rows of one application, in order.
 COMPARED_FIELDS = (
@@ -118,19 +118,3 @@ def diff_summary(diff: DataFrame, pair: list[str], pairs: DataFrame | None = Non
     if pairs is not None:
         summary = pairs.select(*pair).distinct().join(summary, pair, "left").fillna(0, list(STATUSES))
     return summary
-
-
-def diff_order() -> list[Column]:
-    """Order of a diff: section, then name and path; changed rows by name and identity."""
-    section = F.element_at(
-        F.create_map(*[F.lit(v) for i, s in enumerate(STATUSES) for v in (s, i)]), F.col("status")
-    )
-    path = F.when(
-        F.col("status").isin(ADDED, REMOVED),
-        F.coalesce(F.col("new")["registry_path"], F.col("old")["registry_path"]),
-    )
-    return [section, F.lower(F.col("name")), path, *[F.col(key) for key in IDENTITY_KEYS]]
-
-
-def field_type(field: str) -> str:
-    return ENTRY_SCHEMA[field].dataType.simpleString()

@@ -168,3 +168,167 @@ def fleet_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[values[name].alias(name) for name in ENTRY_COLUMNS],
         F.expr(CAPTURE["ord"]).alias(ORD),
     )
+
+
+# Captures as text.  Each row of a driver table makes one capture, so that no rows are
+# gathered to build it.
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a package catalog; some ids are local and some names carry no version."""
+    return table(spark, sf_dir, "part").select(
+        F.expr(
+            "case when p_partkey % 3 = 0 then p_name"
+            " else concat(p_name, ' ', cast(p_size as string), '.0') end"
+        ).alias("name"),
+        F.expr(
+            "concat(case when p_partkey % 10 = 0 then 'ARP\\\\' else '' end,"
+            " p_brand, '.', cast(p_partkey as string))"
+        ).alias("package_id"),
+        F.expr("concat(cast(p_size as string), '.0')").alias("version"),
+        F.expr("case p_partkey % 4 when 0 then '' when 1 then 'msstore' else 'winget' end").alias(
+            "source"
+        ),
+        F.col("p_partkey").alias(ORD),
+    )
+
+
+def snapshot_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as snapshot files, some of them malformed in one way each."""
+    item = (
+        "concat('{{\"name\":\" App {n} ', o_custkey, '\",\"version\":{n},\"publisher\":\"',"
+        " o_orderpriority, '\",\"estimated_size_kb\":\"{n}_000\",\"system_component\":{flag},"
+        "\"source\":\"{source}\"}}')"
+    )
+    items = ", ".join(
+        item.format(n=n, flag=flag, source=source)
+        for n, flag, source in ((1, "true", "REGISTRY"), (2, '"no"', "Appx"), (3, "2", " "))
+    )
+    software = (
+        f"concat('[', array_join(slice(array({items}), 1, cast(o_orderkey % 4 as int)), ','),"
+        " case when o_orderkey % 4 = 0 then '' else ',' end,"
+        " case o_orderkey % 11 when 2 then '{\"version\":\"1\"}'"
+        " when 3 then '{\"name\":\"x\",\"estimated_size_kb\":\"big\"}' else '17' end, ']')"
+    )
+    scan = (
+        "concat('{\"hostname\":\"host-', o_custkey % 20, '\",\"started_at\":\"',"
+        " date_format(o_orderdate, 'yyyy-MM-dd'), 'T06:00:00Z\"}')"
+    )
+    text = (
+        "case o_orderkey % 11 when 0 then software"
+        " when 1 then concat('{\"schema_version\":\"9.9\",\"software\":', software, '}')"
+        " when 4 then concat('\ufeff{\"schema_version\":\"1.1\",\"scan\":', scan,"
+        " ',\"software\":', software, '}')"
+        " when 5 then concat('{\"schema_version\":', software)"
+        " when 6 then concat('{\"software\":', software, '}')"
+        " else concat('{\"schema_version\":\"1.2\",\"scan\":', scan, ',\"software\":', software, '}')"
+        " end"
+    )
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    parts = orders.select(
+        "o_orderkey", F.expr(software).alias("software"), F.expr(scan).alias("scan")
+    )
+    return parts.select(
+        F.expr("concat('snapshot-', cast(o_orderkey as string))").alias("path"),
+        F.expr(text).alias("text"),
+    )
+
+
+def package_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as captured package listings of two packages each; some are unreadable."""
+    first = (
+        "concat('{\"name\":\"Vendor.App', o_custkey, '\",\"family\":\"Vendor.App', o_custkey,"
+        " '_fam\",\"display_name\":\"', case o_orderkey % 3 when 0 then 'ms-resource:Title'"
+        " when 1 then ' ' else concat('App ', o_custkey) end, '\",\"publisher\":\"CN=Maker ',"
+        " o_custkey, case when o_orderkey % 2 = 0 then ', O=Firm, C=US' else '' end,"
+        " '\",\"version\":\"1.', o_orderkey % 5, '.0.0\",\"architecture\":\"',"
+        " case o_orderkey % 4 when 0 then 'X64' when 1 then 'X86' when 2 then 'Arm64'"
+        " else 'Other' end, '\",\"installed_date\":\"', date_format(o_orderdate, 'yyyy-MM-dd'),"
+        " 'T10:00:00+08:00\",\"is_framework\":', o_orderkey % 5 = 0, '}')"
+    )
+    second = (
+        "concat('{\"name\":\"Extra\",\"publisher_display_name\":\"', o_orderpriority,"
+        " '\",\"is_resource\":\"', case when o_orderkey % 3 = 0 then 'Yes' else 'no' end,"
+        " '\",\"signature_kind\":\"', case when o_orderkey % 7 = 0 then 'System' else 'Store' end,"
+        " '\"}')"
+    )
+    text = (
+        f"case o_orderkey % 13 when 0 then '' when 1 then {first} when 2 then '{{\"name\":'"
+        f" when 3 then '42' else concat('[', {first}, ',8,', {second}, ']') end"
+    )
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(
+        F.expr("concat('host-', lpad(cast(o_custkey % 20 as string), 2, '0'))").alias("host"),
+        F.expr("concat('scan-', cast(o_orderkey as string))").alias("snapshot_id"),
+        F.expr(text).alias("text"),
+    )
+
+
+def catalog_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as catalog files; some are malformed."""
+    row = (
+        "concat('{\"name\":\"', p_name, '\",\"', case when p_partkey % 2 = 0 then 'id'"
+        " else 'package_id' end, '\":\"', p_brand, '.', p_partkey, '\",\"version\":', p_size,"
+        " ',\"source\":\"', case when p_partkey % 3 = 0 then '' else ' winget ' end, '\"}')"
+    )
+    text = (
+        f"case p_partkey % 7 when 0 then concat('{{\"packages\":[', {row}, ',', {row}, ']}}')"
+        f" when 1 then concat('[', {row}, ',3]') when 2 then concat('[', {row}, ',{{\"name\":\"z\"}}]')"
+        f" when 3 then '{{\"none\":1}}' else concat('[', {row}, ']') end"
+    )
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(
+        F.expr("concat('catalog-', cast(p_partkey as string))").alias("path"),
+        F.expr(text).alias("text"),
+    )
+
+
+def listing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as captured text listings of three packages; some have no header."""
+    head = (
+        "concat(rpad('Name', 24, ' '), rpad('Id', 20, ' '), rpad('Version', 10, ' '),"
+        " rpad('Available', 10, ' '), 'Source')"
+    )
+
+    def line(name: str, ident: str, version: str, source: str) -> str:
+        return (
+            f"concat(rpad({name}, 24, ' '), rpad({ident}, 20, ' '), rpad({version}, 10, ' '),"
+            f" rpad('', 10, ' '), {source})"
+        )
+
+    lines = (
+        "case when c_custkey % 5 = 0 then 'Loading' else '' end",
+        f"case when c_custkey % 9 = 0 then 'nothing found' else {head} end",
+        "repeat('-', 70)",
+        line("c_name", "concat('Firm.', c_custkey)", "'1.0'", "'winget'"),
+        "'  noise'",
+        line("concat('Store ', c_custkey)", "'Store.App'", "''", "' msstore'"),
+        line("'Local'", "concat('ARP\\\\', c_custkey)", "'2.5'", "''"),
+        line("''", "'No.Name'", "'1'", "'winget'"),
+    )
+    joined = f"array_join(array({', '.join(lines)}), '\\r\\n')"
+    return spread(table(spark, sf_dir, "customer"), "c_custkey").select(
+        F.expr("concat('listing-', cast(c_custkey as string))").alias("path"),
+        F.expr(joined).alias("text"),
+    )
+
+
+def registry_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured rows of the fleet as single registry values."""
+    values = {
+        "DisplayName": "raw_name",
+        "DisplayVersion": "raw_version",
+        "Publisher": "raw_publisher",
+        "InstallDate": "raw_date",
+        "InstallLocation": "raw_location",
+        "EstimatedSize": "raw_size",
+        "UninstallString": "raw_uninstall",
+        "ReleaseType": "raw_release",
+        "SystemComponent": "raw_system",
+    }
+    pairs = [F.lit(name) if i == 0 else F.col(raw) for name, raw in values.items() for i in (0, 1)]
+    return captured(spark, sf_dir).select(
+        *GROUP,
+        "view",
+        F.col("mark").alias("sub_name"),
+        F.col("ord").alias("key_ord"),
+        F.explode(F.create_map(*pairs)).alias("value_name", "value"),
+    )
