@@ -7,7 +7,15 @@ from appcensus.functions.keys import IMPORTABLE_SOURCES
 from appcensus.functions.text import clean, lstrip, strip
 from appcensus.schema import ORD
 from appcensus.sources.files import without_bom
-from appcensus.sources.variants import as_filled_text, as_text, field, is_array, is_object, kind
+from appcensus.sources.variants import (
+    as_filled_text,
+    as_text,
+    field,
+    is_array,
+    is_object,
+    kind,
+    worked_out,
+)
 
 COLUMNS = ("Name", "Id", "Version", "Available", "Source")
 
@@ -20,13 +28,13 @@ def parse_catalogs(texts: DataFrame) -> DataFrame:
     """One row per catalog file: ``status``, ``reason`` and the package values."""
     doc = F.col("_doc")
     items = F.col("_items")
-    parsed = texts.withColumn("_doc", F.try_parse_json(without_bom(F.col("text")))).withColumn(
-        "_list",
-        F.when(is_object(doc) & field(doc, "packages").isNotNull(), field(doc, "packages")).otherwise(
-            doc
-        ),
+    parsed = worked_out(texts, "_doc", F.try_parse_json(without_bom(F.col("text"))))
+    inner = field(doc, "packages")
+    parsed = worked_out(
+        parsed, "_list", F.when(is_object(doc) & inner.isNotNull(), inner).otherwise(doc)
     )
-    parsed = parsed.withColumn(
+    parsed = worked_out(
+        parsed,
         "_items",
         F.when(is_array(F.col("_list")), F.try_variant_get("_list", "$", "array<variant>")),
     )
@@ -42,7 +50,7 @@ def parse_catalogs(texts: DataFrame) -> DataFrame:
             "a row has no name or id",
         )
     )
-    return parsed.withColumn("reason", reason).select(
+    return worked_out(parsed, "reason", reason).select(
         "path",
         F.when(F.col("reason").isNull(), "ok").otherwise("bad").alias("status"),
         "reason",
@@ -85,14 +93,9 @@ def parse_listing_texts(texts: DataFrame) -> DataFrame:
         ),
         lambda line: strip(line) != "",
     )
-    # Positions of the lines that look like a header; the first one is it.
-    found = F.filter(
-        F.sequence(F.lit(1), F.size("_lines")),
-        lambda at: _is_header(F.element_at("_lines", at.cast("int"))),
-    )
-    parsed = texts.withColumn("_lines", lines).withColumn(
-        "_at", F.when(F.size("_lines") > 0, F.try_element_at(found, F.lit(1)))
-    )
+    parsed = worked_out(texts, "_lines", lines)
+    header_at = F.array_position(F.transform("_lines", _is_header), F.lit(True))
+    parsed = worked_out(parsed, "_at", F.when(header_at > 0, header_at))
     parsed = parsed.withColumn("_header", F.try_element_at("_lines", F.col("_at").cast("int")))
     starts = {
         label: F.when(F.contains(F.col("_header"), F.lit(label)), F.instr("_header", label))

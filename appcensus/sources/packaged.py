@@ -7,7 +7,7 @@ from appcensus.functions import values as V
 from appcensus.functions.text import clean, folded, is_true_word, strip
 from appcensus.schema import APPX_SCHEMA, ENTRY_COLUMNS, GROUP, ORD, SOURCE_APPX
 from appcensus.sources.files import BOM
-from appcensus.sources.variants import as_text, is_array, is_object
+from appcensus.sources.variants import fields_of, is_array, is_object, shown_text, worked_out
 
 # Fixed value: the label of this source in a report.
 SOURCE_LABEL = "Appx/MSIX packages [Windows.Management.Deployment.PackageManager, current user]"
@@ -21,9 +21,8 @@ def parse_listings(captures: DataFrame) -> DataFrame:
     """
     body = F.ltrim(strip(F.col("text")), F.lit(BOM))
     doc = F.col("_doc")
-    parsed = captures.withColumn("_blank", F.coalesce(body == "", F.lit(True))).withColumn(
-        "_doc", F.try_parse_json(body)
-    )
+    parsed = captures.withColumn("_blank", F.coalesce(body == "", F.lit(True)))
+    parsed = worked_out(parsed, "_doc", F.try_parse_json(body))
     reason = F.when(~F.col("_blank") & doc.isNull(), "invalid JSON").when(
         ~F.col("_blank") & ~is_object(doc) & ~is_array(doc), "not a list of packages"
     )
@@ -32,7 +31,7 @@ def parse_listings(captures: DataFrame) -> DataFrame:
         .when(is_object(doc), F.array(doc))
         .otherwise(F.filter(F.try_variant_get(doc, "$", "array<variant>"), is_object))
     )
-    return parsed.withColumn("reason", reason).select(
+    return worked_out(parsed, "reason", reason).select(
         *[name for name in captures.columns if name != "text"],
         F.when(F.col("reason").isNull(), "ok").otherwise("bad").alias("status"),
         "reason",
@@ -45,9 +44,12 @@ def packages_of(listings: DataFrame) -> DataFrame:
     rows = listings.filter(F.col("status") == "ok").select(
         *GROUP, F.posexplode("items").alias(ORD, "_item")
     )
+    names = APPX_SCHEMA.fieldNames()
+    raw, text = fields_of(F.col("_item"), names)
+    rows = worked_out(worked_out(rows, "_raw", raw), "_text", text)
     return rows.select(
         *GROUP,
-        *[as_text(F.col("_item"), name).alias(name) for name in APPX_SCHEMA.fieldNames()],
+        *[shown_text(F.col("_raw")[n], F.col("_text")[n]).alias(n) for n in names],
         F.col(ORD).cast("bigint").alias(ORD),
     )
 

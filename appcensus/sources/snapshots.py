@@ -14,18 +14,24 @@ from appcensus.schema import (
     SOURCE_REGISTRY,
 )
 from appcensus.sources.files import without_bom
-from appcensus.sources.variants import as_text, field, is_array, is_object, kind, truthy
+from appcensus.sources.variants import (
+    field,
+    fields_of,
+    is_array,
+    is_object,
+    is_truthy,
+    kind,
+    shown_text,
+    worked_out,
+)
 
 _SIZE = "estimated_size_kb"
 
 
-def _size(item: Column) -> Column:
+def _size(raw: Column, text: Column) -> Column:
     """Size of a stored row: negatives stay, fractions of numbers are cut off."""
-    text = F.try_variant_get(item, f"$.{_SIZE}", "string")
     whole = F.replace(clean(text), F.lit("_"), F.lit("")).try_cast("bigint")
-    return F.when(kind(field(item, _SIZE)) == "STRING", whole).otherwise(
-        F.try_variant_get(item, f"$.{_SIZE}", "bigint")
-    )
+    return F.when(kind(raw) == "STRING", whole).otherwise(F.try_variant_get(raw, "$", "bigint"))
 
 
 def _bad_size(item: Column) -> Column:
@@ -53,8 +59,10 @@ def parse_snapshots(texts: DataFrame) -> DataFrame:
     """
     doc = F.col("_doc")
     items = F.col("_items")
-    parsed = texts.withColumn("_doc", F.try_parse_json(without_bom(F.col("text"))))
-    parsed = parsed.withColumn("_is_report", is_object(doc)).withColumn(
+    parsed = worked_out(texts, "_doc", F.try_parse_json(without_bom(F.col("text"))))
+    parsed = parsed.withColumn("_is_report", is_object(doc))
+    parsed = worked_out(
+        parsed,
         "_items",
         F.when(is_array(doc), F.try_variant_get(doc, "$", "array<variant>")).otherwise(
             F.try_variant_get(doc, "$.software", "array<variant>")
@@ -81,7 +89,7 @@ def parse_snapshots(texts: DataFrame) -> DataFrame:
         )
     )
     scan = F.try_variant_get(doc, "$.scan", SCAN_SCHEMA.simpleString())
-    return parsed.withColumn("reason", reason).select(
+    return worked_out(parsed, "reason", reason).select(
         "path",
         F.when(F.col("reason").isNull(), "ok").otherwise("bad").alias("status"),
         "reason",
@@ -102,23 +110,29 @@ def snapshot_table(parsed: DataFrame) -> DataFrame:
     )
 
 
-def rehydrate(item: Column) -> dict[str, Column]:
-    """Entry fields of one stored row."""
-    fields = {name: as_text(item, name) for name in ENTRY_COLUMNS}
+def rehydrate(raw: Column, text: Column) -> dict[str, Column]:
+    """Entry fields out of the fields of a stored row."""
+    fields = {
+        name: shown_text(raw[name], text[name])
+        for name in ENTRY_COLUMNS
+        if name not in (_SIZE, "system_component")
+    }
     fields["scope"] = F.coalesce(fields["scope"], F.lit("unknown"))
     fields["architecture"] = F.coalesce(fields["architecture"], F.lit("unknown"))
     fields["registry_path"] = F.coalesce(fields["registry_path"], F.lit(""))
     fields["source"] = F.lower(F.coalesce(fields["source"], F.lit(SOURCE_REGISTRY)))
-    fields[_SIZE] = _size(item)
-    fields["system_component"] = truthy(item, "system_component")
+    fields[_SIZE] = _size(raw[_SIZE], text[_SIZE])
+    fields["system_component"] = is_truthy(raw["system_component"], text["system_component"])
     return fields
 
 
 def snapshot_entries(snapshots: DataFrame) -> DataFrame:
     """Rows of the snapshots; items that are no objects are skipped."""
     rows = snapshots.select(*GROUP, "scan_ts", F.posexplode("items").alias(ORD, "_item"))
-    rows = rows.filter(is_object(F.col("_item")))
-    fields = rehydrate(F.col("_item"))
+    raw, text = fields_of(F.col("_item"), ENTRY_COLUMNS)
+    rows = worked_out(rows.filter(is_object(F.col("_item"))), "_raw", raw)
+    rows = worked_out(rows, "_text", text)
+    fields = rehydrate(F.col("_raw"), F.col("_text"))
     return rows.select(
         *GROUP,
         "scan_ts",

@@ -1,11 +1,20 @@
 """Reading of loosely typed JSON values."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from appcensus.functions.text import clean, is_true_word
 
 
+def worked_out(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that later expressions read instead of working it out again.
+
+    The optimizer folds a plain projection into what uses it, once per use, which for
+    parsed JSON costs far more than the row a generator makes.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def kind(value: Column) -> Column:
     """Schema name of a JSON value, such as ``OBJECT<...>`` or ``BIGINT``."""
     return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
@@ -24,10 +33,37 @@ def field(value: Column, name: str) -> Column:
 
 
 def as_text(value: Column, name: str) -> Column:
+    return shown_text(field(value, name), F.try_variant_get(value, f"$.{name}", "string"))
+
+
+def fields_of(value: Column, names) -> tuple[Column, Column]:
+    """All the named fields at once, as raw values and as text."""
+    raw = ",".join(f"{name}:variant" for name in names)
+    text = ",".join(f"{name}:string" for name in names)
+    return (
+        F.try_variant_get(value, "$", f"struct<{raw}>"),
+        F.try_variant_get(value, "$", f"struct<{text}>"),
+    )
+
+
+def shown_text(raw: Column, text: Column) -> Column:
     """A field as cleaned text.  Truth values read ``True`` and ``False``."""
-    text = F.try_variant_get(value, f"$.{name}", "string")
-    shown = F.when(kind(field(value, name)) == "BOOLEAN", F.initcap(text)).otherwise(text)
-    return clean(shown)
+    # The kind of a value is looked up only where its text leaves it open.
+    truth = text.isin("true", "false") & (kind(raw) == "BOOLEAN")
+    return clean(F.when(truth, F.initcap(text)).otherwise(text))
+
+
+def is_truthy(raw: Column, text: Column) -> Column:
+    """Words for yes in text; otherwise anything but zero, false and nothing."""
+    shape = kind(raw)
+    return F.coalesce(
+        F.when(shape == "STRING", is_true_word(text))
+        .when(shape == "BOOLEAN", text == "true")
+        .when(F.startswith(shape, F.lit("ARRAY")), text != "[]")
+        .when(F.startswith(shape, F.lit("OBJECT")), text != "{}")
+        .otherwise(text.try_cast("double") != 0),
+        F.lit(False),
+    )
 
 
 def as_filled_text(value: Column, name: str) -> Column:
@@ -40,17 +76,3 @@ def as_filled_text(value: Column, name: str) -> Column:
         F.lit(False),
     )
     return F.when(~empty, as_text(value, name))
-
-
-def truthy(value: Column, name: str) -> Column:
-    """Words for yes in text; otherwise anything but zero, false and nothing."""
-    shape = kind(field(value, name))
-    text = F.try_variant_get(value, f"$.{name}", "string")
-    return F.coalesce(
-        F.when(shape == "STRING", is_true_word(text))
-        .when(shape == "BOOLEAN", F.try_variant_get(value, f"$.{name}", "boolean"))
-        .when(F.startswith(shape, F.lit("ARRAY")), ~text.isin("[]"))
-        .when(F.startswith(shape, F.lit("OBJECT")), ~text.isin("{}"))
-        .otherwise(F.try_variant_get(value, f"$.{name}", "double") != 0),
-        F.lit(False),
-    )
