@@ -1,8 +1,8 @@
 """The queries of this package and their SQL equivalents."""
 
-from appcensus.llm import exact_dedup, mixing, quality_rules
+from appcensus.llm import exact_dedup, mixing, ngram_join, quality_rules
 
-MODULES = (exact_dedup, mixing, quality_rules)
+MODULES = (exact_dedup, mixing, ngram_join, quality_rules)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}

@@ -1,7 +1,9 @@
 """Reading inputs and writing the intermediate tables that cut lineage."""
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +47,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def whole_text(column: str = "text"):
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def _ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_llm_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(os.path.dirname(package))
+    archive = os.path.join(tempfile.mkdtemp(prefix="llm-code-"), "llm_code.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        out.write(os.path.join(os.path.dirname(package), "__init__.py"), "appcensus/__init__.py")
+        for name in sorted(os.listdir(package)):
+            if name.endswith(".py"):
+                path = os.path.join(package, name)
+                out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    context._llm_shipped = True
+
+
+def in_python(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand where the function runs."""
+    _ship(df.sparkSession)
+    return df.mapInArrow(function, schema)

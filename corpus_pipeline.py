@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from appcensus.llm import exact_dedup, mixing, quality_rules
+from appcensus.llm import exact_dedup, mixing, ngram_join, quality_rules
 from appcensus.llm.tables import documents, new_path, written
 
 
@@ -23,6 +23,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_new(docs, index)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    return ngram_join.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed(docs)
@@ -31,6 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", drop_poor),
     ("exact_dedup", drop_copies),
+    ("ngram_join", drop_near_copies),
     ("mixing", mix_sources),
 ]
 
