@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from appcensus.llm import exact_dedup, mixing, ngram_join, quality_rules
+from appcensus.llm import exact_dedup, mixing, ngram_join, quality_rules, tree_bpe
 from appcensus.llm.tables import documents, new_path, written
 
 
@@ -33,11 +33,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, as digests, with those of the text they decode to."""
+    return tree_bpe.round_trip(docs, tree_bpe.default_vocabulary())
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", drop_poor),
     ("exact_dedup", drop_copies),
     ("ngram_join", drop_near_copies),
     ("mixing", mix_sources),
+    ("tree_bpe", encode),
 ]
 
 ORACLE_SQL: str | None = None
