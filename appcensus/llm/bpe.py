@@ -7,6 +7,7 @@ with other white space around a blank are given to the library whole.
 """
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,12 +141,13 @@ class Encoder:
             flat = np.concatenate(parts)
         return flat, counts
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text; null counts as empty."""
+    def encoded(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, a block of texts at a time; null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         _, offsets = text_bytes(texts)
-        out = []
         for row, stop in blocks(offsets, BLOCK_BYTES):
             flat, counts = self._block(texts.slice(row, stop - row))
-            out.extend(np.split(flat, np.cumsum(counts)[:-1]))
-        return out
+            yield from np.split(flat, np.cumsum(counts)[:-1])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        return list(self.encoded(texts))
