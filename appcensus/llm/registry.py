@@ -4,12 +4,23 @@ from appcensus.llm import (
     exact_dedup,
     mixing,
     ngram_join,
+    quality_model,
     quality_rules,
+    secret_scan,
     token_planes,
     tree_bpe,
 )
 
-MODULES = (exact_dedup, mixing, ngram_join, quality_rules, token_planes, tree_bpe)
+MODULES = (
+    exact_dedup,
+    mixing,
+    ngram_join,
+    quality_model,
+    quality_rules,
+    secret_scan,
+    token_planes,
+    tree_bpe,
+)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
