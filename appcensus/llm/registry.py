@@ -8,6 +8,7 @@ from appcensus.llm import (
     quality_rules,
     secret_scan,
     token_planes,
+    toxicity,
     tree_bpe,
 )
 
@@ -19,6 +20,7 @@ MODULES = (
     quality_rules,
     secret_scan,
     token_planes,
+    toxicity,
     tree_bpe,
 )
 
