@@ -8,6 +8,7 @@ from appcensus.llm import (
     quality_rules,
     secret_scan,
     token_planes,
+    tool_calls,
     toxicity,
     tree_bpe,
 )
@@ -20,6 +21,7 @@ MODULES = (
     quality_rules,
     secret_scan,
     token_planes,
+    tool_calls,
     toxicity,
     tree_bpe,
 )
