@@ -9,12 +9,16 @@ least a threshold t; the result is the component of each document and its number
    frequency, then all others by hash.  Sets that link share one token among their first
    n - ceil(t n) + 1, and two among one more.  A token that only one class has links nothing,
    yet fills its place in the order, so a text without a near copy keeps no token at all.
+   Small sets get a wider band, in a regime of their own: regimes overlap by as much as the
+   sizes of linked sets can differ, so linked sets meet in one, and each has its own order.
 3. Light sets (n up to a boundary) enumerate all 2-subsets of their first tokens; sets that
    share a subset are candidates.  Heavy sets, and those light ones large enough to link to
    one, are in the inverted list of each first token.  The boundary is that of least cost,
    from a histogram of sizes: subsets written against list rows written and scanned.
-4. Lists are not expanded into pairs.  Each list hangs its sets on its smallest one; the
-   components of these edges are clusters that contain every candidate pair.
+4. Lists are kept apart by size: sizes fall into bands as wide as linked sizes can differ, and
+   slot k of a list has the sets of the bands k and k - 1.  Lists are not expanded into pairs.
+   Each hangs its sets on its smallest one; the components of these edges are clusters, and
+   every candidate pair is in one cluster of the slot of its larger band.
 5. A cluster's sets are read again from their texts and compared exactly, in blocks of
    bounded size: a large cluster is cut into blocks and every pair of blocks is a task's
    group of its own.  A group returns a spanning forest of its links and link counts.
@@ -30,21 +34,23 @@ the component id is the smallest id and null only if all ids are.  Other columns
 are not looked at.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from appcensus.llm.components import components
 from appcensus.llm.tables import documents, in_python, written
 from appcensus.llm.words import mixed, shingle_sets
 
-BAND = 2.0
-"""The low band holds this many times the part 1 - t of all hashes."""
-SCAN_COST = 1 / 64
-"""Cost of a list entry scanned, against that of a row written."""
+REGIMES = ((64, 10.0), (256, 4.0), (None, 2.0))
+"""Largest size of a regime, and how many times the part 1 - t of all hashes its band holds."""
+SCAN_COST = 1 / 256
+"""Cost of a list entry scanned, against that of a row written: entries are compared many at
+once, and most meet again under the other tokens of their sets."""
 BLOCK_SETS = 256
 BLOCK_TOKENS = 1 << 21
 """A block of a large cluster has about so many sets, or so many shingles."""
@@ -61,37 +67,61 @@ def _set_digest(tokens: np.ndarray) -> int:
     return int(mixed(np.array([total + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
+def _edges(percent: int) -> list[np.uint64]:
+    """The end of each regime's band of hashes."""
+    parts = [min(1.0, times * (100 - percent) / 100) for _, times in REGIMES]
+    return [np.uint64(min(2**64 - 1, int(part * 2**64))) for part in parts]
+
+
+def _in_regimes(tokens: np.ndarray, percent: int, edges) -> tuple[np.ndarray, list[int]]:
+    """The tokens a set puts forward in each of its regimes, and how many are in the band.
+
+    The last two bits of a token are its regime's number.
+    """
+    n, least, out, bands = len(tokens), 0, [], []
+    for number, ((most, _), edge) in enumerate(zip(REGIMES, edges)):
+        band = 0
+        if 100 * n >= percent * (least + 1) and (most is None or n <= most):
+            band = int(np.searchsorted(tokens, edge))
+            found = tokens[: max(band, first_tokens(n, percent))]
+            out.append(found & np.uint64(2**64 - 4) | np.uint64(number))
+        bands.append(band)
+        least = most
+    return np.concatenate(out), bands
+
+
 def _shingled(df: DataFrame, width: int, percent: int, id_column: str, text: str) -> DataFrame:
-    """Per row ``_id, th, digest, n, in_band, tokens``; tokens sorted by hash as unsigned.
+    """Per row ``_id, th, digest, n, bands, tokens``; ``bands`` by regime.
 
     Within a batch only the first row of a class carries tokens.
     """
-    edge = np.uint64(min(2**64 - 1, int(BAND * (100 - percent) / 100 * 2**64)))
     schema = pa.schema(
         [("_id", pa.int64()), ("th", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()),
-         ("in_band", pa.int64()), ("tokens", pa.list_(pa.int64()))]
+         ("bands", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))]
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = _edges(percent)
         for batch in batches:
             digests, sizes, bands, tokens, seen = [], [], [], [], set()
             for found in shingle_sets(batch.column(2), width):
                 n = len(found)
                 digest = _set_digest(found) if n else None
-                band = int(np.searchsorted(found, edge))
+                mine, in_band = np.zeros(0, np.uint64), [0] * len(REGIMES)
+                if n:
+                    mine, in_band = _in_regimes(found, percent, edges)
+                    if digest in seen:
+                        mine = mine[:0]
+                    seen.add(digest)
                 digests.append(digest)
                 sizes.append(n)
-                bands.append(band)
-                if n and digest not in seen:
-                    seen.add(digest)
-                    tokens.append(found[: max(band, first_tokens(n, percent))].view(np.int64))
-                else:
-                    tokens.append(np.zeros(0, np.int64))
+                bands.append(in_band)
+                tokens.append(mine.view(np.int64))
             ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(digests, pa.int64()),
-                 pa.array(sizes, pa.int64()), pa.array(bands, pa.int64()),
+                 pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                 schema=schema,
             )
@@ -101,28 +131,41 @@ def _shingled(df: DataFrame, width: int, percent: int, id_column: str, text: str
         df[text].cast("string").alias("_text"),
     )
     return in_python(
-        rows, scan, "_id bigint, th bigint, digest bigint, n bigint, in_band bigint, tokens array<bigint>"
+        rows, scan,
+        "_id bigint, th bigint, digest bigint, n bigint, bands array<bigint>, tokens array<bigint>",
     )
 
 
 def _first_shared(shingled: DataFrame, percent: int) -> DataFrame:
-    """Per class its first tokens that another class has too: ``digest, n, token, df, place``."""
-    rows = shingled.filter(F.size("tokens") > 0).select(
-        "digest", "n", "in_band", F.posexplode("tokens").alias("at", "token")
-    )
+    """Per class and regime its first tokens that another class has too:
+    ``digest, n, token, df, in_list`` (``in_list``: it is also among the first by one less)."""
+    rows = shingled.select(F.explode("tokens").alias("token"), "digest")
     shared = rows.groupBy("token").agg(
         F.count(F.lit(1)).alias("df"), F.min("digest").alias("_lo"), F.max("digest").alias("_hi")
     ).filter("_lo <> _hi").select("token", "df")
-    active = rows.join(shared, "token").distinct()
-    in_class = Window.partitionBy("digest")
-    banded = F.col("at") < F.col("in_band")
-    alone = F.col("in_band") - F.count(F.when(banded, 1)).over(in_class)
-    rank = F.row_number().over(in_class.orderBy(F.col("at") >= F.col("in_band"), "df", "token"))
-    ranked = active.withColumns({"_alone": alone, "_rank": rank})
-    ranked = ranked.withColumn(
-        "place", F.when(banded, F.col("_alone") + F.col("_rank")).otherwise(F.col("at") + 1)
-    ).withColumn("most", F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 2)
-    return ranked.filter("place <= most").select("digest", "n", "token", "df", "place", "most")
+    active = rows.join(shared, "token").groupBy("digest", "token").agg(F.first("df").alias("df"))
+    sizes = shingled.filter("n > 0").groupBy("digest").agg(
+        F.first("n").alias("n"), F.first("bands").alias("bands")
+    ).withColumnRenamed("digest", "_d")
+    active = active.join(sizes, F.col("digest") == F.col("_d")).drop("_d")
+    active = active.withColumn("regime", F.col("token").bitwiseAND(3))
+    # Tokens are unsigned; with the sign bit turned over they compare as such.
+    turned = F.col("token").bitwiseXOR(F.lit(-(2**63)))
+    edges = F.array(*[F.lit(int(np.int64(np.uint64(e) ^ np.uint64(2**63)))) for e in _edges(percent)])
+    at_regime = (F.col("regime") + 1).cast("int")
+    active = active.withColumns(
+        {"_banded": turned < F.element_at(edges, at_regime), "_band": F.element_at("bands", at_regime)}
+    )
+    in_class = Window.partitionBy("digest", "regime")
+    alone = F.col("_band") - F.count(F.when(F.col("_banded"), 1)).over(in_class)
+    rank = F.row_number().over(in_class.orderBy(F.desc("_banded"), "df", "token"))
+    # A set puts forward tokens beyond its band only as many as its first ones need.
+    place = F.when(F.col("_banded"), alone + rank).otherwise(0)
+    most = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 2
+    return (
+        active.withColumns({"_place": place, "_most": most}).filter("_place <= _most")
+        .select("digest", "n", "token", "df", (F.col("_place") < F.col("_most")).alias("in_list"))
+    )
 
 
 def light_limit(histogram: list, percent: int) -> int:
@@ -144,23 +187,26 @@ def light_limit(histogram: list, percent: int) -> int:
     return min(limits, key=cost)
 
 
+def _band_of(n: Column, percent: int) -> Column:
+    """Size bands a little wider than linked sizes can differ."""
+    return F.floor(F.log(n.cast("double")) / math.log(1.001 * 100 / percent))
+
+
 def _lists(first: DataFrame, percent: int) -> DataFrame:
-    """Rows ``key, digest``: the 2-subsets of light sets and the tokens heavy sets can meet."""
-    in_list = F.col("place") < F.col("most")
+    """Rows ``key, digest, slot``: the 2-subsets of light sets and the tokens heavy sets can meet."""
     per_class = first.groupBy("digest", "n").agg(
-        F.count(F.lit(1)).alias("k"), F.count(F.when(in_list, 1)).alias("rows"),
-        F.coalesce(F.sum(F.when(in_list, F.col("df"))), F.lit(0)).alias("scanned"),
+        F.count(F.lit(1)).alias("k"), F.count(F.when(F.col("in_list"), 1)).alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("in_list"), F.col("df"))), F.lit(0)).alias("scanned"),
     )
     # Sizes by powers of the square root of two: a few dozen rows, however many sets.
-    step = F.floor(2 * F.log2("n"))
-    histogram = per_class.groupBy(step.alias("step")).agg(
+    histogram = per_class.groupBy(F.floor(2 * F.log2("n")).alias("step")).agg(
         F.max("n"), F.sum(F.expr("k * (k - 1) / 2")), F.sum("rows"), F.sum("scanned")
     ).collect()
     limit = light_limit([tuple(row)[1:] for row in histogram], percent)
-    light = first.filter(F.col("n") <= limit).groupBy("digest").agg(
+    # A light set has at most ``first_tokens(limit)`` tokens here, in each of its regimes.
+    light = first.filter(F.col("n") <= limit).groupBy("digest", "n", F.expr("token & 3")).agg(
         F.sort_array(F.collect_list("token")).alias("t")
     )
-    # A light set has at most ``first_tokens(limit)`` tokens here.
     subsets = light.filter("size(t) > 1").select(
         F.explode(
             F.expr(
@@ -168,17 +214,29 @@ def _lists(first: DataFrame, percent: int) -> DataFrame:
                 " transform(slice(t, i + 2, size(t)), y -> xxhash64(t[i], y))))"
             )
         ).alias("key"),
-        "digest",
+        "digest", "n",
     )
-    heavy = first.filter(in_list & (100 * F.col("n") >= percent * (limit + 1)))
-    return subsets.union(heavy.select(F.col("token").alias("key"), "digest"))
+    heavy = first.filter(F.col("in_list") & (100 * F.col("n") >= percent * (limit + 1)))
+    rows = subsets.union(heavy.select(F.col("token").alias("key"), "digest", "n"))
+    band = _band_of(F.col("n"), percent)
+    return rows.withColumn("slot", F.explode(F.array(band, band + 1))).drop("n")
 
 
 def _clusters(lists: DataFrame) -> DataFrame:
-    """``node, label``: classes that share a list directly or through others."""
-    hubs = lists.groupBy("key").agg(F.min("digest").alias("hub"), F.max("digest").alias("_hi"))
-    edges = lists.join(hubs.filter("hub <> _hi").select("key", "hub"), "key")
-    return components(edges.select(F.col("digest").alias("a"), F.col("hub").alias("b")))
+    """``node, label, digest, slot``: the classes of a slot that share a list directly or
+    through others."""
+    rows = lists.select("key", "digest", "slot", F.xxhash64("digest", "slot").alias("node"))
+    hubs = rows.groupBy("key", "slot").agg(
+        F.min("node").alias("hub"), F.max("node").alias("_hi")
+    ).filter("hub <> _hi").select(F.col("key").alias("_k"), F.col("slot").alias("_s"), "hub")
+    hung = written(
+        rows.join(hubs, (F.col("key") == F.col("_k")) & (F.col("slot") == F.col("_s")))
+        .select("node", "hub", "digest", "slot").distinct(),
+        "hung",
+    )
+    named = hung.select("node", "digest", "slot").distinct().withColumnRenamed("node", "_n")
+    labels = components(hung.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    return labels.join(named, F.col("node") == F.col("_n")).drop("_n")
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -224,7 +282,10 @@ def _linked(
 
 
 def _forest(members: dict, same: bool, block: int, percent: int) -> tuple[list, list, list]:
-    """Spanning forest and link counts of one group: digests, roots, links."""
+    """Spanning forest and link counts of one group: digests, roots, links.
+
+    ``members``: digest to (copies, block, guest, tokens); two guests meet in another slot.
+    """
     digests = list(members)
     root = {d: d for d in digests}
 
@@ -239,10 +300,12 @@ def _forest(members: dict, same: bool, block: int, percent: int) -> tuple[list,
         sides = [[d for d in digests if (members[d][1] == block) == first] for first in (True, False)]
     links = dict.fromkeys(digests, 0)
     if sides[0] and sides[1]:
-        hit = _linked(*[[members[d][2] for d in s] for s in sides], percent)
+        hit = _linked(*[[members[d][3] for d in s] for s in sides], percent)
+        guests = [np.array([members[d][2] for d in s]) for s in sides]
+        hit &= ~(guests[0][:, None] & guests[1][None, :])
         for i, j in zip(*np.nonzero(hit)):
             x, y = sides[0][i], sides[1][j]
-            if x == y or (same and j < i):
+            if same and j <= i:
                 continue
             links[x] += members[y][0]
             links[y] += members[x][0]
@@ -260,23 +323,26 @@ def _compared(
         df[text].cast("string").alias("_text"),
     )
     same_row = texts["_id"].eqNullSafe(members["rep_id"]) & (texts["_th"] == members["rep_th"])
-    found = texts.join(members, same_row).select("digest", "copies", "label", "blocks", "_text")
+    found = texts.join(members, same_row).select(
+        "digest", "copies", "label", "blocks", "guest", "_text"
+    )
     out_schema = pa.schema(
         [("label", pa.int64()), ("bi", pa.int64()), ("bj", pa.int64()), ("digest", pa.int64()),
-         ("copies", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary())]
+         ("copies", pa.int64()), ("block", pa.int64()), ("guest", pa.bool_()),
+         ("tokens", pa.binary())]
     )
 
     def spread(batches):
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            for k, tokens in enumerate(shingle_sets(batch.column(4), width)):
-                digest, copies, label, count = (c[k] for c in columns)
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for k, tokens in enumerate(shingle_sets(batch.column(5), width)):
+                digest, copies, label, count, guest = (c[k] for c in columns)
                 if _set_digest(tokens) != digest:
                     continue
                 block = digest % count
                 rows = [
                     (label, min(block, other), max(block, other), digest, copies, block,
-                     tokens.tobytes())
+                     guest, tokens.tobytes())
                     for other in range(count)
                 ]
                 yield pa.RecordBatch.from_arrays(
@@ -284,7 +350,10 @@ def _compared(
                     schema=out_schema,
                 )
 
-    ddl = "label bigint, bi bigint, bj bigint, digest bigint, copies bigint, block bigint, tokens binary"
+    ddl = (
+        "label bigint, bi bigint, bj bigint, digest bigint, copies bigint, block bigint,"
+        " guest boolean, tokens binary"
+    )
     groups = in_python(found, spread, ddl).repartition("label", "bi", "bj")
     groups = groups.sortWithinPartitions("label", "bi", "bj")
     forest_schema = pa.schema([("digest", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
@@ -300,13 +369,13 @@ def _compared(
                 )
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for k, (label, bi, bj, digest, copies, block) in enumerate(zip(*columns)):
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            for k, (label, bi, bj, digest, copies, block, guest) in enumerate(zip(*columns)):
                 if (label, bi, bj) != key:
                     yield from done()
                     key, members = (label, bi, bj), {}
-                tokens = np.frombuffer(batch.column(6)[k].as_buffer(), np.uint64).copy()
-                members[digest] = (copies, block, tokens)
+                tokens = np.frombuffer(batch.column(7)[k].as_buffer(), np.uint64).copy()
+                members[digest] = (copies, block, guest, tokens)
         yield from done()
 
     return in_python(groups, compare, "digest bigint, root bigint, links bigint")
@@ -332,15 +401,17 @@ def ngram_join(
         ),
         "classes",
     )
-    nodes = clusters.join(classes, clusters["node"] == classes["digest"])
+    nodes = clusters.withColumnRenamed("digest", "_d").join(classes, F.col("_d") == classes["digest"])
+    nodes = nodes.withColumn("guest", _band_of(F.col("n"), percent) < F.col("slot"))
     sizes = nodes.groupBy(F.col("label").alias("_of")).agg(
         F.greatest(
             F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)
-        ).alias("blocks")
-    )
+        ).alias("blocks"),
+        F.min("guest").alias("_all_guests"),
+    ).filter("not _all_guests")
     members = written(
         nodes.join(sizes, nodes["label"] == sizes["_of"]).select(
-            "digest", "copies", "label", "blocks",
+            "digest", "copies", "label", "blocks", "guest",
             F.col("rep._id").alias("rep_id"), F.col("rep.th").alias("rep_th"),
         ),
         "members",
