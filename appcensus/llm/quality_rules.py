@@ -100,6 +100,10 @@ def _with_statistics(df: DataFrame, text: str) -> DataFrame:
     )
     stop = ", ".join(f"'{word}'" for word in sorted(set(STOP_WORDS)))
     long = lambda column: column.cast("bigint")
+    # A filter on the statistics must not be pushed below them: it would carry a copy of every
+    # step with it, and each copy copies the steps below.  It stops at a column that claims to
+    # depend on the row's place.
+    repeated = F.when(F.monotonically_increasing_id() >= 0, repeated)
     return df.withColumns(
         {
             "n_words": long(F.size("_w")),
