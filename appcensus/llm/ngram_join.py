@@ -17,11 +17,13 @@ least a threshold t; the result is the component of each document and its number
    from a histogram of sizes: subsets written against list rows written and scanned.
 4. Lists are kept apart by size: sizes fall into bands as wide as linked sizes can differ, and
    slot k of a list has the sets of the bands k and k - 1.  Lists are not expanded into pairs.
-   Each hangs its sets on its smallest one; the components of these edges are clusters, and
-   every candidate pair is in one cluster of the slot of its larger band.
-5. A cluster's sets are read again from their texts and compared exactly, in blocks of
-   bounded size: a large cluster is cut into blocks and every pair of blocks is a task's
-   group of its own.  A group returns a spanning forest of its links and link counts.
+   Each hangs its sets on its smallest one, the hub, and the sets on one hub are a group: sets
+   that share a list share its hub.  Groups do not run into each other through sets that only
+   chance connects, so they stay small as the corpus grows.
+5. A group's sets are read again from their texts and compared exactly, in blocks of bounded
+   size: a large group is cut into blocks and every pair of blocks is a task's group of its
+   own.  A pair that meets more than once counts in the slot of its larger band, at the
+   smallest hub it shares.  A comparison returns a spanning forest of links and link counts.
 6. The components of these forests are the result.
 
 There is no cap on lists, candidates or clusters.  Shingles, words and sets are compared by
@@ -91,9 +93,11 @@ def _in_regimes(tokens: np.ndarray, percent: int, edges) -> tuple[np.ndarray, li
 
 
 def _shingled(df: DataFrame, width: int, percent: int, id_column: str, text: str) -> DataFrame:
-    """Per row ``_id, th, digest, n, bands, tokens``; ``bands`` by regime.
+    """Per row ``_id, th, digest, n, bands, tokens, num``; ``bands`` by regime.
 
-    Within a batch only the first row of a class carries tokens.
+    Within a batch only the first row of a class carries tokens.  ``num`` numbers the rows:
+    the numbers of neighbours differ in few bytes, so they take less room in a shuffle than
+    digests.
     """
     schema = pa.schema(
         [("_id", pa.int64()), ("th", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()),
@@ -130,24 +134,24 @@ def _shingled(df: DataFrame, width: int, percent: int, id_column: str, text: str
         df[id_column].cast("bigint").alias("_id"), F.xxhash64(df[text]).alias("th"),
         df[text].cast("string").alias("_text"),
     )
-    return in_python(
+    scanned = in_python(
         rows, scan,
         "_id bigint, th bigint, digest bigint, n bigint, bands array<bigint>, tokens array<bigint>",
     )
+    return scanned.withColumn("num", F.monotonically_increasing_id())
 
 
 def _first_shared(shingled: DataFrame, percent: int) -> DataFrame:
-    """Per class and regime its first tokens that another class has too:
-    ``digest, n, token, df, in_list`` (``in_list``: it is also among the first by one less)."""
-    rows = shingled.select(F.explode("tokens").alias("token"), "digest")
-    shared = rows.groupBy("token").agg(
-        F.count(F.lit(1)).alias("df"), F.min("digest").alias("_lo"), F.max("digest").alias("_hi")
-    ).filter("_lo <> _hi").select("token", "df")
-    active = rows.join(shared, "token").groupBy("digest", "token").agg(F.first("df").alias("df"))
-    sizes = shingled.filter("n > 0").groupBy("digest").agg(
-        F.first("n").alias("n"), F.first("bands").alias("bands")
-    ).withColumnRenamed("digest", "_d")
-    active = active.join(sizes, F.col("digest") == F.col("_d")).drop("_d")
+    """The first tokens of each row and regime that another row has too:
+    ``num, digest, n, token, df, in_list`` (``in_list``: also among the first by one less)."""
+    rows = shingled.select(F.explode("tokens").alias("token"), "num")
+    # Copies in other batches count as well: their tokens are taken for shared and then meet
+    # only their own class.
+    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    sizes = shingled.filter(F.size("tokens") > 0).select(
+        F.col("num").alias("_num"), "digest", "n", "bands"
+    )
+    active = rows.join(shared, "token").join(sizes, F.col("num") == F.col("_num")).drop("_num")
     active = active.withColumn("regime", F.col("token").bitwiseAND(3))
     # Tokens are unsigned; with the sign bit turned over they compare as such.
     turned = F.col("token").bitwiseXOR(F.lit(-(2**63)))
@@ -156,7 +160,7 @@ def _first_shared(shingled: DataFrame, percent: int) -> DataFrame:
     active = active.withColumns(
         {"_banded": turned < F.element_at(edges, at_regime), "_band": F.element_at("bands", at_regime)}
     )
-    in_class = Window.partitionBy("digest", "regime")
+    in_class = Window.partitionBy("num", "regime")
     alone = F.col("_band") - F.count(F.when(F.col("_banded"), 1)).over(in_class)
     rank = F.row_number().over(in_class.orderBy(F.desc("_banded"), "df", "token"))
     # A set puts forward tokens beyond its band only as many as its first ones need.
@@ -164,7 +168,7 @@ def _first_shared(shingled: DataFrame, percent: int) -> DataFrame:
     most = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 2
     return (
         active.withColumns({"_place": place, "_most": most}).filter("_place <= _most")
-        .select("digest", "n", "token", "df", (F.col("_place") < F.col("_most")).alias("in_list"))
+        .select("num", "digest", "n", "token", "df", (F.col("_place") < F.col("_most")).alias("in_list"))
     )
 
 
@@ -194,7 +198,7 @@ def _band_of(n: Column, percent: int) -> Column:
 
 def _lists(first: DataFrame, percent: int) -> DataFrame:
     """Rows ``key, digest, slot``: the 2-subsets of light sets and the tokens heavy sets can meet."""
-    per_class = first.groupBy("digest", "n").agg(
+    per_class = first.groupBy("num", "n").agg(
         F.count(F.lit(1)).alias("k"), F.count(F.when(F.col("in_list"), 1)).alias("rows"),
         F.coalesce(F.sum(F.when(F.col("in_list"), F.col("df"))), F.lit(0)).alias("scanned"),
     )
@@ -204,7 +208,7 @@ def _lists(first: DataFrame, percent: int) -> DataFrame:
     ).collect()
     limit = light_limit([tuple(row)[1:] for row in histogram], percent)
     # A light set has at most ``first_tokens(limit)`` tokens here, in each of its regimes.
-    light = first.filter(F.col("n") <= limit).groupBy("digest", "n", F.expr("token & 3")).agg(
+    light = first.filter(F.col("n") <= limit).groupBy("num", "digest", "n", F.expr("token & 3")).agg(
         F.sort_array(F.collect_list("token")).alias("t")
     )
     subsets = light.filter("size(t) > 1").select(
@@ -222,21 +226,14 @@ def _lists(first: DataFrame, percent: int) -> DataFrame:
     return rows.withColumn("slot", F.explode(F.array(band, band + 1))).drop("n")
 
 
-def _clusters(lists: DataFrame) -> DataFrame:
-    """``node, label, digest, slot``: the classes of a slot that share a list directly or
-    through others."""
+def _groups(lists: DataFrame) -> DataFrame:
+    """``digest, slot, hub``: a set hangs on the smallest set of each of its lists."""
     rows = lists.select("key", "digest", "slot", F.xxhash64("digest", "slot").alias("node"))
     hubs = rows.groupBy("key", "slot").agg(
         F.min("node").alias("hub"), F.max("node").alias("_hi")
     ).filter("hub <> _hi").select(F.col("key").alias("_k"), F.col("slot").alias("_s"), "hub")
-    hung = written(
-        rows.join(hubs, (F.col("key") == F.col("_k")) & (F.col("slot") == F.col("_s")))
-        .select("node", "hub", "digest", "slot").distinct(),
-        "hung",
-    )
-    named = hung.select("node", "digest", "slot").distinct().withColumnRenamed("node", "_n")
-    labels = components(hung.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    return labels.join(named, F.col("node") == F.col("_n")).drop("_n")
+    same = (F.col("key") == F.col("_k")) & (F.col("slot") == F.col("_s"))
+    return rows.join(hubs, same).select("digest", "slot", "hub").distinct()
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -281,10 +278,11 @@ def _linked(
     return 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
 
 
-def _forest(members: dict, same: bool, block: int, percent: int) -> tuple[list, list, list]:
+def _forest(members: dict, hub: int, same: bool, block: int, percent: int) -> tuple[list, list, list]:
     """Spanning forest and link counts of one group: digests, roots, links.
 
-    ``members``: digest to (copies, block, guest, tokens); two guests meet in another slot.
+    ``members``: digest to (copies, block, guest, tokens, hubs); two guests meet in another
+    slot, and a pair with a smaller hub in common meets there too.
     """
     digests = list(members)
     root = {d: d for d in digests}
@@ -305,7 +303,7 @@ def _forest(members: dict, same: bool, block: int, percent: int) -> tuple[list,
         hit &= ~(guests[0][:, None] & guests[1][None, :])
         for i, j in zip(*np.nonzero(hit)):
             x, y = sides[0][i], sides[1][j]
-            if same and j <= i:
+            if same and j <= i or min(members[x][4] & members[y][4]) != hub:
                 continue
             links[x] += members[y][0]
             links[y] += members[x][0]
@@ -314,68 +312,73 @@ def _forest(members: dict, same: bool, block: int, percent: int) -> tuple[list,
     return digests, [top(d) for d in digests], [links[d] for d in digests]
 
 
+_SPREAD = "hub bigint, bi bigint, bj bigint, digest bigint, copies bigint, block bigint," \
+    " guest boolean, hubs array<bigint>, tokens binary"
+_SPREAD_ARROW = pa.schema(
+    [("hub", pa.int64()), ("bi", pa.int64()), ("bj", pa.int64()), ("digest", pa.int64()),
+     ("copies", pa.int64()), ("block", pa.int64()), ("guest", pa.bool_()),
+     ("hubs", pa.list_(pa.int64())), ("tokens", pa.binary())]
+)
+_FOREST_ARROW = pa.schema([("digest", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
+
+
 def _compared(
     df: DataFrame, members: DataFrame, width: int, percent: int, id_column: str, text: str
 ) -> DataFrame:
-    """``digest, root, links`` of each group a class is in."""
+    """``digest, root, links`` of each comparison a class takes part in."""
     texts = df.select(
         df[id_column].cast("bigint").alias("_id"), F.xxhash64(df[text]).alias("_th"),
         df[text].cast("string").alias("_text"),
     )
     same_row = texts["_id"].eqNullSafe(members["rep_id"]) & (texts["_th"] == members["rep_th"])
-    found = texts.join(members, same_row).select(
-        "digest", "copies", "label", "blocks", "guest", "_text"
-    )
-    out_schema = pa.schema(
-        [("label", pa.int64()), ("bi", pa.int64()), ("bj", pa.int64()), ("digest", pa.int64()),
-         ("copies", pa.int64()), ("block", pa.int64()), ("guest", pa.bool_()),
-         ("tokens", pa.binary())]
-    )
+    found = texts.join(members, same_row).select("digest", "copies", "places", "_text")
 
     def spread(batches):
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for k, tokens in enumerate(shingle_sets(batch.column(5), width)):
-                digest, copies, label, count, guest = (c[k] for c in columns)
-                if _set_digest(tokens) != digest:
+            digests, copies, places = (batch.column(i).to_pylist() for i in range(3))
+            for k, tokens in enumerate(shingle_sets(batch.column(3), width)):
+                if _set_digest(tokens) != digests[k]:
                     continue
-                block = digest % count
-                rows = [
-                    (label, min(block, other), max(block, other), digest, copies, block,
-                     guest, tokens.tobytes())
-                    for other in range(count)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(zip(*rows), out_schema)],
-                    schema=out_schema,
-                )
-
-    ddl = (
-        "label bigint, bi bigint, bj bigint, digest bigint, copies bigint, block bigint,"
-        " guest boolean, tokens binary"
-    )
-    groups = in_python(found, spread, ddl).repartition("label", "bi", "bj")
-    groups = groups.sortWithinPartitions("label", "bi", "bj")
-    forest_schema = pa.schema([("digest", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
+                hubs: dict[int, list[int]] = {}
+                for place in places[k]:
+                    hubs.setdefault(place["slot"], []).append(place["hub"])
+                rows = []
+                for place in places[k]:
+                    block = digests[k] % place["blocks"]
+                    rows.extend(
+                        (place["hub"], min(block, other), max(block, other), digests[k], copies[k],
+                         block, place["guest"], hubs[place["slot"]], tokens.tobytes())
+                        for other in range(place["blocks"])
+                        if place["kept"]
+                    )
+                for at in range(0, len(rows), 256):
+                    columns = zip(*rows[at : at + 256])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, f.type) for c, f in zip(columns, _SPREAD_ARROW)],
+                        schema=_SPREAD_ARROW,
+                    )
+
+    groups = in_python(found, spread, _SPREAD).repartition("hub", "bi", "bj")
+    groups = groups.sortWithinPartitions("hub", "bi", "bj")
 
     def compare(batches):
         key, members = None, {}
 
         def done():
             if len(members) > 1:
+                found = _forest(members, key[0], key[1] == key[2], key[1], percent)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in _forest(members, key[1] == key[2], key[1], percent)],
-                    schema=forest_schema,
+                    [pa.array(c, pa.int64()) for c in found], schema=_FOREST_ARROW
                 )
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            for k, (label, bi, bj, digest, copies, block, guest) in enumerate(zip(*columns)):
-                if (label, bi, bj) != key:
+            columns = [batch.column(i).to_pylist() for i in range(8)]
+            for k, (hub, bi, bj, digest, copies, block, guest, hubs) in enumerate(zip(*columns)):
+                if (hub, bi, bj) != key:
                     yield from done()
-                    key, members = (label, bi, bj), {}
-                tokens = np.frombuffer(batch.column(7)[k].as_buffer(), np.uint64).copy()
-                members[digest] = (copies, block, guest, tokens)
+                    key, members = (hub, bi, bj), {}
+                tokens = np.frombuffer(batch.column(8)[k].as_buffer(), np.uint64).copy()
+                members[digest] = (copies, block, guest, tokens, set(hubs))
         yield from done()
 
     return in_python(groups, compare, "digest bigint, root bigint, links bigint")
@@ -392,7 +395,7 @@ def ngram_join(
     shingled = written(_shingled(df, width, percent, id_column, text), "shingled")
     shingled_keys = shingled.select("_id", "th", "digest", "n")
     first = written(_first_shared(shingled, percent), "first-tokens")
-    clusters = written(_clusters(_lists(first, percent)), "clusters")
+    groups = written(_groups(_lists(first, percent)), "groups")
 
     classes = written(
         shingled_keys.filter("n > 0").groupBy("digest").agg(
@@ -401,19 +404,22 @@ def ngram_join(
         ),
         "classes",
     )
-    nodes = clusters.withColumnRenamed("digest", "_d").join(classes, F.col("_d") == classes["digest"])
+    nodes = groups.withColumnRenamed("digest", "_d").join(classes, F.col("_d") == classes["digest"])
     nodes = nodes.withColumn("guest", _band_of(F.col("n"), percent) < F.col("slot"))
-    sizes = nodes.groupBy(F.col("label").alias("_of")).agg(
+    sizes = nodes.groupBy(F.col("hub").alias("_of")).agg(
         F.greatest(
             F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)
         ).alias("blocks"),
-        F.min("guest").alias("_all_guests"),
-    ).filter("not _all_guests")
+        (~F.min("guest")).alias("kept"),  # guests alone have met elsewhere
+    )
+    place = F.struct("slot", "hub", "blocks", "guest", "kept")
+    # A class is in at most two groups for each of its first tokens.
     members = written(
-        nodes.join(sizes, nodes["label"] == sizes["_of"]).select(
-            "digest", "copies", "label", "blocks", "guest",
-            F.col("rep._id").alias("rep_id"), F.col("rep.th").alias("rep_th"),
-        ),
+        nodes.join(sizes, nodes["hub"] == sizes["_of"]).groupBy("digest").agg(
+            F.first("copies").alias("copies"), F.collect_list(place).alias("places"),
+            F.first("rep._id").alias("rep_id"), F.first("rep.th").alias("rep_th"),
+            F.max("kept").alias("_kept"),
+        ).filter("_kept").drop("_kept"),
         "members",
     )
     forest = written(_compared(df, members, width, percent, id_column, text), "forest")
