@@ -10,6 +10,11 @@ packages each holds; a name that more applications wish than it has packages kee
 the first ones, and the others move on to their next name.  Nobody who was turned
 down could have got the package later, so the rounds end in the one result that the
 application-by-application choice gives.
+
+A package id may be listed under several names.  Applications that wish such a name
+propose for its packages one by one: an id keeps its earliest taker, and all others move
+on at once, past the packages that earlier applications hold.  Snapshots where nobody was turned down are done and
+leave the rounds.
 """
 
 from pyspark.sql import DataFrame
@@ -17,18 +22,21 @@ from pyspark.sql import functions as F
 
 from appcensus.functions.keys import importable, match_key
 from appcensus.operators.containment import containment
-from appcensus.operators.durable import durable
-from appcensus.operators.running import numbered, running
+from appcensus.operators.durable import durable, temporary_tables
+from appcensus.operators.running import along, numbered, running
 from appcensus.schema import GROUP
 
 _SNAPSHOT = list(GROUP)
 
+LOOK_AHEAD = 64
+"""Packages that one round may pass over; a longer run of held ones takes another round."""
+
 
 def importable_packages(packages: DataFrame) -> DataFrame:
     return packages.filter(importable(F.col("package_id"), F.col("source")))
 
 
-def offers(packages: DataFrame, by: list[str], hot_rows: int | None = None) -> DataFrame:
+def offers(packages: DataFrame, by: list[str]) -> DataFrame:
     """Packages by match key, numbered in catalog order; an id counts once per key."""
     keyed = importable_packages(packages).withColumn("offer_key", match_key(F.col("name")))
     once = (
@@ -48,10 +56,10 @@ def offers(packages: DataFrame, by: list[str], hot_rows: int | None = None) -> D
             F.col("_row.source").alias("package_source"),
         )
     )
-    return numbered(durable(once), [*by, "offer_key"], ["offer_ord"], "place", hot_rows)
+    return numbered(durable(once), [*by, "offer_key"], ["offer_ord"], "place")
 
 
-def wishes(wanted: DataFrame, names: DataFrame, by: list[str], hot_rows=None) -> DataFrame:
+def wishes(wanted: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
     """The package names each application name may use, best first.
 
     ``first`` and ``last`` number the packages along the list of one application
@@ -81,172 +89,172 @@ def wishes(wanted: DataFrame, names: DataFrame, by: list[str], hot_rows=None) ->
     )
     order = ["kind", "common", "first_ord"]
     totals = {"last": ("sum", F.col("capacity"))}
-    listed = running(durable(listed), [*by, "wish_key"], order, totals, hot_rows)
+    listed = running(durable(listed), [*by, "wish_key"], order, totals)
     return listed.withColumn("first", F.col("last") - F.col("capacity") + 1).select(
-        *by, "wish_key", "offer_key", "kind", "first", "last", "capacity"
+        *by, "wish_key", "offer_key", "kind", "first", "last", "capacity", "shared"
     )
 
 
-def _covering_wish(seekers: DataFrame, lists: DataFrame, by: list[str], hot_rows) -> DataFrame:
+def _covering_wish(seekers: DataFrame, lists: DataFrame, by: list[str]) -> DataFrame:
     """For each list position sought, the name that holds it."""
     marks = lists.select(*by, "wish_key", F.col("first").alias("slot"), F.lit(0).alias("_sought"))
     sought = seekers.select(*by, "wish_key", "slot").distinct().withColumn("_sought", F.lit(1))
     merged = durable(marks.unionByName(sought))
     begun = F.when(F.col("_sought") == 0, F.col("slot"))
     placed = running(
-        merged, [*by, "wish_key"], ["slot", "_sought"], {"first": ("max", begun)}, hot_rows
+        merged,
+        [*by, "wish_key"],
+        ["slot", "_sought"],
+        {"first": ("max", begun)},
+        along("slot"),
     ).filter(F.col("_sought") == 1)
     return placed.join(lists, [*by, "wish_key", "first"]).filter(
         F.col("slot") <= F.col("last")
-    ).select(*by, "wish_key", "slot", "offer_key", "kind", "first", "last", "capacity")
-
-
-def _settle(entries: DataFrame, lists: DataFrame, used: DataFrame | None, by, hot_rows) -> DataFrame:
-    """Rounds until nobody is turned down: ``(snapshot, position) -> (offer_key, turn)``."""
-    state = entries.select(*_columns(by), "wish_key", "position", F.lit(1).cast("bigint").alias("low"))
-    while True:
-        state = durable(state)
-        mates = [*_columns(by), "wish_key"]
-        ranked = numbered(state, mates, ["position"], "_rank", hot_rows)
-        shifts = {"_shift": ("max", F.col("low") - F.col("_rank"))}
-        spread = running(ranked, mates, ["position"], shifts, hot_rows).withColumn(
-            "slot", F.col("_rank") + F.col("_shift")
-        )
-        spread = durable(spread.drop("_rank", "_shift", "low"))
-        placed = spread.join(
-            _covering_wish(spread, lists, by, hot_rows), [*by, "wish_key", "slot"]
-        )
-        if used is not None:
-            gone = used.groupBy(*_columns(by), "offer_key").agg(F.count("*").alias("_gone"))
-            placed = placed.join(gone, [*_columns(by), "offer_key"], "left").withColumn(
-                "capacity", F.col("capacity") - F.coalesce("_gone", F.lit(0))
-            )
-        rivals = [*_columns(by), "offer_key"]
-        placed = numbered(durable(placed), rivals, ["position"], "turn", hot_rows)
-        refused = F.col("turn") > F.col("capacity")
-        if placed.filter(refused).isEmpty():
-            return placed.select(*_columns(by), "position", "offer_key", "kind", "turn")
-        low = F.when(refused, F.col("last") + 1).otherwise(F.col("first"))
-        state = placed.select(*_columns(by), "wish_key", "position", low.alias("low"))
+    ).select(*by, "wish_key", "slot", "offer_key", "kind", "first", "last", "capacity", "shared")
 
 
 def _columns(by: list[str]) -> list[str]:
     return [*_SNAPSHOT, *[column for column in by if column not in _SNAPSHOT]]
 
 
-def _free_places(settled: DataFrame, used: DataFrame | None, by, hot_rows) -> DataFrame:
-    """Turn the n-th taker of a name into the n-th package of it that is not used."""
-    if used is None:
-        return settled.withColumn("place", F.col("turn"))
-    keys = [*_columns(by), "offer_key"]
-    # The n-th free place is n plus the used places with fewer than n free ones before.
-    before = numbered(durable(used), keys, ["place"], "_nth", hot_rows).select(
-        *keys,
-        (F.col("place") - F.col("_nth")).alias("turn"),
-        F.lit(1).alias("_used"),
-        F.col("place").alias("position"),
+def _proposals(state: DataFrame, lists: DataFrame, by: list[str]) -> DataFrame:
+    """The package name each application asks for in this round."""
+    mates = [*_columns(by), "wish_key"]
+    ranked = numbered(state, mates, ["position"], "_rank", along("position"))
+    shifts = {"_shift": ("max", F.col("low") - F.col("_rank"))}
+    spread = running(durable(ranked), mates, ["position"], shifts, along("position"))
+    slot = F.col("_rank") + F.col("_shift")
+    spread = durable(spread.withColumn("slot", slot).drop("_rank", "_shift", "low"))
+    return durable(spread.join(_covering_wish(spread, lists, by), [*by, "wish_key", "slot"]))
+
+
+def _next_free(refused: DataFrame, holders: DataFrame, slots: DataFrame, by) -> DataFrame:
+    """``low`` of refused proposals: the first package after theirs that no earlier
+    application holds.  Holders only ever change to earlier ones."""
+    who = [*_columns(by), "wish_key", "position"]
+    ahead = refused.select(
+        *who, F.explode(F.sequence(F.col("slot") + 1, F.col("slot") + LOOK_AHEAD + 1)).alias("slot"),
+        (F.col("slot") + LOOK_AHEAD + 1).alias("_end"),
+    )
+    held = (
+        ahead.join(slots, [*by, "wish_key", "slot"])
+        .join(holders, [*_columns(by), "package_id"])
+        .filter((F.col("_earliest") < F.col("position")) & (F.col("slot") < F.col("_end")))
+    )
+    free = ahead.join(held.select(*who, "slot"), [*who, "slot"], "left_anti")
+    return free.groupBy(*who).agg(F.min("slot").alias("low"))
+
+
+def _answers(placed: DataFrame, listings: DataFrame, slots: DataFrame, by: list[str]) -> DataFrame:
+    """``place, package_id`` of each proposal, whether it is refused, and where to go on."""
+    columns = _columns(by)
+    rivals = [*columns, "offer_key"]
+    by_name = numbered(
+        placed.filter(~F.col("shared")), rivals, ["position"], "place", along("position")
+    )
+    by_name = by_name.withColumn("refused", F.col("place") > F.col("capacity")).withColumn(
+        "low", F.when(F.col("refused"), F.col("last") + 1).otherwise(F.col("first"))
+    )
+    by_name = by_name.join(listings, [*by, "offer_key", "place"], "left")
+
+    one_by_one = (
+        placed.filter("shared")
+        .withColumn("place", F.col("slot") - F.col("first") + 1)
+        .join(listings, [*by, "offer_key", "place"])
+    )
+    taken = [*columns, "package_id"]
+    holders = one_by_one.groupBy(*taken).agg(F.min("position").alias("_earliest"))
+    one_by_one = one_by_one.join(holders, taken).withColumn(
+        "refused", F.col("position") > F.col("_earliest")
+    )
+    moved = _next_free(one_by_one.filter("refused"), holders, slots, by)
+    one_by_one = one_by_one.join(moved, [*columns, "wish_key", "position"], "left")
+    one_by_one = one_by_one.withColumn("low", F.coalesce("low", "slot"))
+    names = [*columns, "wish_key", "position", "offer_key", "kind", "place", "package_id"]
+    return by_name.select(*names, "refused", "low").unionByName(
+        one_by_one.select(*names, "refused", "low")
     )
-    merged = settled.withColumn("_used", F.lit(0)).unionByName(before, allowMissingColumns=True)
-    counted = running(
-        durable(merged),
-        keys,
-        ["turn", "_used", "position"],
-        {"_skipped": ("sum", F.col("_used").cast("bigint"))},
-        hot_rows,
+
+
+def _settle(entries: DataFrame, lists: DataFrame, listings: DataFrame, by: list[str]) -> list[DataFrame]:
+    """Rounds until nobody is turned down: the choices of the snapshots done in each."""
+    columns = _columns(by)
+    slots = durable(
+        lists.filter("shared")
+        .select(*by, "wish_key", "offer_key", "first", F.explode(F.sequence("first", "last")).alias("slot"))
+        .withColumn("place", F.col("slot") - F.col("first") + 1)
+        .join(listings, [*by, "offer_key", "place"])
+        .select(*by, "wish_key", "slot", "package_id")
     )
-    return counted.filter(F.col("_used") == 0).select(
-        *settled.columns, (F.col("turn") + F.col("_skipped")).alias("place")
+    state = durable(
+        entries.select(*columns, "wish_key", "position", F.lit(1).cast("bigint").alias("low"))
     )
+    results = []
+    while True:
+        answers = durable(_answers(_proposals(state, lists, by), listings, slots, by))
+        again = durable(answers.filter("refused").select(*columns).distinct())
+        done = answers if again.isEmpty() else answers.join(again, columns, "left_anti")
+        results.append(
+            durable(done.select(*columns, "position", "offer_key", "kind", "place", "package_id"))
+        )
+        if done is answers:
+            return results
+        going = answers.join(again, columns, "left_semi")
+        state = durable(going.select(*columns, "wish_key", "position", "low"))
 
 
-def match_catalog(
-    entries: DataFrame,
-    packages: DataFrame,
-    by: tuple[str, ...] = (),
-    hot_rows: int | None = None,
-) -> DataFrame:
+def match_catalog(entries: DataFrame, packages: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Match prepared entries to packages, each package id once per snapshot.
 
     ``packages`` has ``name, package_id, version, source, ord`` and the ``by`` columns:
     none for one catalog shared by the fleet, ``("host",)`` for a catalog per host.
     The result has every entry with ``position`` (its place in the report),
-    ``match_kind`` and ``package_*`` columns, which are null where nothing matched.
+    ``match_kind`` and ``package_*`` columns, which are null where nothing matched.  It is
+    one table in the shared folder; the tables on the way to it are deleted.
     """
-    by = list(by)
-    lowered = entries.withColumn("_lower", F.lower("name"))
+    with temporary_tables(entries.sparkSession):
+        return durable(_match(entries, packages, list(by)), keep=True)
+
+
+def _match(entries: DataFrame, packages: DataFrame, by: list[str]) -> DataFrame:
+    narrow = durable(
+        entries.select(*_SNAPSHOT, F.lower("name").alias("_lower"), "name", "registry_path", "ord")
+    )
+    # Rows are known by their sort keys; the wide columns join at the end.
     ranked = durable(
-        numbered(
-            durable(lowered), _SNAPSHOT, ["_lower", "registry_path", "ord"], "position", hot_rows
-        )
-        .drop("_lower")
+        numbered(narrow, _SNAPSHOT, ["_lower", "registry_path", "ord"], "position")
         .withColumn("wish_key", match_key(F.col("name")))
+        .select(*_SNAPSHOT, "registry_path", "ord", "name", "position", "wish_key")
+    )
+    catalog = durable(offers(packages, by))
+    listings = catalog.select(*by, "offer_key", "place", "package_id")
+    listed_twice = (
+        listings.groupBy(*by, "package_id").count().filter(F.col("count") > 1).drop("count")
+    )
+    shared = (
+        listings.join(listed_twice, [*by, "package_id"], "left_semi")
+        .select(*by, "offer_key")
+        .distinct()
+        .withColumn("shared", F.lit(True))
     )
-    catalog = durable(offers(packages, by, hot_rows))
-    names = catalog.groupBy(*by, "offer_key").agg(
-        F.min("offer_ord").alias("first_ord"), F.count("*").alias("capacity")
+    names = (
+        catalog.groupBy(*by, "offer_key")
+        .agg(F.min("offer_ord").alias("first_ord"), F.count("*").alias("capacity"))
+        .join(shared, [*by, "offer_key"], "left")
+        .fillna(False, subset=["shared"])
     )
     wanted = (
         ranked.filter(F.col("wish_key") != "")
         .select(*by, F.col("wish_key").alias("key"))
         .distinct()
     )
-    lists = durable(wishes(wanted, names, by, hot_rows))
+    lists = durable(wishes(wanted, durable(names), by))
     seekers = ranked.join(
         lists.select(*by, "wish_key").distinct(), [*by, "wish_key"], "left_semi"
     ).select(*_columns(by), "wish_key", "position")
-
-    listings = catalog.select(*by, "offer_key", "place", "package_id")
-    listed_twice = (
-        listings.groupBy(*by, "package_id").count().filter(F.col("count") > 1).drop("count")
-    )
-    shared = not listed_twice.isEmpty()
-
-    used = None
-    results = []
-    while True:
-        settled = _settle(seekers, lists, used, by, hot_rows)
-        chosen = _free_places(settled, used, by, hot_rows).join(
-            listings, [*by, "offer_key", "place"]
-        )
-        if not shared:
-            results.append(chosen)
-            break
-        # One id under several names: the first taker has it.  Everything before the
-        # first clash of a snapshot stands; the rest of that snapshot chooses again.
-        chosen = durable(chosen)
-        taken = [*_columns(by), "package_id"]
-        first = chosen.groupBy(*taken).agg(
-            F.min("position").alias("_first"), F.count("*").alias("_takers")
-        )
-        clash = (
-            chosen.join(first.filter(F.col("_takers") > 1), taken)
-            .filter(F.col("position") > F.col("_first"))
-            .groupBy(*_columns(by))
-            .agg(F.min("position").alias("_clash"))
-        )
-        marked = durable(chosen.join(clash, _columns(by), "left"))
-        stands = F.col("_clash").isNull() | (F.col("position") < F.col("_clash"))
-        standing = marked.filter(stands).drop("_clash")
-        results.append(standing)
-        clashing = marked.filter(F.col("_clash").isNotNull()).select(*_columns(by), "_clash").distinct()
-        if clashing.isEmpty():
-            break
-        seekers = durable(
-            seekers.join(clashing, _columns(by))
-            .filter(F.col("position") >= F.col("_clash"))
-            .drop("_clash")
-        )
-        newly = (
-            standing.join(clashing, _columns(by), "left_semi")
-            .select(*_columns(by), "package_id")
-            .join(listings, [*by, "package_id"])
-            .select(*_columns(by), "offer_key", "place")
-        )
-        used = durable(newly if used is None else used.unionByName(newly).distinct())
-
-    matched = results[0]
-    for more in results[1:]:
-        matched = matched.unionByName(more)
+    matched, *more = _settle(seekers, lists, listings, by)
+    for part in more:
+        matched = matched.unionByName(part)
     details = matched.join(
         catalog.select(
             *by, "offer_key", "place", "package_name", "package_version", "package_source"
@@ -261,7 +269,15 @@ def match_catalog(
         "package_version",
         "package_source",
     )
-    return ranked.drop("wish_key").join(details, [*_SNAPSHOT, "position"], "left")
+    placed = ranked.join(details, [*_SNAPSHOT, "position"], "left").drop("wish_key", "name")
+    row = [*_SNAPSHOT, "registry_path", "ord"]
+    keyed = placed.select(
+        *[F.col(name).alias(f"_{name}") for name in row], *[c for c in placed.columns if c not in row]
+    )
+    same = F.lit(True)
+    for name in row:
+        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+    return entries.join(keyed, same).drop(*[f"_{name}" for name in row])
 
 
 def match_summary(matches: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:

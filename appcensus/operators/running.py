@@ -1,69 +1,30 @@
-"""Running totals within groups, also where one group holds most of the rows."""
+"""Running totals within groups, also where one group holds most of the rows.
+
+A group is cut into slices along its order.  Every slice is totalled on its own, and what
+came before a slice is added from the totals of the slices before it.  There is one way of
+doing this, whatever the size of a group.
+"""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from appcensus.operators.durable import durable
 
-HOT_ROWS = 2_000_000
-"""A group above this size is cut into slices; below it one task can order it."""
+SLICE = 65_536
+"""Length of a slice where the order is a number that counts rows."""
 
 _AGGREGATES = {"sum": F.sum, "max": F.max}
 
 
-def _whole_groups(df: DataFrame, keys: list[str], order: list[str], totals) -> DataFrame:
-    window = (
-        Window.partitionBy(*keys)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return df.withColumns(
-        {name: _AGGREGATES[kind](value).over(window) for name, (kind, value) in totals.items()}
-    )
-
+def along(number: str) -> Column:
+    """The slice of a row whose order begins with ``number``."""
+    return F.floor(F.col(number) / SLICE)
 
-def _sliced_groups(
-    df: DataFrame, keys: list[str], order: list[str], totals, slices: int
-) -> DataFrame:
-    # The slice number of a row depends on sampled range bounds, so it is written
-    # down once; everything below reads the same number.
-    cut = durable(
-        df.withColumns({f"_in_{name}": value for name, (_, value) in totals.items()})
-        .repartitionByRange(slices, *keys, *order)
-        .withColumn("_slice", F.spark_partition_id())
-    )
-    within = {name: (kind, F.col(f"_in_{name}")) for name, (kind, _) in totals.items()}
-    local = _whole_groups(cut, [*keys, "_slice"], order, within)
-
-    earlier = (
-        Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    slice_totals = cut.groupBy(*keys, "_slice").agg(
-        *[_AGGREGATES[kind](f"_in_{name}").alias(f"_of_{name}") for name, (kind, _) in totals.items()]
-    )
-    carried = slice_totals.withColumns(
-        {
-            f"_before_{name}": _AGGREGATES[kind](f"_of_{name}").over(earlier)
-            for name, (kind, _) in totals.items()
-        }
-    )
-    some = next(iter(totals))
-    carried = carried.filter(F.col(f"_before_{some}").isNotNull()).select(
-        *keys, "_slice", *[f"_before_{name}" for name in totals]
-    )
 
-    # Only the first group of a slice can have begun in an earlier slice, so
-    # ``carried`` holds fewer rows than there are slices.
-    joined = local.join(F.broadcast(carried), [*keys, "_slice"], "left")
-    for name, (kind, _) in totals.items():
-        before = F.col(f"_before_{name}")
-        combined = (
-            F.col(name) + F.coalesce(before, F.lit(0))
-            if kind == "sum"
-            else F.greatest(F.col(name), before)
-        )
-        joined = joined.withColumn(name, combined)
-    return joined.select(*df.columns, *totals)
+def _together(kind: str, before: Column, here: Column) -> Column:
+    """Null is the total of no values."""
+    both = before + here if kind == "sum" else F.greatest(before, here)
+    return F.when(before.isNull(), here).when(here.isNull(), before).otherwise(both)
 
 
 def running(
@@ -71,25 +32,63 @@ def running(
     keys: list[str],
     order: list[str],
     totals: dict[str, tuple[str, Column]],
-    hot_rows: int | None = None,
+    slices: Column | None = None,
 ) -> DataFrame:
     """Add running ``sum`` or ``max`` columns, in ``order`` within ``keys``.
 
-    ``order`` must be unique within a group, and ``df`` cheap to read twice: its rows
-    are counted first, and its groups when there are many rows.  The counts are
-    pre-aggregated and only one number reaches the driver.
+    ``order`` must be unique within a group, and ``df`` cheap to read twice.  ``slices``
+    is the slice of a row and must not fall along ``order``; without it, ranges of the
+    sorted rows are the slices.  These depend on sampled bounds and are written down.
     """
-    limit = hot_rows or HOT_ROWS
-    total = df.count()
-    if total > limit:
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-        if largest > limit:
-            return _sliced_groups(df, keys, order, totals, 2 * -(-total // limit))
-    return _whole_groups(df, keys, order, totals)
+    cut = df.withColumns({f"_in_{name}": value for name, (_, value) in totals.items()})
+    if slices is None:
+        ranged = cut.repartitionByRange(*keys, *order)
+        cut = durable(ranged.withColumn("_slice", F.spark_partition_id().cast("bigint")))
+    else:
+        cut = cut.withColumn("_slice", slices)
+    here = (
+        Window.partitionBy(*keys, "_slice")
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    local = cut.withColumns(
+        {name: _AGGREGATES[kind](f"_in_{name}").over(here) for name, (kind, _) in totals.items()}
+    )
+
+    # A row per group and slice; most groups have one slice and carry nothing on.
+    earlier = (
+        Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried = (
+        cut.groupBy(*keys, "_slice")
+        .agg(*[_AGGREGATES[k](f"_in_{name}").alias(f"_of_{name}") for name, (k, _) in totals.items()])
+        .withColumns(
+            {
+                f"_before_{name}": _AGGREGATES[kind](f"_of_{name}").over(earlier)
+                for name, (kind, _) in totals.items()
+            }
+        )
+    )
+    some = F.coalesce(*[F.col(f"_before_{name}") for name in totals]).isNotNull()
+    at = [*keys, "_slice"]
+    carried = carried.filter(some).select(
+        *[F.col(key).alias(f"_at_{key}") for key in at], *[f"_before_{name}" for name in totals]
+    )
+    same = F.lit(True)
+    for key in at:
+        same = same & F.col(key).eqNullSafe(F.col(f"_at_{key}"))
+    joined = local.join(carried, same, "left")
+    return joined.select(
+        *df.columns,
+        *[
+            _together(kind, F.col(f"_before_{name}"), F.col(name)).alias(name)
+            for name, (kind, _) in totals.items()
+        ],
+    )
 
 
 def numbered(
-    df: DataFrame, keys: list[str], order: list[str], name: str, hot_rows: int | None = None
+    df: DataFrame, keys: list[str], order: list[str], name: str, slices: Column | None = None
 ) -> DataFrame:
     """Number the rows of each group from 1, in ``order``."""
-    return running(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}, hot_rows)
+    return running(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}, slices)

@@ -29,7 +29,7 @@ def entry(name, ord=0, host="h1", snapshot_id="s1", **fields):
         "architecture": "64-bit",
         "uninstall_string": None,
         "quiet_uninstall_string": None,
-        "registry_path": f"path-{ord:04d}",
+        "registry_path": f"path-{ord or 0:04d}",
         "release_type": None,
         "system_component": False,
         "source": "registry",
