@@ -7,6 +7,9 @@ from appcensus.functions.keys import completeness, dedup_keys, identity_keys
 from appcensus.schema import ENTRY_COLUMNS, GROUP, ORD
 
 
+COPIES = "copies"
+
+
 def entry_struct():
     return F.struct(*ENTRY_COLUMNS, ORD)
 
@@ -21,29 +24,29 @@ def best_per_key(entries: DataFrame, keys, group=GROUP) -> DataFrame:
 
     An aggregate with a partial step: copies collapse before the shuffle, so a key
     that holds a large share of the rows costs one small row per map task.
-    ``first_ord`` is the position of the first row seen for the key.
+    ``first_ord`` is the position of the first row seen for the key, ``copies`` their
+    number.  A scan time, which all rows of a snapshot share, is kept.
     """
+    carried = [name for name in ("scan_ts",) if name in entries.columns]
     best = (
         entries.withColumns({"_entry": entry_struct(), "_preference": preference()})
         .groupBy(*group, *keys)
         .agg(
             F.min_by("_entry", "_preference").alias("_entry"),
             F.min(ORD).alias("first_ord"),
+            F.count("*").alias(COPIES),
+            *[F.min(name).alias(name) for name in carried],
         )
     )
-    rows = best.select(*group, *best.columns[len(group) : -2], "_entry.*", "first_ord")
-    # Always true.  It makes every reader of this aggregate need the same columns, so
-    # that readers in one plan share one scan and one shuffle.
-    return rows.filter(F.col("first_ord") <= F.col(ORD))
+    named = [c for c in best.columns if c not in ("_entry", "first_ord", COPIES, *carried)]
+    return best.select(*named, "_entry.*", "first_ord", COPIES, *carried)
 
 
 def deduplicate(entries: DataFrame) -> DataFrame:
     """Collapse copies of an application within each snapshot."""
-    # Group columns that cannot be null keep the optimizer from adding null checks to
-    # only some readers of the result, which would stop them from sharing the shuffle.
-    named = entries.withColumns({key: F.coalesce(key, F.lit("")) for key in GROUP})
-    best = best_per_key(named, dedup_keys())
-    return best.select(*GROUP, *ENTRY_COLUMNS, F.col("first_ord").alias(ORD))
+    best = best_per_key(entries, dedup_keys())
+    kept = [name for name in (COPIES, "scan_ts") if name in best.columns]
+    return best.select(*GROUP, *ENTRY_COLUMNS, F.col("first_ord").alias(ORD), *kept)
 
 
 def index_by_identity(entries: DataFrame) -> DataFrame:

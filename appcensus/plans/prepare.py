@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from appcensus.operators.dedupe import deduplicate
+from appcensus.operators.dedupe import COPIES, deduplicate
 from appcensus.operators.filters import HIDDEN_SYSTEM, HIDDEN_UPDATE, hidden_reason
-from appcensus.operators.shadow import drop_shadowed
+from appcensus.operators.shadow import SHADOWED, with_shadowed
 from appcensus.schema import ENTRY_COLUMNS, GROUP, ORD
 
 COUNTERS = (
@@ -18,16 +18,17 @@ COUNTERS = (
 
 
 def judged(entries: DataFrame, **options) -> DataFrame:
-    """Rows left after copies and shadowed packages are gone, with ``reason``.
+    """One row per application with ``copies``, ``shadowed`` and ``reason``, in one pass.
 
     The filters come last on purpose: a hidden registry row still shadows.
     """
-    return drop_shadowed(deduplicate(entries)).withColumn("reason", hidden_reason(**options))
+    return with_shadowed(deduplicate(entries)).withColumn("reason", hidden_reason(**options))
 
 
 def prepare(entries: DataFrame, **options) -> DataFrame:
     """Rows of the reports, one snapshot after the other."""
-    return judged(entries, **options).filter(F.col("reason").isNull()).drop("reason")
+    shown = judged(entries, **options).filter(~F.col(SHADOWED) & F.col("reason").isNull())
+    return shown.drop("reason", SHADOWED, COPIES)
 
 
 def report_order() -> list:
@@ -46,19 +47,18 @@ def prepare_stats(
 
     Give ``snapshots`` (at least the group columns) to also see empty snapshots.
     """
-    raw = entries.groupBy(*GROUP).agg(F.count("*").alias("raw_entry_count"))
-    reason = F.col("reason")
-    left = (
+    left, reason = ~F.col(SHADOWED), F.col("reason")
+    counts = (
         judged(entries, **options)
         .groupBy(*GROUP)
         .agg(
-            F.count("*").alias("_left"),
-            F.count_if(reason == HIDDEN_SYSTEM).alias("filtered_system_component_count"),
-            F.count_if(reason == HIDDEN_UPDATE).alias("filtered_update_count"),
-            F.count_if(reason.isNull()).alias("result_count"),
+            F.sum(COPIES).alias("raw_entry_count"),
+            F.count_if(left).alias("_left"),
+            F.count_if(left & (reason == HIDDEN_SYSTEM)).alias("filtered_system_component_count"),
+            F.count_if(left & (reason == HIDDEN_UPDATE)).alias("filtered_update_count"),
+            F.count_if(left & reason.isNull()).alias("result_count"),
         )
     )
-    counts = raw.join(left, list(GROUP), "left")
     if snapshots is not None:
         counts = snapshots.select(*GROUP).distinct().join(counts, list(GROUP), "left")
     counts = counts.fillna(

@@ -132,13 +132,29 @@ def test_report_order(spark):
 
 def test_sliced_groups_equal_whole_groups(spark):
     rng = random.Random(1)
-    data = [("hot" if rng.random() < 0.7 else f"g{i % 9}", i, rng.randrange(50)) for i in range(400)]
-    df = spark.createDataFrame(data, "g string, o long, v long")
-    totals = {"total": ("sum", F.col("v")), "top": ("max", F.col("v"))}
-    whole = sorted(map(tuple, running(df, ["g"], ["o"], totals).collect()))
-    sliced = running(df, ["g"], ["o"], totals, hot_rows=25)
-    assert sorted(map(tuple, sliced.collect())) == whole
-    assert numbered(df, ["g"], ["o"], "n", 25).filter("g = 'hot'").agg(F.max("n")).first()[0] == sum(
+    # A hot group, a group without a name, and values that are missing.
+    data = [
+        (
+            None if i % 11 == 0 else "hot" if rng.random() < 0.7 else f"g{i % 9}",
+            i,
+            rng.randrange(50) if i % 3 else None,
+            -i if i > 200 else None,
+        )
+        for i in range(400)
+    ]
+    df = spark.createDataFrame(data, "g string, o long, v long, w long").repartition(3)
+    totals = {"total": ("sum", F.col("v")), "top": ("max", F.col("w"))}
+    expected, sums, tops = [], {}, {}
+    for g, o, v, w in data:
+        if v is not None:
+            sums[g] = sums.get(g, 0) + v
+        if w is not None:
+            tops[g] = max(tops.get(g, w), w)
+        expected.append((g, o, v, w, sums.get(g), tops.get(g)))
+    for slices in (None, F.floor(F.col("o") / 7)):
+        got = map(tuple, running(df, ["g"], ["o"], totals, slices).collect())
+        assert sorted(got, key=str) == sorted(expected, key=str)
+    assert numbered(df, ["g"], ["o"], "n").filter("g = 'hot'").agg(F.max("n")).first()[0] == sum(
         1 for g, *_ in data if g == "hot"
     )
 
@@ -150,3 +166,20 @@ def test_plans_join_by_keys_and_scan_once(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert plan.count("FileScan") == 1
+
+
+def test_one_read_before_any_reuse(spark, tmp_path):
+    fleet(spark, MIXED).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    for df in (prepare(rows), prepare_stats(rows)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_rows_without_position_or_host_survive(spark):
+    rows = [entry("App", None), entry("App", 1, version="2"), entry("Other", 2, host=None)]
+    df = fleet(spark, rows)
+    assert sorted(n for n, *_ in names(prepare(df))) == ["App", "App", "Other"]
+    counts = {r.host: (r.raw_entry_count, r.deduplicated_count) for r in prepare_stats(df).collect()}
+    assert sum(raw for raw, _ in counts.values()) == 3
+    assert all(gone == 0 for _, gone in counts.values())
+    assert None in counts and "" not in counts
