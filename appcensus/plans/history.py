@@ -1,11 +1,9 @@
 """Snapshots of the same host over time."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from appcensus.operators.diff import diff_sides
-from appcensus.operators.durable import durable
-from appcensus.operators.running import numbered
 from appcensus.schema import ENTRY_COLUMNS, GROUP, ORD
 
 PAIR = ["host", "old_snapshot_id", "snapshot_id"]
@@ -27,18 +25,21 @@ def latest_inventory(entries: DataFrame, snapshots: DataFrame | None = None) ->
     return entries.join(latest_snapshots(known), list(GROUP), "left_semi")
 
 
-def previous_snapshots(snapshots: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def previous_snapshots(snapshots: DataFrame) -> DataFrame:
     """Pair every snapshot with the one before it on the same host.
 
-    The first snapshot of a host has none and is left out.  ``snapshots`` has one row
-    per snapshot.
+    The first snapshot of a host has none and is left out.  ``snapshots`` has one narrow row
+    per snapshot: a group is the scans that one host ever had.
     """
-    order = durable(snapshots.select(*GROUP, "scan_ts"))
-    seq = numbered(order, ["host"], ["scan_ts", "snapshot_id"], "seq", hot_rows)
-    old = seq.select(
-        "host", (F.col("seq") + 1).alias("seq"), F.col("snapshot_id").alias("old_snapshot_id")
+    on_host = Window.partitionBy("host").orderBy("scan_ts", "snapshot_id")
+    before = F.lag(F.struct("snapshot_id")).over(on_host)
+    return (
+        snapshots.select(*GROUP, "scan_ts")
+        .withColumn("_before", before)
+        .filter(F.col("_before").isNotNull())
+        .select("host", F.col("_before.snapshot_id").alias("old_snapshot_id"), "snapshot_id")
+        .select(*PAIR)
     )
-    return seq.join(old, ["host", "seq"]).select(*PAIR)
 
 
 def consecutive_diff(

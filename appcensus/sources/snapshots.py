@@ -99,7 +99,7 @@ def parse_snapshots(texts: DataFrame) -> DataFrame:
 
 
 def snapshot_table(parsed: DataFrame) -> DataFrame:
-    """One row per usable snapshot.  A bare array is known by its path."""
+    """One row per usable file.  A bare array is known by its path."""
     return parsed.filter(F.col("status") == "ok").select(
         F.coalesce(clean(F.col("scan.hostname")), F.col("path")).alias("host"),
         F.coalesce(clean(F.col("scan.started_at")), F.col("path")).alias("snapshot_id"),
@@ -110,6 +110,42 @@ def snapshot_table(parsed: DataFrame) -> DataFrame:
     )
 
 
+def _repeated(table: DataFrame) -> DataFrame:
+    """``path, repeats``: files whose snapshot another file with a smaller path gives too."""
+    paths = table.select(*GROUP, "path")
+    first = paths.groupBy(*[F.col(key).alias(f"_{key}") for key in GROUP]).agg(
+        F.min("path").alias("_first"), F.max("path").alias("_last")
+    )
+    same = (F.col("host") == F.col("_host")) & (F.col("snapshot_id") == F.col("_snapshot_id"))
+    return (
+        paths.join(first.filter("_first <> _last"), same)
+        .filter(F.col("path") != F.col("_first"))
+        .select("path", F.col("_first").alias("repeats"))
+    )
+
+
+def unique_snapshots(table: DataFrame) -> DataFrame:
+    """One row per snapshot: of several files the one with the smallest path counts.
+
+    ``snapshot_status`` names the others.
+    """
+    return table.join(_repeated(table).select("path"), "path", "left_anti").select(*table.columns)
+
+
+def snapshot_status(parsed: DataFrame) -> DataFrame:
+    """``path, status, reason`` of every file: ok, bad, or repeated."""
+    again = _repeated(snapshot_table(parsed)).withColumnRenamed("path", "_path")
+    marked = parsed.join(again, F.col("path") == F.col("_path"), "left")
+    repeats = F.col("repeats").isNotNull()
+    return marked.select(
+        "path",
+        F.when(repeats, "repeated").otherwise(F.col("status")).alias("status"),
+        F.when(repeats, F.concat(F.lit("the same snapshot is in "), "repeats"))
+        .otherwise(F.col("reason"))
+        .alias("reason"),
+    )
+
+
 def rehydrate(raw: Column, text: Column) -> dict[str, Column]:
     """Entry fields out of the fields of a stored row."""
     fields = {

@@ -4,20 +4,29 @@ Each batch is read, prepared and added to the history, and every new snapshot is
 compared with the one before it on its host.  All tables are folders per batch that a
 replayed batch overwrites, so a batch that runs twice leaves the same result.
 
-A snapshot that arrives late is stored and compared with its own predecessor; it
-does not become the latest of its host.
+A snapshot that arrives late is stored and compared with its own predecessor, and its
+successor is compared again, with it.  It does not become the latest of its host.  A batch
+also stores the pairs it compared: the newest pair of a snapshot is the current one, so
+``current_diffs`` is what a batch job over all files gives.  A snapshot that comes again in
+another file counts once; the file is listed in ``rejected`` as repeated.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from appcensus.operators.durable import durable
+from appcensus.operators.durable import durable, temporary_tables
 from appcensus.plans.history import PAIR, consecutive_diff, latest_snapshots, previous_snapshots
 from appcensus.plans.prepare import prepare
 from appcensus.schema import ENTRY_COLUMNS, ENTRY_SCHEMA, GROUP, ORD
 from appcensus.sources.files import quarantine, stream_texts
-from appcensus.sources.snapshots import parse_snapshots, snapshot_entries, snapshot_table
+from appcensus.sources.snapshots import (
+    parse_snapshots,
+    snapshot_entries,
+    snapshot_status,
+    snapshot_table,
+    unique_snapshots,
+)
 
 _SNAPSHOTS = T.StructType(
     [
@@ -28,6 +37,9 @@ _SNAPSHOTS = T.StructType(
         T.StructField("batch", T.LongType()),
     ]
 )
+_PAIRS = T.StructType(
+    [*[T.StructField(key, T.StringType()) for key in PAIR], T.StructField("batch", T.LongType())]
+)
 _ROWS = T.StructType(
     [
         *_SNAPSHOTS.fields[:2],
@@ -62,20 +74,37 @@ def latest_rows(spark: SparkSession, store: str) -> DataFrame:
     return stored_rows(spark, store).join(newest, list(GROUP), "left_semi")
 
 
+def current_diffs(spark: SparkSession, store: str) -> DataFrame:
+    """The diff of each snapshot with the one before it, as known now."""
+    pairs = _stored(spark, store, "pairs", _PAIRS)
+    newest = pairs.groupBy("host", "snapshot_id").agg(F.max("batch").alias("batch"))
+    current = pairs.join(newest, ["host", "snapshot_id", "batch"], "left_semi")
+    diffs = spark.read.option("basePath", f"{store}/diffs").parquet(f"{store}/diffs")
+    return diffs.join(current, [*PAIR, "batch"], "left_semi").drop("batch")
+
+
 def take_in(texts: DataFrame, batch: int, store: str, **options) -> None:
     """Process one batch of snapshot files."""
     spark = texts.sparkSession
-    parsed = parse_snapshots(texts)
-    quarantine(parsed).write.mode("overwrite").parquet(_folder(store, "rejected", batch))
-
-    # A snapshot sent in two files counts once, and one known from an earlier batch
-    # does not count again.
-    found = snapshot_table(parsed)
-    once = found.groupBy(*GROUP).agg(F.min("path").alias("path"))
-    fresh = found.join(once, [*GROUP, "path"], "left_semi")
+    with temporary_tables(spark):
+        _take_in(spark, durable(parse_snapshots(texts)), batch, store, options)
+
+
+def _take_in(spark: SparkSession, parsed: DataFrame, batch: int, store: str, options) -> None:
+    found = unique_snapshots(snapshot_table(parsed))
+    left_out = quarantine(snapshot_status(parsed))
+    fresh = found
     if batch > 0:
         known = stored_snapshots(spark, store).filter(F.col("batch") < batch)
-        fresh = fresh.join(known, list(GROUP), "left_anti")
+        fresh = found.join(known, list(GROUP), "left_anti")
+        earlier = known.select(*GROUP, F.col("path").alias("_earlier"))
+        again = found.select(*GROUP, "path").join(earlier, list(GROUP)).select(
+            "path",
+            F.lit("repeated").alias("status"),
+            F.concat(F.lit("the same snapshot is in "), "_earlier").alias("reason"),
+        )
+        left_out = left_out.unionByName(again)
+    left_out.write.mode("overwrite").parquet(_folder(store, "rejected", batch))
 
     fresh.select(*GROUP, "scan_ts", "path").write.mode("overwrite").parquet(
         _folder(store, "snapshots", batch)
@@ -86,10 +115,15 @@ def take_in(texts: DataFrame, batch: int, store: str, **options) -> None:
     )
 
     snapshots = stored_snapshots(spark, store).filter(F.col("batch") <= batch)
-    mine = snapshots.filter(F.col("batch") == batch)
+    mine = durable(snapshots.filter(F.col("batch") == batch).select(*GROUP))
     on_hosts = snapshots.join(mine.select("host").distinct(), "host", "left_semi")
-    pairs = previous_snapshots(on_hosts).join(mine, list(GROUP), "left_semi")
-    pairs = durable(pairs.select(*PAIR))
+    pairs = durable(previous_snapshots(on_hosts))
+    old = mine.withColumnRenamed("snapshot_id", "old_snapshot_id")
+    as_new = pairs.join(mine, list(GROUP), "left_semi")
+    as_old = pairs.join(old, ["host", "old_snapshot_id"], "left_semi")
+    pairs = as_new.unionByName(as_old).distinct()
+    pairs.select(*PAIR).write.mode("overwrite").parquet(_folder(store, "pairs", batch))
+    pairs = _stored(spark, store, "pairs", _PAIRS).filter(F.col("batch") == batch).select(*PAIR)
     # Only the two snapshots of each pair are read, in the folders that hold them.
     sides = pairs.select("host", F.explode(F.array("old_snapshot_id", "snapshot_id")).alias("snapshot_id"))
     needed = snapshots.join(sides, list(GROUP), "left_semi").select(*GROUP, "batch")

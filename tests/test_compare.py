@@ -9,24 +9,26 @@ from tests.rows import entry, fleet
 FIELDS = D.COMPARED_FIELDS
 
 
-def identity(row):
-    path = row["registry_path"].strip().lower()
-    if row["source"] == "appx" and path.startswith("appx:"):
-        return (path, "", row["architecture"].lower())
-    low = lambda v: (v or "").strip().lower()
-    return (low(row["name"]), low(row["publisher"]), low(row["install_location"]).rstrip("\\/"))
+# The values the random rows are made of, and what tells applications apart, by hand.
+NAMES = {"App": "app", "app": "app", "Tool ": "tool", "Kit": "kit"}
+PUBLISHERS = {"P": "p", "p": "p", None: ""}
+PLACES = {None: "", "C:\\X": "c:\\x", "C:\\x\\": "c:\\x"}
+PACKAGES = {"appx:F": "appx:f", "appx:G": "appx:g"}
 
 
-def score(row):
-    detail = ("version", "publisher", "install_date", "install_location", "estimated_size_kb",
-              "uninstall_string", "quiet_uninstall_string", "release_type")
-    return sum(row[f] is not None and str(row[f]).strip() != "" for f in detail)
+def label(row):
+    """The application a random row is of; packages are known by their path."""
+    if row["source"] == "appx" and row["registry_path"] in PACKAGES:
+        return PACKAGES[row["registry_path"]], "", row["architecture"]
+    return NAMES[row["name"]], PUBLISHERS[row["publisher"]], PLACES[row["install_location"]]
 
 
 def index(rows):
+    """The row with most of its optional values given stands for its application."""
     best = {}
-    for row in sorted(rows, key=lambda r: (-score(r), r["registry_path"], r["ord"])):
-        best.setdefault(identity(row), row)
+    missing = lambda r: sum(r[f] is None for f in ("version", "publisher", "install_location", "estimated_size_kb"))
+    for row in sorted(rows, key=lambda r: (missing(r), r["registry_path"], r["ord"])):
+        best.setdefault(label(row), row)
     return best
 
 
@@ -109,7 +111,7 @@ def test_consecutive_pairs_and_empty_snapshots(spark):
         pair = df.filter((F.col("old_snapshot_id") == old) & (F.col("snapshot_id") == new))
         assert got_diff(pair) == expected_diff(rows[old], rows[new])
     assert df.filter("host = 'h2'").isEmpty()
-    pairs = H.previous_snapshots(snapshots, hot_rows=2)
+    pairs = H.previous_snapshots(snapshots)
     assert sorted(map(tuple, pairs.collect())) == [
         ("h1", "s1", "s2"), ("h1", "s2", "s3"), ("h1", "s3", "s4"),
     ]

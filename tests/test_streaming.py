@@ -5,8 +5,15 @@ from pyspark.sql import functions as F
 from appcensus.plans.history import consecutive_diff, snapshots_of
 from appcensus.plans.prepare import prepare
 from appcensus.sources.files import read_texts
-from appcensus.sources.snapshots import parse_snapshots, snapshot_entries, snapshot_table
+from appcensus.sources.snapshots import (
+    parse_snapshots,
+    snapshot_entries,
+    snapshot_status,
+    snapshot_table,
+    unique_snapshots,
+)
 from appcensus.streaming.intake import (
+    current_diffs,
     latest_rows,
     run_intake,
     stored_rows,
@@ -35,9 +42,19 @@ def statuses(df):
 LATE = [
     ("a", "2026-01-01T00:00:00Z", "2026-01-02T00:00:00Z", "X", "removed"),
     ("a", "2026-01-01T00:00:00Z", "2026-01-02T00:00:00Z", "Y", "changed"),
+    ("a", "2026-01-02T00:00:00Z", "2026-01-03T00:00:00Z", "X", "added"),
+    ("a", "2026-01-02T00:00:00Z", "2026-01-03T00:00:00Z", "Y", "removed"),
+    ("a", "2026-01-02T00:00:00Z", "2026-01-03T00:00:00Z", "Z", "added"),
 ]
 
 
+def batch_diffs(spark, inbox):
+    """What a batch job over all files gives."""
+    table = unique_snapshots(snapshot_table(parse_snapshots(read_texts(spark, str(inbox)))))
+    rows = prepare(snapshot_entries(table))
+    return consecutive_diff(rows, snapshots=table.select("host", "snapshot_id", "scan_ts"))
+
+
 def test_intake_equals_batch(spark, tmp_path):
     inbox, store = tmp_path / "inbox", str(tmp_path / "store")
     inbox.mkdir()
@@ -54,22 +71,17 @@ def test_intake_equals_batch(spark, tmp_path):
     write(inbox, "again.json", "a", 1, [("other", "1")])
     run()
     assert stored_snapshots(spark, store).count() == 4
-    assert spark.read.parquet(f"{store}/rejected").count() == 1
-
-    diffs = spark.read.parquet(f"{store}/diffs")
-    texts = read_texts(spark, str(inbox))
-    texts = texts.filter(~F.col("path").rlike("broken|again"))
-    table = snapshot_table(parse_snapshots(texts))
-    rows = prepare(snapshot_entries(table))
-    expected = consecutive_diff(rows, snapshots=table.select("host", "snapshot_id", "scan_ts"))
-    assert statuses(diffs) == statuses(expected)
-    assert {s[-1] for s in statuses(diffs)} == {"added", "removed", "changed"}
+    rejected = spark.read.parquet(f"{store}/rejected")
+    assert sorted(r.status for r in rejected.collect()) == ["bad", "repeated"]
+    assert statuses(current_diffs(spark, store)) == statuses(batch_diffs(spark, inbox))
+    assert {s[-1] for s in statuses(batch_diffs(spark, inbox))} == {"added", "removed", "changed"}
 
     # A late snapshot meets its own predecessor and does not become the latest.
     write(inbox, "a2.json", "a", 2, [("Y", "5")])
     run()
     late = spark.read.parquet(f"{store}/diffs").filter("batch = 2")
     assert statuses(late) == LATE
+    assert statuses(current_diffs(spark, store)) == statuses(batch_diffs(spark, inbox))
     assert {(r.host, r.name) for r in latest_rows(spark, store).collect()} == {("a", "X"), ("a", "Z")}
 
     # A replayed batch changes nothing.
@@ -80,6 +92,21 @@ def test_intake_equals_batch(spark, tmp_path):
     assert statuses(spark.read.parquet(f"{store}/diffs").filter("batch = 2")) == LATE
 
 
+def test_repeated_snapshot_in_one_batch(spark, tmp_path):
+    inbox, store = tmp_path / "inbox", str(tmp_path / "store")
+    inbox.mkdir()
+    write(inbox, "b.json", "a", 1, [("X", "1")])
+    write(inbox, "a.json", "a", 1, [("Y", "1")])
+    texts = read_texts(spark, str(inbox))
+    status = {r.path.rpartition("/")[2]: r.status for r in snapshot_status(parse_snapshots(texts)).collect()}
+    assert status == {"a.json": "ok", "b.json": "repeated"}
+    take_in(texts, 0, store)
+    assert [r.name for r in stored_rows(spark, store).collect()] == ["Y"]
+    rejected = spark.read.parquet(f"{store}/rejected").collect()
+    assert [(r.path.rpartition("/")[2], r.status) for r in rejected] == [("b.json", "repeated")]
+    assert batch_diffs(spark, inbox).count() == 0
+
+
 def test_snapshots_of_counts_rows_only(spark, tmp_path):
     write(tmp_path, "a.json", "a", 1, [("X", "1")])
     write(tmp_path, "b.json", "b", 1, [])
