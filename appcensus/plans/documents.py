@@ -12,6 +12,7 @@ from appcensus.functions import values as V
 from appcensus.functions.text import cell, json_object, json_value, markdown_cell, quoted
 from appcensus.operators.diff import ADDED, CHANGED, COMPARED_FIELDS, REMOVED, diff_summary
 from appcensus.operators.matching import match_summary
+from appcensus.operators.running import numbered
 from appcensus.plans.prepare import prepare_stats
 from appcensus.schema import ENTRY_COLUMNS, GROUP, ORD, REPORT_VERSION, SCAN_SCHEMA
 
@@ -75,6 +76,11 @@ def in_order(pieces: DataFrame, group: list[str]) -> DataFrame:
     return pieces.orderBy(*group, *ORDER)
 
 
+def with_position(pieces: DataFrame, group: list[str]) -> DataFrame:
+    """Number the pieces of every document from 1, in their order."""
+    return numbered(pieces, group, ORDER, "position")
+
+
 def _object(struct: Column, fields, pretty_indent: int | None = None) -> Column:
     if pretty_indent is None:
         return F.to_json(
@@ -173,17 +179,38 @@ def report_pieces(
 # Diffs
 
 
-def _changes_json(old: Column, new: Column) -> Column:
+def _fields_json(fields: list[tuple[str, Column]], indent: int | None) -> Column:
+    """A JSON object, on one line or with a line per field at ``indent``."""
+    if indent is None:
+        return json_object(fields)
+    pad = " " * indent
+    lines = [F.concat(F.lit(f'{pad}  "{name}": '), value) for name, value in fields]
+    return F.concat(F.lit("{\n"), F.concat_ws(",\n", *lines), F.lit(f"\n{pad}}}"))
+
+
+def _changes_json(old: Column, new: Column, indent: int | None = None) -> Column:
+    inner = None if indent is None else indent + 2
+    pad = "" if indent is None else " " * inner
     changed = [
         F.when(
             ~old[f].eqNullSafe(new[f]),
-            json_object(
-                [("field", F.lit(f'"{f}"')), ("old", json_value(old[f])), ("new", json_value(new[f]))]
+            F.concat(
+                F.lit(pad),
+                _fields_json(
+                    [
+                        ("field", F.lit(f'"{f}"')),
+                        ("old", json_value(old[f])),
+                        ("new", json_value(new[f])),
+                    ],
+                    inner,
+                ),
             ),
         )
         for f in COMPARED_FIELDS
     ]
-    return F.concat(F.lit("["), F.concat_ws(",", *changed), F.lit("]"))
+    if indent is None:
+        return F.concat(F.lit("["), F.concat_ws(",", *changed), F.lit("]"))
+    return F.concat(F.lit("[\n"), F.concat_ws(",\n", *changed), F.lit("\n" + " " * indent + "]"))
 
 
 def _diff_section(status: Column) -> Column:
@@ -201,35 +228,58 @@ def _diff_order(name: Column) -> list[Column]:
     return [F.lower(name), tie]
 
 
-def diff_pieces(diff: DataFrame, pair: list[str], pairs: DataFrame | None = None) -> DataFrame:
+def diff_pieces(
+    diff: DataFrame, pair: list[str], pairs: DataFrame | None = None, pretty: bool = False
+) -> DataFrame:
     """Diff documents: the counts, then the added, removed and changed rows."""
     old, new = F.col("old"), F.col("new")
-    changed = json_object(
+    row, part = (4, 6) if pretty else (None, None)
+    changed = _fields_json(
         [
             ("name", json_value(F.col("name"))),
             ("old_version", json_value(F.col("old_version"))),
             ("new_version", json_value(F.col("new_version"))),
-            ("changes", _changes_json(old, new)),
-            ("old", _object(old, ENTRY_COLUMNS)),
-            ("new", _object(new, ENTRY_COLUMNS)),
-        ]
+            ("changes", _changes_json(old, new, part)),
+            ("old", _object(old, ENTRY_COLUMNS, part)),
+            ("new", _object(new, ENTRY_COLUMNS, part)),
+        ],
+        row,
     )
     body = (
-        F.when(F.col("status") == ADDED, _object(new, ENTRY_COLUMNS))
-        .when(F.col("status") == REMOVED, _object(old, ENTRY_COLUMNS))
+        F.when(F.col("status") == ADDED, _object(new, ENTRY_COLUMNS, row))
+        .when(F.col("status") == REMOVED, _object(old, ENTRY_COLUMNS, row))
         .otherwise(changed)
     )
+    if pretty:
+        body = F.concat(F.lit(" " * row), body)
     listed = diff.filter(F.col("status").isin(ADDED, REMOVED, CHANGED))
     items = _list_pieces(
         _pieces(listed, pair, _diff_section(F.col("status")), body, _diff_order(F.col("name"))),
         pair,
-        "",
-        ",",
+        "\n" if pretty else "",
+        ",\n" if pretty else ",",
     )
     summary = diff_summary(diff, pair, pairs)
     counts = json_object(
         [(s, F.col(s).cast("string")) for s in ("added", "removed", "changed", "unchanged")]
     )
+    if pretty:
+        counts = _fields_json(
+            [(s, F.col(s).cast("string")) for s in ("added", "removed", "changed", "unchanged")], 2
+        )
+
+        def after(kind: str) -> Column:
+            return F.when(F.col(kind) > 0, "\n  ]").otherwise("]")
+
+        head = F.concat(F.lit('{\n  "summary": '), counts, F.lit(',\n  "added": ['))
+        pretty_frame = F.array(
+            F.struct(F.lit(0), head),
+            F.struct(F.lit(2), F.concat(after("added"), F.lit(',\n  "removed": ['))),
+            F.struct(F.lit(4), F.concat(after("removed"), F.lit(',\n  "changed": ['))),
+            F.struct(F.lit(6), F.concat(after("changed"), F.lit("\n}"))),
+        )
+        framed = summary.select(*pair, F.inline(pretty_frame).alias("at", "text"))
+        return _union([_pieces(framed, pair, F.col("at"), F.col("text")), items])
     frame = F.array(
         F.struct(F.lit(0), F.concat(F.lit('{"summary":'), counts, F.lit(',"added":['))),
         F.struct(F.lit(2), F.lit('],"removed":[')),
@@ -336,22 +386,48 @@ def import_pieces(
     include_versions: bool = False,
     tool_version: str | None = None,
     snapshots: DataFrame | None = None,
+    pretty: bool = False,
 ) -> DataFrame:
     """Import documents: the matched packages of each snapshot in report order."""
     group = list(GROUP)
-    fields = [F.concat(F.lit('"PackageIdentifier":'), json_value(F.col("package_id")))]
+    colon = ": " if pretty else ":"
+    pad = " " * 10 if pretty else ""
+    fields = [F.concat(F.lit(f'{pad}"PackageIdentifier"{colon}'), json_value(F.col("package_id")))]
     if include_versions:
-        version = F.coalesce("package_version", "version")
+        # An empty version of the package is none; the application's own stands in.
+        version = F.coalesce(F.nullif("package_version", F.lit("")), F.nullif("version", F.lit("")))
         fields.append(
-            F.when(version.isNotNull(), F.concat(F.lit('"Version":'), json_value(version)))
+            F.when(
+                version.isNotNull(), F.concat(F.lit(f'{pad}"Version"{colon}'), json_value(version))
+            )
         )
     body = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    if pretty:
+        body = F.concat(F.lit("        {\n"), F.concat_ws(",\n", *fields), F.lit("\n        }"))
     order = [F.lit(None), F.lit(None), F.col("position")]
     found = matches.filter(F.col("package_id").isNotNull())
-    items = _list_pieces(_pieces(found, group, 1, body, order), group, "", ",")
+    before, between = ("\n", ",\n") if pretty else ("", ",")
+    items = _list_pieces(_pieces(found, group, 1, body, order), group, before, between)
 
     counts = match_summary(matches, snapshots)
     any_found = F.col("matched") > 0
+    if pretty:
+        details = ",\n".join(f'        "{name}": "{value}"' for name, value in IMPORT_SOURCE)
+        opened = (
+            f'\n    {{\n      "SourceDetails": {{\n{details}\n      }},\n      "Packages": ['
+        )
+        head = F.concat(
+            F.lit(f'{{\n  "$schema": "{IMPORT_SCHEMA}",\n  "CreationDate": "'),
+            V.utc_text_ms(creation_date),
+            F.lit('",\n  "Sources": ['),
+            F.when(any_found, opened).otherwise(""),
+        )
+        version = F.lit("")
+        if tool_version:
+            version = F.concat(F.lit(',\n  "WinGetVersion": '), json_value(F.lit(tool_version)))
+        closed = F.when(any_found, "\n      ]\n    }\n  ]").otherwise("]")
+        tail = F.concat(closed, version, F.lit("\n}"))
+        return _union([_pieces(counts, group, 0, head), items, _pieces(counts, group, 2, tail)])
     details = ",".join(f'"{name}":"{value}"' for name, value in IMPORT_SOURCE)
     head = F.concat(
         F.lit(f'{{"$schema":"{IMPORT_SCHEMA}","CreationDate":"'),
@@ -444,10 +520,11 @@ def table_lines(prepared: DataFrame, snapshots: DataFrame) -> DataFrame:
     )
 
 
-def csv_rows(prepared: DataFrame) -> DataFrame:
-    """The public columns as text: nulls empty, truth values ``True`` and ``False``."""
+def csv_rows(prepared: DataFrame, group: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """``group`` and the public columns as text: truth values ``True`` and ``False``."""
     flag = F.initcap(F.col("system_component").cast("string"))
     return prepared.select(
+        *group,
         *[
             (flag if name == "system_component" else F.col(name).cast("string")).alias(name)
             for name in ENTRY_COLUMNS

@@ -7,34 +7,57 @@ from appcensus.plans.documents import ORDER, csv_rows
 from appcensus.plans.prepare import report_order
 from appcensus.schema import ENTRY_COLUMNS, GROUP, ORD
 
-_SAFE = r"[^A-Za-z0-9._-]"
-
 
 def _folder_name(column: str):
-    return F.regexp_replace(F.col(column).cast("string"), _SAFE, "_")
+    """A name for every value and no two with the same, null and empty text included."""
+    value = F.col(column).cast("string")
+    return F.when(value.isNull(), "null").otherwise(F.concat(F.lit("is "), F.url_encode(value)))
+
+
+def _ranged(df: DataFrame, order: list, parts: int | None) -> DataFrame:
+    slices = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(slices, *order)
 
 
 def write_documents(pieces: DataFrame, group: list[str], path: str, parts: int | None = None):
-    """Write documents as text, a folder per document.
+    """Write documents as text, a folder per document; meant for chosen hosts.
 
-    The pieces are range-partitioned: a large document is several files whose names
-    sort in its order, and small ones share a task.
+    The pieces are range-partitioned by their real keys: a large document is several files
+    whose names sort in its order, and small ones share a task.
     """
-    slices = parts or int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [f"of_{name}" for name in group]
-    named = pieces.select(
-        *[_folder_name(name).alias(key) for name, key in zip(group, keys)], *ORDER, "piece"
-    )
-    ordered = named.repartitionByRange(slices, *keys, *ORDER).sortWithinPartitions(*keys, *ORDER)
+    rows = _ranged(pieces.select(*group, *ORDER, "piece"), [*group, *ORDER], parts)
+    named = rows.withColumns({key: _folder_name(name) for name, key in zip(group, keys)})
+    ordered = named.sortWithinPartitions(*keys, *ORDER)
     ordered.select(*keys, "piece").write.partitionBy(*keys).text(path)
 
 
+def write_document_rows(pieces: DataFrame, group: list[str], path: str, parts: int | None = None):
+    """Write the documents of a whole fleet as few large files.
+
+    Rows are the group columns, the order columns and the piece, sorted, in Parquet: millions
+    of snapshots are no folders, and a reader picks a document by its keys.
+    """
+    order = [*group, *ORDER]
+    rows = _ranged(pieces.select(*order, "piece"), order, parts)
+    rows.sortWithinPartitions(*order).write.parquet(path)
+
+
+_CSV = {"header": True, "nullValue": "", "emptyValue": "", "escape": '"', "lineSep": "\n"}
+
+
 def write_csv(prepared: DataFrame, path: str) -> None:
-    """Write the public columns as CSV with a header, in report order."""
+    """Write host, snapshot and the public columns as CSV with a header, in report order."""
     sorted_rows = prepared.orderBy(*GROUP, *report_order())
-    csv_rows(sorted_rows).write.csv(
-        path, header=True, nullValue="", emptyValue="", escape='"', lineSep="\n"
-    )
+    csv_rows(sorted_rows, list(GROUP)).write.csv(path, **_CSV)
+
+
+def write_csv_per_snapshot(prepared: DataFrame, path: str, parts: int | None = None) -> None:
+    """Write the public columns as CSV with a header, a folder per snapshot."""
+    rows = _ranged(prepared, [*GROUP, *report_order()], parts)
+    keys = {f"of_{name}": _folder_name(name) for name in GROUP}
+    ordered = rows.withColumns(keys).sortWithinPartitions(*keys, *report_order())
+    csv_rows(ordered, list(keys)).write.partitionBy(*keys).csv(path, **_CSV)
 
 
 def write_rows_json(prepared: DataFrame, path: str) -> None:
@@ -42,9 +65,17 @@ def write_rows_json(prepared: DataFrame, path: str) -> None:
     prepared.select(*GROUP, *ENTRY_COLUMNS).write.json(path, ignoreNullFields=False)
 
 
-def write_history(prepared: DataFrame, path: str, mode: str = "append") -> None:
-    """Add prepared rows to the history table, a folder per day of the scan."""
+def write_history(prepared: DataFrame, path: str) -> None:
+    """Put prepared rows into the history table, a folder per day of the scan and host.
+
+    Days and hosts that come again replace what they had, so that a job that runs twice
+    leaves one copy.  ``prepared`` has all snapshots of its hosts on its days.
+    """
     rows = prepared.select(*GROUP, "scan_ts", *ENTRY_COLUMNS, ORD)
-    rows.withColumn("scan_date", F.to_date("scan_ts")).write.partitionBy("scan_date").mode(
-        mode
-    ).parquet(path)
+    rows = rows.withColumns({"scan_date": F.to_date("scan_ts"), "of_host": _folder_name("host")})
+    (
+        rows.write.partitionBy("scan_date", "of_host")
+        .option("partitionOverwriteMode", "dynamic")
+        .mode("overwrite")
+        .parquet(path)
+    )

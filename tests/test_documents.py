@@ -1,4 +1,5 @@
 import json
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -156,21 +157,48 @@ def test_table_lines(spark):
     assert texts["h2", "s1"].split("\n")[2:] == ["(no matching software entries)"]
 
 
+def test_indented_documents(spark):
+    old = fleet(spark, [entry("Keep", 0), entry("Gone \"q\"", 1), entry("Up", 2, version="1")])
+    new = fleet(spark, [entry("Keep", 0), entry("Up", 2, version="2", publisher=None)])
+    for a, b in ((old, new), (new, new), (new, old)):
+        diff = compare(a, b, ["host"])
+        compact = joined(P.diff_pieces(diff, ["host"]), ["host"])
+        pretty = joined(P.diff_pieces(diff, ["host"], pretty=True), ["host"])
+        for key, text in compact.items():
+            assert pretty[key] == json.dumps(json.loads(text), indent=2, ensure_ascii=False)
+
+    matches = spark.createDataFrame(
+        [("h1", "s1", 1, "A", "1", "I.A", "2"), ("h1", "s1", 2, "B", "3", "I.B", ""),
+         ("h1", "s1", 3, "C", "", "I.C", ""), ("h2", "s1", 1, "D", "1", None, None)],
+        "host string, snapshot_id string, position long, name string, version string,"
+        " package_id string, package_version string",
+    )
+    stamp = F.lit("2026-07-17 06:00:00").cast("timestamp")
+    for options in ({}, {"include_versions": True, "tool_version": "1.9"}):
+        compact = joined(P.import_pieces(matches, stamp, **options), GROUP)
+        pretty = joined(P.import_pieces(matches, stamp, pretty=True, **options), GROUP)
+        assert len(compact) == 2
+        for key, text in compact.items():
+            assert pretty[key] == json.dumps(json.loads(text), indent=2, ensure_ascii=False)
+    packages = json.loads(compact["h1", "s1"])["Sources"][0]["Packages"]
+    assert [p.get("Version") for p in packages] == ["2", "3", None]
+
+
 def test_sinks(spark, tmp_path):
     rows = fleet(spark, ROWS)
     prepared = prepare(rows)
     scans = P.scan_metadata(rows, snapshots(spark))
     out = tmp_path / "reports"
     sinks.write_documents(P.report_pieces(prepared, scans), GROUP, str(out), parts=3)
-    folder = out / "of_host=h1" / "of_snapshot_id=s1"
+    folder = out / "of_host=is h1" / "of_snapshot_id=is s1"
     text = "".join(p.read_text(encoding="utf-8") for p in sorted(folder.glob("part-*")))
     assert len(json.loads(text)["software"]) == 3
 
     sinks.write_csv(prepared, str(tmp_path / "csv"))
     lines = [line for p in sorted((tmp_path / "csv").glob("part-*"))
              for line in p.read_text(encoding="utf-8").splitlines()]
-    assert lines[0] == ",".join(ENTRY_COLUMNS)
-    assert any(line.startswith('"beta ""x""",1.0,Acme,2026-01-01,,1280,') for line in lines)
+    assert lines[0] == ",".join([*GROUP, *ENTRY_COLUMNS])
+    assert any(line.startswith('h1,s1,"beta ""x""",1.0,Acme,2026-01-01,,1280,') for line in lines)
     assert all(line.endswith(",False,registry") for line in lines if "," in line and "name" not in line)
 
     sinks.write_rows_json(prepared, str(tmp_path / "json"))
@@ -178,6 +206,34 @@ def test_sinks(spark, tmp_path):
               for line in p.read_text(encoding="utf-8").splitlines()]
     assert len(stored) == 3 and all(set(ENTRY_COLUMNS) <= set(r) for r in stored)
 
-    dated = prepared.withColumn("scan_ts", F.lit("2026-07-17 06:00:00").cast("timestamp"))
-    sinks.write_history(dated, str(tmp_path / "history"))
+    sinks.write_csv_per_snapshot(prepared, str(tmp_path / "csvs"))
+    files = list((tmp_path / "csvs" / "of_host=is h1" / "of_snapshot_id=is s1").glob("part-*"))
+    assert files and files[0].read_text(encoding="utf-8").startswith(",".join(ENTRY_COLUMNS) + "\n")
+
+    # A history that is written twice holds every row once.
+    dated = prepare(rows.withColumn("scan_ts", F.lit("2026-07-17 06:00:00").cast("timestamp")))
+    for _ in range(2):
+        sinks.write_history(dated, str(tmp_path / "history"))
     assert (tmp_path / "history" / "scan_date=2026-07-17").is_dir()
+    assert spark.read.parquet(str(tmp_path / "history")).count() == prepared.count()
+
+
+def test_documents_of_all_hosts_stay_apart(spark, tmp_path):
+    hosts = ["日本", "中国", "a b", "a_b", "a/b", "", None, "null", "is null"]
+    rows = fleet(spark, [entry(f"App {i}", i, host=host) for i, host in enumerate(hosts)])
+    pieces = P.report_pieces(prepare(rows), P.scan_metadata(rows, spark.createDataFrame(
+        [(h, "s1", datetime(2026, 7, 17), datetime(2026, 7, 17), "win") for h in hosts if h is not None],
+        "host string, snapshot_id string, started_at timestamp, completed_at timestamp, platform string",
+    )))
+    pieces = pieces.filter("host is not null")
+    out = tmp_path / "reports"
+    sinks.write_documents(pieces, GROUP, str(out), parts=3)
+    found = set()
+    for folder in out.glob("of_host=*/of_snapshot_id=*"):
+        text = "".join(p.read_text(encoding="utf-8") for p in sorted(folder.glob("part-*")))
+        document = json.loads(text)
+        found.add((document["scan"]["hostname"], document["software"][0]["name"]))
+    assert found == {(host, f"App {i}") for i, host in enumerate(hosts) if host is not None}
+    sinks.write_document_rows(pieces, GROUP, str(tmp_path / "few"), parts=2)
+    stored = spark.read.parquet(str(tmp_path / "few"))
+    assert stored.count() == pieces.count() and len(stored.inputFiles()) <= 2
