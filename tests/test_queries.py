@@ -5,6 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 DATA = contract.FLAGSHIP_DATA
@@ -19,11 +21,13 @@ def rows_by_name(rows, columns):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize(
-    "name", ["prepare", "prepare_stats", "consecutive_diff", "catalog_match", "report_document"]
+    "name", ["prepare", "prepare_stats", "consecutive_diff", "catalog_match", "report_document", "report_positions",
+     "diff_document_positions", "snapshot_status", "csv_rows_by_snapshot"]
 )
 def test_same_as_sql(spark, name):
     connection = duckdb.connect()

@@ -716,3 +716,35 @@ ORACLE: dict[str, str] = {
       case when system_component then 'True' else 'False' end as system_component, source
       from prepared""",
 }
+
+ORACLE["csv_rows_by_snapshot"] = ORACLE["csv_rows"].replace(
+    " select name, version,", " select host, snapshot_id, name, version,"
+)
+ORACLE["report_positions"] = f"""{prepared()} select host, snapshot_id,
+  row_number() over (partition by host, snapshot_id order by lower(name), registry_path, ord) as position,
+  name, registry_path, ord from prepared"""
+ORACLE["snapshot_status"] = f"""
+with files as (
+  select o_orderkey, 'snapshot-' || o_orderkey as path, {SNAPSHOT_BAD} as reason,
+    case when o_orderkey % 11 in (0, 6) then 'snapshot-' || o_orderkey
+      else o_custkey % 20 || ' ' || strftime(o_orderdate, '%Y-%m-%d') end as snapshot
+  from orders
+), firsts as (select snapshot, min(path) as first from files where reason is null group by snapshot)
+select path,
+  case when reason is not null then 'bad' when path = first then 'ok' else 'repeated' end as status,
+  case when reason is not null then reason
+    when path <> first then 'the same snapshot is in ' || first end as reason
+from files left join firsts on firsts.snapshot = files.snapshot and reason is null"""
+
+
+def _with_positions(sql: str) -> str:
+    """The pieces of diff documents in their order: section, then place in its list."""
+    nth = f"row_number() over (partition by {PAIR}, status order by lower(name), {PATH}, {IDENTITY})"
+    head, _, body = sql.partition(f"      select {PAIR}, 0 as section")
+    head = head.replace(" as piece\n        from diff", f" as piece, {nth} as nth\n        from diff")
+    body = f"select {PAIR}, 0 as section{body}".replace(" from summary", ", 0 as nth from summary")
+    return f"""{head} select {PAIR}, piece,
+      row_number() over (partition by {PAIR} order by section, nth) as position from ({body})"""
+
+
+ORACLE["diff_document_positions"] = _with_positions(ORACLE["diff_document"])

@@ -11,6 +11,7 @@ from appcensus.operators import matching as M
 from appcensus.operators.dedupe import deduplicate, index_by_identity
 from appcensus.operators.filters import filter_entries, hidden_reason, select_source
 from appcensus.operators.shadow import drop_shadowed
+from appcensus.operators.running import numbered
 from appcensus.plans import documents as P
 from appcensus.plans import history as H
 from appcensus.plans.prepare import in_report_order, prepare, prepare_stats
@@ -343,6 +344,31 @@ def csv_rows(spark, sf):
     return P.csv_rows(prepare(views.fleet(spark, sf)))
 
 
+def csv_rows_by_snapshot(spark, sf):
+    return P.csv_rows(prepare(views.fleet(spark, sf)), GROUP)
+
+
+# Order and files
+
+
+def report_positions(spark, sf):
+    """The place of every row in the report of its snapshot."""
+    rows = prepare(views.fleet(spark, sf)).withColumn("_lower", F.lower("name"))
+    placed = numbered(rows, list(GROUP), ["_lower", "registry_path", ORD], "position")
+    return placed.select(*GROUP, "position", "name", "registry_path", ORD)
+
+
+def diff_document_positions(spark, sf):
+    """The place of every piece in its diff document."""
+    pieces = P.diff_pieces(_history_diff(spark, sf), PAIR)
+    return P.with_position(pieces, PAIR).select(*PAIR, "position", "piece")
+
+
+def snapshot_status(spark, sf):
+    """Every snapshot file: usable, bad, or a repetition of another file's snapshot."""
+    return snapshots.snapshot_status(snapshots.parse_snapshots(views.snapshot_texts(spark, sf)))
+
+
 QUERIES = {
     "norm_string": norm_string,
     "norm_install_date": norm_install_date,
@@ -395,6 +421,10 @@ QUERIES = {
     "unmatched_checklist": unmatched_checklist,
     "display_rows": display_rows,
     "csv_rows": csv_rows,
+    "csv_rows_by_snapshot": csv_rows_by_snapshot,
+    "report_positions": report_positions,
+    "diff_document_positions": diff_document_positions,
+    "snapshot_status": snapshot_status,
 }
 
 

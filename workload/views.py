@@ -19,12 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table that comes in fewer files than there are cores.
+    """Deal rows out by ``key``, in as many partitions as the session has for a shuffle.
 
-    A large table has files enough and keeps its splits, without a shuffle.
+    The files of a table may be few and large.  A join on ``key`` that follows needs the same
+    partitioning.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(key)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
