@@ -11,7 +11,7 @@ Targets: all sizes times ``share`` are split by weight; no target exceeds ``most
 source's size, and the excess goes to the others by weight.  The last document goes in or
 stays out, whichever is nearer the target.
 
-Defined results: a null text has size 0; a null source is a source of its own, last in the
+Defined results: a null text has size 0 and comes as often as its source is held whole; a null source is a source of its own, last in the
 order; rows with the same id share a hash and are taken alike; sources of size 0
 have target 0; an empty table gives an empty table.  ``df`` may have any further columns.
 """
