@@ -15,7 +15,8 @@ import pyarrow.compute as pc
 
 from appcensus.llm.words import blocks, text_bytes
 
-MEMO_PIECES = 250_000
+MEMO_PIECES = 800_000
+"""Above this the memo keeps the pieces that came again; some 150 bytes a piece."""
 BLOCK_BYTES = 4 << 20
 JOINED = 1_000
 """Pieces given to the library at once."""
@@ -31,6 +32,12 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _stands_alone(piece: str) -> bool:
+    return bool(piece) and not (
+        piece[0].isspace() or piece[-1].isspace() or piece[0] in _ODD_SPACE or piece[-1] in _ODD_SPACE
+    )
+
+
 def load(path: str):
     """The tokenizer of a vocabulary file, without truncation and padding, in one thread."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,68 +70,90 @@ class Encoder:
             text = token.encode() if number in added else token
             self.token_bytes[number] = len(text)
         self.text_of_id = [str(i) for i in range(len(self.token_bytes))]
-        self._forget()
-
-    def _forget(self) -> None:
-        self.slots: dict[str, int] = {}
+        self.blank: dict[str, int] = {}  # pieces after a blank, by what follows the blank
+        self.head: dict[str, int] = {}  # pieces that begin a text
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.seen = np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Forget pieces that came once."""
+        lasting = np.flatnonzero(self.seen > 1)
+        number = np.full(len(self.seen), -2, np.int64)
+        number[lasting] = np.arange(len(lasting))
+        for name in ("blank", "head"):
+            old = getattr(self, name)
+            setattr(self, name, {p: int(number[s]) for p, s in old.items() if s >= 0 and number[s] >= 0})
+        lengths = np.diff(self.starts)[lasting]
+        at = np.repeat(self.starts[lasting] - (np.cumsum(lengths) - lengths), lengths)
+        self.ids = self.ids[at + np.arange(len(at))]
+        self.starts = np.append(0, np.cumsum(lengths))
+        self.seen = np.zeros(len(lasting), np.int64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Add pieces, each with its leading blank if it has one, to the memo."""
-        plain = [p for p in pieces if p[0] != " "]
-        blank = [p for p in pieces if p[0] == " "]
-        ids = [self.whole(p) for p in plain]
-        lengths = [len(x) for x in ids]
-        if blank:
-            groups = [blank[k : k + JOINED] for k in range(0, len(blank), JOINED)]
-            found = self.tokenizer.encode_batch_fast(
-                ["".join(g) for g in groups], add_special_tokens=False
-            )
-            flat = np.concatenate([np.array(f.ids, np.uint32) for f in found])
-            ends = np.cumsum([len(p.encode()) for p in blank])
-            upto = np.cumsum(self.token_bytes[flat])
-            at = np.searchsorted(upto, ends) + 1
-            if not np.array_equal(upto[at - 1], ends):
-                raise ValueError("a piece does not end with a token")
-            ids.append(flat)
-            lengths.extend(np.diff(at, prepend=0).tolist())
-        for piece in plain + blank:
-            self.slots[piece] = len(self.slots)
-        self.ids = np.concatenate([self.ids, *ids])
+    def _add(self, memo: dict[str, int], pieces: list[str], ids: np.ndarray, lengths) -> None:
+        first = len(self.starts) - 1
+        memo.update(zip(pieces, range(first, first + len(pieces))))
+        self.ids = np.concatenate([self.ids, ids])
         self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(lengths))
+        self.seen = np.append(self.seen, np.zeros(len(pieces), np.int64))
+
+    def _learn_blank(self, pieces: list[str]) -> None:
+        """Pieces after a blank: the library gets many in one text, and token sizes part them."""
+        groups = [pieces[k : k + JOINED] for k in range(0, len(pieces), JOINED)]
+        found = self.tokenizer.encode_batch_fast(
+            [" " + " ".join(g) for g in groups], add_special_tokens=False
+        )
+        flat = np.concatenate([np.array(f.ids, np.uint32) for f in found])
+        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        upto = np.cumsum(self.token_bytes[flat])
+        at = np.searchsorted(upto, ends) + 1
+        if not np.array_equal(upto[at - 1], ends):
+            raise ValueError("a piece does not end with a token")
+        self._add(self.blank, pieces, flat, np.diff(at, prepend=0))
+
+    def _learn_head(self, pieces: list[str]) -> None:
+        ids = [self.whole(p) for p in pieces]
+        self._add(self.head, pieces, np.concatenate(ids), [len(x) for x in ids])
+
+    def _slots(self, memo: dict[str, int], learn, pieces: list[str]) -> np.ndarray:
+        """Slot of each of the different ``pieces``; -1 for one that cannot stand alone."""
+        get = memo.get
+        slots = np.array([get(p, -2) for p in pieces], np.int64)
+        new = np.flatnonzero(slots == -2)
+        if len(new):
+            fit = [k for k in new.tolist() if _stands_alone(pieces[k])]
+            slots[new] = -1
+            if fit:
+                learn([pieces[k] for k in fit])
+                slots[fit] = np.arange(len(self.starts) - 1 - len(fit), len(self.starts) - 1)
+        return slots
 
     def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.slots) > MEMO_PIECES:
-            self._forget()
+        if len(self.seen) > MEMO_PIECES:
+            self._shrink()
         split = pc.split_pattern(texts, " ")
         first = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
-        coded = split.flatten().dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        safe = np.array(
-            [
-                bool(w) and not (w[0].isspace() or w[-1].isspace() or w[0] in _ODD_SPACE or w[-1] in _ODD_SPACE)
-                for w in words
-            ],
-            dtype=bool,
-        )
-        blank = [" " + w for w in words]
-        heads = [words[i] if safe[i] else None for i in index[first]]
-        slots = self.slots
-        missing = {p for p, ok in zip(blank, safe.tolist()) if ok and p not in slots}
-        missing.update(h for h in heads if h is not None and h not in slots)
-        if missing:
-            self._learn(sorted(missing))
-        slot = np.fromiter((slots.get(p, 0) for p in blank), np.int64, len(blank))[index]
-        slot[first] = [0 if h is None else slots[h] for h in heads]
-        starts = self.starts[slot]
-        lengths = self.starts[slot + 1] - starts
-        rows = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(index))))
+        pieces = split.flatten()
+        coded = pieces.dictionary_encode()
+        slot = self._slots(self.blank, self._learn_blank, coded.dictionary.to_pylist())
+        slot = slot[coded.indices.to_numpy()]
+        heads = pieces.take(pa.array(first)).dictionary_encode()
+        of_head = self._slots(self.head, self._learn_head, heads.dictionary.to_pylist())
+        slot[first] = of_head[heads.indices.to_numpy()]
+        alone = slot < 0
+        slot[alone] = 0
+        self.seen += np.bincount(slot, minlength=len(self.seen))[: len(self.seen)]
+        if len(self.starts) > 1:
+            starts = self.starts[slot]
+            lengths = self.starts[slot + 1] - starts
+        else:
+            starts = lengths = np.zeros(len(slot), np.int64)
+        rows = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(slot))))
         odd = np.zeros(len(first), bool)
-        odd[rows[~safe[index]]] = True
+        odd[rows[alone]] = True
         lengths[odd[rows]] = 0
         counts = np.bincount(rows, lengths, len(first)).astype(np.int64)
         total = int(lengths.sum())
