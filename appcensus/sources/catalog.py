@@ -21,7 +21,12 @@ COLUMNS = ("Name", "Id", "Version", "Available", "Source")
 
 
 def _package_id(item: Column) -> Column:
-    return F.coalesce(as_filled_text(item, "id"), as_filled_text(item, "package_id"))
+    """The id, or the package id where there is none.  An id of blanks is one that is bad."""
+    blank = F.try_variant_get(item, "$.id", "string").rlike(r"^\s+$") & (
+        kind(field(item, "id")) == "STRING"
+    )
+    other = F.when(~F.coalesce(blank, F.lit(False)), as_filled_text(item, "package_id"))
+    return F.coalesce(as_filled_text(item, "id"), other)
 
 
 def parse_catalogs(texts: DataFrame) -> DataFrame:

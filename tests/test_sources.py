@@ -235,3 +235,17 @@ def test_text_listing(spark):
         ("b", "A"): ("V.A", "1.0", ""),
     }
     assert {r.path for r in quarantine(parsed).collect()} == {"c"}
+
+
+def test_catalog_id_of_blanks_is_bad(spark):
+    frame = spark.createDataFrame(
+        [
+            ("a", '[{"name": "A", "id": "  ", "package_id": "P.A"}]'),
+            ("b", '[{"name": "B", "id": "", "package_id": "P.B"}]'),
+            ("c", '[{"name": "C", "package_id": "P.C"}]'),
+            ("d", '[{"name": "D", "id": null, "package_id": "P.D"}]'),
+        ],
+        "path string, text string",
+    )
+    status = {r.path: r.status for r in C.parse_catalogs(frame).collect()}
+    assert status == {"a": "bad", "b": "ok", "c": "ok", "d": "ok"}
