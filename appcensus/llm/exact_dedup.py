@@ -14,7 +14,7 @@ do not tell them apart); a digest already in the index keeps none of the new row
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from appcensus.llm.tables import documents, new_path, written
+from appcensus.llm.tables import documents, new_path, without, written
 
 BUCKETS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -109,10 +109,8 @@ def keep_new(
 
     The dropped rows are the smaller side, and they are known by id and text.
     """
-    dropped = _verdicts(df, index, id_column, text).filter("not kept").select("_id", "_raw").distinct()
-    dropped = written(dropped, "dropped")
-    same = df[id_column].eqNullSafe(dropped["_id"]) & (F.xxhash64(df[text]) == dropped["_raw"])
-    return df.join(dropped, same, "left_anti")
+    dropped = _verdicts(df, index, id_column, text).filter("not kept").select("_id", "_raw")
+    return without(df, dropped, id_column, text)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,6 +114,45 @@ def _thresholds(rows: DataFrame, budgets: DataFrame, bits: int) -> DataFrame:
     )
 
 
+def _planned(
+    rows: DataFrame, weights, share: float, most: float, level_bits: int
+) -> DataFrame:
+    """Per source ``_source, source_size, target, whole, threshold``, one small row each.
+
+    ``rows``: source, size, hash.
+    """
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    times = F.floor(F.col("target") / F.col("source_size"))
+    plan = written(
+        targets(sizes, weights, share, most)
+        .withColumn("whole", F.when(F.col("source_size") > 0, times).otherwise(0))
+        .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")),
+        "mix-plan",
+    )
+    limits = _thresholds(rows.filter("size > 0"), plan.filter("budget > 0"), level_bits)
+    joined = plan.alias("p").join(
+        limits.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")), "left"
+    )
+    return written(
+        joined.select(F.col("p.source").alias("_source"), "source_size", "target", "whole", "threshold"),
+        "mix-plan",
+    )
+
+
+def _narrow(df: DataFrame, id_column: str, source: str, text: str) -> DataFrame:
+    rows = df.select(
+        df[id_column].alias("_id"), df[source].alias("source"), n_words(df[text]).alias("size"),
+        fixed_hash(df[id_column]).alias("hash"),
+    )
+    return written(rows, "mix-rows")
+
+
+def _copies() -> Column:
+    """All documents as often as the source is held whole, and those up to its threshold."""
+    extra = (F.col("_hash") <= F.col("threshold")) & (F.col("_size") > 0)
+    return F.col("whole") + F.coalesce(extra, F.lit(False)).cast("bigint")
+
+
 def mix(
     df: DataFrame,
     weights=WEIGHTS,
@@ -125,42 +164,40 @@ def mix(
     level_bits: int = LEVEL_BITS,
 ) -> DataFrame:
     """Per row: id, ``size``, ``source_size``, ``target``, ``copies``, ``taken``."""
-    rows = written(
-        df.select(
-            df[id_column].alias("_id"), df[source].alias("source"), n_words(df[text]).alias("size"),
-        ).withColumn("hash", fixed_hash(F.col("_id"))),
-        "mix-rows",
+    rows = _narrow(df, id_column, source, text)
+    plan = _planned(rows, weights, share, most, level_bits)
+    joined = rows.withColumns({"_hash": F.col("hash"), "_size": F.col("size")}).join(
+        plan, rows["source"].eqNullSafe(plan["_source"])
     )
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = written(
-        targets(sizes, weights, share, most).withColumn(
-            "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-        ).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")),
-        "mix-plan",
-    )
-    limits = _thresholds(rows.filter("size > 0"), plan.filter("budget > 0"), level_bits)
-    plan = plan.alias("p").join(
-        limits.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")), "left"
-    ).select(F.col("p.source").alias("_source"), "source_size", "target", "whole", "threshold")
-    extra = F.coalesce((F.col("hash") <= F.col("threshold")) & (F.col("size") > 0), F.lit(False))
-    copies = F.col("whole") + extra.cast("bigint")
-    joined = rows.join(plan, rows["source"].eqNullSafe(plan["_source"]))
     return joined.select(
         F.col("_id").alias(id_column), "size", "source_size", "target",
-        copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+        _copies().alias("copies"), (_copies() * F.col("size")).alias("taken"),
     )
 
 
-def mixed(df: DataFrame, **options) -> DataFrame:
-    """The rows of the mix with their columns, each as often as it is taken."""
-    taken = mix(df, **options).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    taken = taken.withColumnRenamed("doc_id", "_mix_id")
-    rows = df.join(taken, df["doc_id"].eqNullSafe(taken["_mix_id"]))
-    repeated = rows.select(
+def mixed(
+    df: DataFrame,
+    weights=WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    level_bits: int = LEVEL_BITS,
+) -> DataFrame:
+    """The rows of the mix with their columns, each as often as it is taken.
+
+    A row's own hash decides, so texts are filtered where they are.
+    """
+    plan = _planned(_narrow(df, "doc_id", "source", "text"), weights, share, most, level_bits)
+    packed = df.select(
         F.struct(*[df[c] for c in df.columns]).alias("_row"),
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias("_copy"),
+        df["source"].alias("_of"),
+        fixed_hash(df["doc_id"]).alias("_hash"),
+        (n_words(df["text"])).alias("_size"),
+    )
+    rows = packed.join(plan, packed["_of"].eqNullSafe(plan["_source"])).withColumn("_copies", _copies())
+    rows = rows.filter("_copies > 0").select(
+        "_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias("_copy")
     )
-    return repeated.select("_row.*")
+    return rows.select("_row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,9 +44,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def whole_text(column: str = "text"):
-    """The text; null counts as empty."""
-    return F.coalesce(F.col(column), F.lit(""))
+BROADCAST_KEYS = 2_000_000
+"""Rows of 16 bytes that may be broadcast; a larger table is joined by a shuffle."""
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """``keys`` (a written table of 16 bytes a row), to be broadcast if it is small enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def without(df: DataFrame, gone: DataFrame, id_column: str, text: str) -> DataFrame:
+    """The rows of ``df`` that ``gone`` (id, ``xxhash64`` of the text) does not name.
+
+    While few rows go, the texts of the others stay where they are.
+    """
+    gone = bounded(written(gone.toDF("_gone_id", "_gone_text").distinct(), "gone"))
+    same = df[id_column].eqNullSafe(gone["_gone_id"]) & (
+        F.xxhash64(df[text]) == gone["_gone_text"]
+    )
+    return df.join(gone, same, "left_anti")
 
 
 def _ship(spark: SparkSession) -> None:
