@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from appcensus.llm.components import components
-from appcensus.llm.tables import documents, in_python, written
+from appcensus.llm.tables import bounded, documents, in_python, without, written
 from appcensus.llm.words import mixed, shingle_sets
 
 REGIMES = ((64, 10.0), (256, 4.0), (None, 2.0))
@@ -226,14 +226,22 @@ def _lists(first: DataFrame, percent: int) -> DataFrame:
     return rows.withColumn("slot", F.explode(F.array(band, band + 1))).drop("n")
 
 
-def _groups(lists: DataFrame) -> DataFrame:
-    """``digest, slot, hub``: a set hangs on the smallest set of each of its lists."""
-    rows = lists.select("key", "digest", "slot", F.xxhash64("digest", "slot").alias("node"))
-    hubs = rows.groupBy("key", "slot").agg(
-        F.min("node").alias("hub"), F.max("node").alias("_hi")
-    ).filter("hub <> _hi").select(F.col("key").alias("_k"), F.col("slot").alias("_s"), "hub")
-    same = (F.col("key") == F.col("_k")) & (F.col("slot") == F.col("_s"))
-    return rows.join(hubs, same).select("digest", "slot", "hub").distinct()
+def _groups(lists: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """``digest, slot, hub``: a set hangs on the smallest set of each of its lists.
+
+    Only numbers of lists and of sets within a slot go through the shuffles.
+    """
+    rows = lists.select(
+        F.xxhash64("key", "slot").alias("list"), F.xxhash64("digest", "slot").alias("node")
+    )
+    hubs = rows.groupBy("list").agg(F.min("node").alias("hub"), F.max("node").alias("_hi"))
+    hubs = hubs.filter("hub <> _hi").select(F.col("list").alias("_list"), "hub")
+    hung = rows.join(hubs, F.col("list") == F.col("_list")).select("node", "hub").distinct()
+    band = _band_of(F.col("n"), percent)
+    named = first.select("digest", "n").distinct().select(
+        "digest", F.explode(F.array(band, band + 1)).alias("slot")
+    ).withColumn("_node", F.xxhash64("digest", "slot"))
+    return hung.join(named, F.col("node") == F.col("_node")).select("digest", "slot", "hub")
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -330,6 +338,12 @@ def _compared(
         df[id_column].cast("bigint").alias("_id"), F.xxhash64(df[text]).alias("_th"),
         df[text].cast("string").alias("_text"),
     )
+    # Most texts are in no group.  While the groups' texts are few, every executor gets their
+    # keys and the others stay where they are; beyond that all texts are dealt out by key.
+    keys = members.select(F.col("rep_id").alias("_key_id"), F.col("rep_th").alias("_key_th"))
+    keys = bounded(keys)
+    wanted = texts["_id"].eqNullSafe(keys["_key_id"]) & (texts["_th"] == keys["_key_th"])
+    texts = texts.join(keys, wanted, "left_semi")
     same_row = texts["_id"].eqNullSafe(members["rep_id"]) & (texts["_th"] == members["rep_th"])
     found = texts.join(members, same_row).select("digest", "copies", "places", "_text")
 
@@ -395,7 +409,7 @@ def ngram_join(
     shingled = written(_shingled(df, width, percent, id_column, text), "shingled")
     shingled_keys = shingled.select("_id", "th", "digest", "n")
     first = written(_first_shared(shingled, percent), "first-tokens")
-    groups = written(_groups(_lists(first, percent)), "groups")
+    groups = written(_groups(_lists(first, percent), first, percent), "groups")
 
     classes = written(
         shingled_keys.filter("n > 0").groupBy("digest").agg(
@@ -450,13 +464,8 @@ def ngram_join(
 def keep_one(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df`` that stay: in each component those with the smallest id."""
     rows = ngram_join(df, width, percent)
-    dropped = written(
-        rows.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("_gone"), F.col("_th").alias("_gone_th")).distinct(),
-        "dropped",
-    )
-    same = df["doc_id"].eqNullSafe(dropped["_gone"]) & (F.xxhash64(df["text"]) == dropped["_gone_th"])
-    return df.join(dropped, same, "left_anti")
+    dropped = rows.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return without(df, dropped.select("doc_id", "_th"), "doc_id", "text")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
