@@ -7,14 +7,15 @@ appended.  Only digests travel; texts never leave the scan.
 
 Texts are equal when they agree after lower-casing A-Z only.  Defined results: a null text
 counts as empty, and empty texts are copies of each other; of equal texts the largest id
-stays (a null id is smaller than any; two rows with the largest id are both kept, since ids
-do not tell them apart); a digest already in the index keeps none of the new rows.
+stays (a null id is smaller than any); a digest already in the index keeps none of the new
+rows.  ``deduplicate`` and ``keep_new`` decide by id, so rows that share the largest id all
+stay.  ``keep_one``, the stage of the pipeline, tells these apart by row: exactly one stays.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from appcensus.llm.tables import documents, new_path, without, written
+from appcensus.llm.tables import documents, new_path, one_of_each, without, written
 
 BUCKETS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -113,6 +114,14 @@ def keep_new(
     return without(df, dropped, id_column, text)
 
 
+def keep_one(
+    df: DataFrame, index: DigestIndex, id_column: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """Exactly one row of each group of equal texts that the index lacks, with its columns."""
+    rows = _verdicts(df, index, id_column, text).withColumnRenamed("digest", "_group")
+    return one_of_each(df, rows.select("_id", "_raw", "_group", "kept"), id_column, text)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(documents(spark, sf_dir), DigestIndex(spark, new_path(spark, "digest-index")))
 

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from appcensus.llm.components import components
-from appcensus.llm.tables import bounded, documents, in_python, without, written
+from appcensus.llm.tables import bounded, documents, in_python, one_of_each, written
 from appcensus.llm.words import mixed, shingle_sets
 
 REGIMES = ((64, 10.0), (256, 4.0), (None, 2.0))
@@ -448,7 +448,7 @@ def ngram_join(
     named = written(named, "named")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = named.join(least, "label").select(
-        F.col("digest").alias("_of"), "component_id",
+        F.col("digest").alias("_of"), "label", "component_id",
         (F.col("copies") - 1 + F.col("links")).alias("n_links"),
     )
     joined = shingled_keys.join(named, F.col("digest") == F.col("_of"), "left")
@@ -458,18 +458,27 @@ def ngram_join(
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
         F.col("th").alias("_th"),
+        F.col("label").alias("_label"),
     )
 
 
 def keep_one(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` that stay: in each component those with the smallest id."""
-    rows = ngram_join(df, width, percent)
-    dropped = rows.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return without(df, dropped.select("doc_id", "_th"), "doc_id", "text")
+    """The rows of ``df`` that stay: one of each component, with its smallest id.
+
+    Rows without shingles are components of their own and all stay.
+    """
+    rows = written(
+        ngram_join(df, width, percent).filter("_label is not null").select(
+            F.col("doc_id").alias("_id"), F.col("_th").alias("_raw"), F.col("_label").alias("_group"),
+            F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+        ),
+        "near-copies",
+    )
+    return one_of_each(df, rows, "doc_id", "text")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(documents(spark, sf_dir), width=3, percent=90).drop("_th")
+    return ngram_join(documents(spark, sf_dir), width=3, percent=90).drop("_th", "_label")
 
 
 QUERIES = {"op9_ngram_join": op9_ngram_join}

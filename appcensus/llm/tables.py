@@ -65,6 +65,42 @@ def without(df: DataFrame, gone: DataFrame, id_column: str, text: str) -> DataFr
     return df.join(gone, same, "left_anti")
 
 
+def one_of_each(
+    df: DataFrame, rows: DataFrame, id_column: str, text: str
+) -> DataFrame:
+    """The rows of ``df`` with exactly one of each group of ``rows``, or none of it.
+
+    ``rows`` (``_id, _raw, _group, kept``; ``_raw`` is ``xxhash64`` of the text) is written
+    down or cheap to read twice, and the kept rows of a group have one id.  Where several of a
+    group are kept, ids do not tell them apart: the one with the largest hash of its text
+    stays, and of those with one text that with the largest hash of all its columns.  Equal
+    rows collapse before the shuffle, so one that is a third of all rows costs a row per task.
+    """
+    tied = written(
+        rows.filter("kept").groupBy("_group").agg(
+            F.max("_id").alias("_one_id"), F.max("_raw").alias("_one_text"),
+            F.count(F.lit(1)).alias("_n"),
+        ).filter("_n > 1"),
+        "tied",
+    )
+    gone = rows.filter("not kept").select("_id", "_raw")
+    if tied.isEmpty():
+        return without(df, gone, id_column, text)
+    several = rows.filter("kept").join(tied.select("_group"), "_group", "left_semi")
+    rest = without(df, gone.union(several.select("_id", "_raw")), id_column, text)
+
+    keys = bounded(tied.select("_one_id", "_one_text"))
+    same = df[id_column].eqNullSafe(keys["_one_id"]) & (F.xxhash64(df[text]) == keys["_one_text"])
+    packed = df.join(keys, same, "left_semi").select(
+        F.struct(*[df[c] for c in df.columns]).alias("_row"),
+        df[id_column].alias("_one_id"), F.xxhash64(df[text]).alias("_one_text"),
+    )
+    ones = packed.groupBy("_one_id", "_one_text").agg(
+        F.max_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")
+    )
+    return rest.union(ones.select("_row.*"))
+
+
 def _ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application."""
     context = spark.sparkContext

@@ -86,6 +86,20 @@ def test_exact_dedup_keeps_rows(spark):
     assert exact_dedup.deduplicate(cases.empty(spark), fresh).count() == 0
 
 
+def test_exact_dedup_keeps_one_row(spark):
+    rows = [(7, "Same text", "en", "a", 1)] * 40 + [(7, "same TEXT", "en", "b", 2)]
+    rows += [(None, "no id", "en", k, 3) for k in "abc"] + [(None, "NO id", None, None, None)] * 2
+    rows += [(8, "other", "en", "a", 4)] * 2 + [(7, "unlike", "en", "a", 5), (9, None, "en", "a", 6)]
+    df = spark.createDataFrame(rows, cases.SCHEMA).repartition(3)
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "index"), 4)
+    kept = exact_dedup.keep_one(df, index)
+    assert kept.columns == df.columns
+    got = Counter((r.doc_id, (r.text or "").lower()) for r in kept.collect())
+    assert got == Counter([(7, "same text"), (None, "no id"), (8, "other"), (7, "unlike"), (9, "")])
+    again = exact_dedup.keep_one(df, exact_dedup.DigestIndex(spark, new_path(spark, "index"), 4))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, again.collect()))
+
+
 @pytest.mark.parametrize("bits", [2, 10])
 def test_mixing(spark, bits):
     df = cases.frame(spark, clashes=True)

@@ -113,6 +113,20 @@ def test_ngram_join_keeps_one(spark):
     assert ngram_join.ngram_join(cases.empty(spark)).count() == 0
 
 
+def test_ngram_join_keeps_one_row_of_equal_ids(spark):
+    base = " ".join(f"w{k}" for k in range(80))
+    near = base + " more"
+    other, free = (" ".join(f"{letter}{k}" for k in range(40)) for letter in "uz")
+    rows = [(3, base)] * 5 + [(3, near), (4, base), (None, base), (3, other)]
+    rows += [(None, free)] * 3 + [(None, free + " x"), (5, ""), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in ngram_join.keep_one(df).collect()]
+    assert sum(t in (base, near) for _, t in got) == 1 and (4, base) not in got
+    assert (3, other) in got and {(5, ""), (6, None)} <= set(got)
+    # All ids of this component are null.
+    assert sum(t in (free, free + " x") for _, t in got) == 1 and len(got) == 5
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 480)]
