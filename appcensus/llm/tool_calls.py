@@ -1,20 +1,24 @@
 """Tool-call linking for chat formatting, in DataFrame operations only.
 
-Calls and results are reduced to one row per identifier and hash-joined by conversation and
-identifier.  Every call may name a parent (the call whose result it builds on); its level, the
+The first call and the first result of each identifier are hash-joined by conversation and
+identifier; all others are rows of their own.  Every call may name a parent (the call whose result it builds on); its level, the
 number of calls before it on that path, orders calls topologically.  Levels come from pointer
 doubling: each round joins a call with its farthest known ancestor, so a chain of k calls takes
 about log2(k) rounds and a conversation is never one task's.  Arguments are parsed as variants,
 checked against the tool's schema by compiled expressions, and serialised as canonical JSON:
 keys in order, no white space, absent values as null.
 
-Defined results, by ``status``: ``orphan_result`` (no such call), ``no_id`` (calls or results
-without an identifier, one row per conversation), ``cycle`` (the parents never end; the level
-is null), ``invalid`` (``errors`` tell why), ``no_result``, ``ok``.  A parent that is no call
-of the conversation counts as none.  Of several calls or results with one identifier the first
-by turn (then by content) is linked, and ``n_calls`` and ``n_results`` count them all.  Null
-and empty arguments are not JSON; null content is a null result.  Other columns of the inputs
-are not looked at.
+There is one output row per call and per result that is not linked to a call.  Defined
+results, by ``status``: ``no_id`` (a call or result without an identifier, linked to nothing),
+``orphan_result`` (no such call), ``duplicate_id`` (a call or result whose identifier an earlier
+one has), ``cycle`` (the parents never end; the level is null), ``invalid`` (``errors`` tell
+why), ``no_result``, ``ok``; the first that applies.  A parent that is no call of the
+conversation counts as none, and one that is several calls is the first of them.  Calls without
+an identifier and later ones have the level that their own parent gives them.  Of several calls
+or results with one identifier the first by turn (then by content) is linked.  ``n_calls`` and
+``n_results`` count those with the row's identifier, or those without any, in its conversation.
+Rows with a null conversation are one conversation.  Null and empty arguments are not JSON; null
+content is a null result.  Other columns of the inputs are not looked at.
 """
 
 from dataclasses import dataclass
@@ -101,7 +105,7 @@ def levels(calls: DataFrame) -> DataFrame:
     The level of a call whose parents form a cycle is null.
     """
     known = calls.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_p"))
-    is_call = (F.col("conv_id") == F.col("_c")) & (F.col("parent_id") == F.col("_p"))
+    is_call = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("parent_id") == F.col("_p"))
     state = calls.join(known, is_call, "left").select(
         "conv_id", "call_id", F.col("_p").alias("up"), F.col("_p").isNotNull().cast("bigint").alias("level")
     )
@@ -112,7 +116,7 @@ def levels(calls: DataFrame) -> DataFrame:
             F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"),
             F.col("up").alias("_up"), F.col("level").alias("_level"),
         )
-        at = (F.col("conv_id") == F.col("_c")) & (F.col("up") == F.col("_i"))
+        at = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("up") == F.col("_i"))
         going = state.filter("up is not null").join(above, at).select(
             "conv_id", "call_id", F.col("_up").alias("up"), (F.col("level") + F.col("_level")).alias("level")
         )
@@ -123,41 +127,98 @@ def levels(calls: DataFrame) -> DataFrame:
     )
 
 
+def _several(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """``_sc, _si, n_calls, n_results`` of each identifier that is not one call or one result's,
+    and of the rows without one."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    keys = calls.select("conv_id", "call_id", one.alias("c"), none.alias("r")).union(
+        results.select("conv_id", "call_id", none.alias("c"), one.alias("r"))
+    )
+    counts = keys.groupBy(F.col("conv_id").alias("_sc"), F.col("call_id").alias("_si")).agg(
+        F.sum("c").alias("n_calls"), F.sum("r").alias("n_results")
+    )
+    return written(counts.filter("_si is null or n_calls > 1 or n_results > 1"), "several")
+
+
+def _first_rows(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``_row`` of the first row of each identifier, in ``order``."""
+    first = F.min(F.struct(*order, "_row"))["_row"]
+    named = rows.filter("call_id is not null").groupBy("conv_id", "call_id").agg(first.alias("_row"))
+    return named.select("_row")
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
     """Calls (``conv_id, turn, call_id, parent_id, name, arguments``) with their results
     (``conv_id, turn, call_id, content``)."""
-    first = F.min(F.struct("turn", "name", "arguments", "parent_id"))
-    calls = calls.groupBy("conv_id", "call_id").agg(first.alias("c"), F.count(F.lit(1)).alias("n_calls"))
     calls = written(
-        calls.select("conv_id", "call_id", F.col("c.name").alias("name"),
-                     F.col("c.arguments").alias("arguments"), F.col("c.parent_id").alias("parent_id"),
-                     "n_calls"),
+        calls.select("conv_id", "turn", "call_id", "parent_id", "name", "arguments",
+                     F.monotonically_increasing_id().alias("_row")),
         "calls",
     )
-    results = results.groupBy("conv_id", "call_id").agg(
-        F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results")
-    ).select(F.col("conv_id").alias("_rc"), F.col("call_id").alias("_ri"),
-             F.col("r.content").alias("content"), "n_results")
-    depth = levels(calls.filter("call_id is not null").select("conv_id", "call_id", "parent_id"))
+    several = _several(calls, results)
+    same_id = F.col("call_id") == F.col("_si")
+    same_conv = F.col("conv_id").eqNullSafe(F.col("_sc"))
+    any_id = F.col("call_id").eqNullSafe(F.col("_si"))
+
+    # What is not linked.  Few rows are, as a rule; they are told apart by their numbers.
+    many = calls.join(several, same_conv & any_id).drop("_sc", "_si")
+    later = many.join(_first_rows(many, ["turn", "name", "arguments", "parent_id"]), "_row", "left_anti")
+    later = written(later, "later-calls")
+    repeated = written(
+        results.select("conv_id", "turn", "call_id", "content").join(several, same_conv & any_id)
+        .drop("_sc", "_si").withColumn("_row", F.monotonically_increasing_id()),
+        "repeated-results",
+    )
+    first_rows = written(_first_rows(repeated, ["turn", "content"]), "first-results")
+
+    heads = calls.filter("call_id is not null").join(later.select("_row"), "_row", "left_anti")
+    depth = levels(heads.select("conv_id", "call_id", "parent_id"))
     depth = depth.select(F.col("conv_id").alias("_lc"), F.col("call_id").alias("_li"), "level")
-    leveled = calls.join(depth, (F.col("conv_id") == F.col("_lc")) & (F.col("call_id") == F.col("_li")), "left")
-    same = F.col("conv_id").eqNullSafe(F.col("_rc")) & F.col("call_id").eqNullSafe(F.col("_ri"))
-    rows = leveled.join(results.hint("shuffle_hash"), same, "full_outer")
-    rows = rows.select(
+    in_conv = F.col("conv_id").eqNullSafe(F.col("_lc"))
+    leveled = heads.join(depth, in_conv & (F.col("call_id") == F.col("_li")), "left")
+    leveled = leveled.join(several.drop("n_results"), same_conv & same_id, "left").withColumn(
+        "n_calls", F.coalesce("n_calls", F.lit(1).cast("bigint"))
+    )
+    answers = (
+        results.filter("call_id is not null").join(several, same_conv & any_id, "left_anti")
+        .select("conv_id", "call_id", "content", F.lit(1).cast("bigint").alias("n_results"))
+        .union(
+            repeated.join(first_rows, "_row", "left_semi")
+            .select("conv_id", "call_id", "content", "n_results")
+        )
+        .toDF("_rc", "_ri", "content", "n_results")
+    )
+    same = F.col("conv_id").eqNullSafe(F.col("_rc")) & (F.col("call_id") == F.col("_ri"))
+    linked = leveled.join(answers.hint("shuffle_hash"), same, "full_outer").select(
         F.when(F.col("n_calls").isNull(), F.col("_rc")).otherwise(F.col("conv_id")).alias("conv_id"),
         F.when(F.col("n_calls").isNull(), F.col("_ri")).otherwise(F.col("call_id")).alias("call_id"),
         "level", "name", "arguments", "parent_id", "content",
         F.coalesce("n_calls", F.lit(0)).alias("n_calls"),
         F.coalesce("n_results", F.lit(0)).alias("n_results"),
+        F.col("n_calls").isNotNull().alias("_call"), F.lit(False).alias("_later"),
+    )
+    at_parent = in_conv & (F.col("parent_id") == F.col("_li"))
+    later = later.join(depth, at_parent, "left").select(
+        "conv_id", "call_id", F.when(F.col("_li").isNull(), 0).otherwise(F.col("level") + 1).alias("level"),
+        "name", "arguments", "parent_id", F.lit(None).cast("string").alias("content"),
+        "n_calls", "n_results", F.lit(True).alias("_call"), F.lit(True).alias("_later"),
+    )
+    null, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    spare = repeated.join(first_rows, "_row", "left_anti").select(
+        "conv_id", "call_id", number.alias("level"), null.alias("name"), null.alias("arguments"),
+        null.alias("parent_id"), "content", "n_calls", "n_results",
+        F.lit(False).alias("_call"), F.lit(True).alias("_later"),
     )
+    rows = later.union(spare).union(linked)
     rows = rows.withColumn("_args", F.try_parse_json("arguments"))
     no_errors = F.expr("cast(array() as array<string>)")
     rows = rows.withColumn(
-        "_errors", F.when(F.col("n_calls") > 0, validation(schemas, "name", "arguments")).otherwise(no_errors)
+        "_errors", F.when(F.col("_call"), validation(schemas, "name", "arguments")).otherwise(no_errors)
     )
     status = (
         F.when(F.col("call_id").isNull(), "no_id")
         .when(F.col("n_calls") == 0, "orphan_result")
+        .when(F.col("_later"), "duplicate_id")
         .when(F.col("level").isNull(), "cycle")
         .when(F.size("_errors") > 0, "invalid")
         .when(F.col("n_results") == 0, "no_result")

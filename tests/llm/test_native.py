@@ -199,6 +199,51 @@ def test_tool_calls(spark):
     assert none.count() == 0
 
 
+def test_every_tool_call_is_a_row(spark):
+    def sized(n):
+        return '{"size": %d, "unit": "char"}' % n
+
+    asked = [
+        (1, 0, "a", None, "measure", sized(1)), (1, 1, "b", "a", "measure", sized(2)),
+        (1, 2, "b", "b", "measure", "{"), (1, 2, "b", "gone", "measure", sized(3)),
+        (1, 3, None, "b", "measure", sized(4)), (1, 4, None, None, "other", "{}"),
+        (None, 0, "a", None, "measure", sized(5)), (None, 1, "b", "a", "measure", sized(6)),
+        (2, 0, "x", "x", "measure", sized(7)), (2, 1, "x", "x", "measure", sized(8)),
+    ] + [(3, 0, None, None, "measure", sized(9))] * 20 + [(3, 1, "s", None, "measure", sized(9))] * 20
+    answered = [
+        (1, 1, "b", "first"), (1, 2, "b", "second"), (1, 3, None, "loose"), (1, 3, None, "more"),
+        (None, 1, "b", "free"), (2, 1, "lost", "l1"), (2, 2, "lost", "l2"), (3, 2, "s", "s"),
+    ] + [(3, 3, "s", "s")] * 5
+    results = spark.createDataFrame(answered, "conv_id long, turn long, call_id string, content string")
+    got = Counter()
+    for r in tool_calls.link(calls(spark, asked), results, tool_calls.TOOLS).collect():
+        record = json.loads(r.record)
+        size = (record["arguments"] or {}).get("size")
+        assert record["status"] == r.status and record["level"] == r.level
+        got[r.conv_id, r.call_id, r.status, r.level, size, record["result"], r.errors, r.n_calls, r.n_results] += 1
+    assert got == Counter({
+        (1, "a", "no_result", 0, 1, None, "", 1, 0): 1,
+        (1, "b", "ok", 1, 2, "first", "", 3, 2): 1,
+        (1, "b", "duplicate_id", 2, None, None, "not_json", 3, 2): 1,
+        (1, "b", "duplicate_id", 0, 3, None, "", 3, 2): 1,
+        (1, "b", "duplicate_id", None, None, "second", "", 3, 2): 1,
+        (1, None, "no_id", 2, 4, None, "", 2, 2): 1,
+        (1, None, "no_id", 0, None, None, "unknown_tool", 2, 2): 1,
+        (1, None, "no_id", None, None, "loose", "", 2, 2): 1,
+        (1, None, "no_id", None, None, "more", "", 2, 2): 1,
+        (None, "a", "no_result", 0, 5, None, "", 1, 0): 1,
+        (None, "b", "ok", 1, 6, "free", "", 1, 1): 1,
+        (2, "x", "cycle", None, 7, None, "", 2, 0): 1,
+        (2, "x", "duplicate_id", None, 8, None, "", 2, 0): 1,
+        (2, "lost", "orphan_result", None, None, "l1", "", 0, 2): 1,
+        (2, "lost", "orphan_result", None, None, "l2", "", 0, 2): 1,
+        (3, None, "no_id", 0, 9, None, "", 20, 0): 20,
+        (3, "s", "ok", 0, 9, "s", "", 20, 6): 1,
+        (3, "s", "duplicate_id", 0, 9, None, "", 20, 6): 19,
+        (3, "s", "duplicate_id", None, None, "s", "", 20, 6): 5,
+    })
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
