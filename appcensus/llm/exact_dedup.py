@@ -12,6 +12,8 @@ rows.  ``deduplicate`` and ``keep_new`` decide by id, so rows that share the lar
 stay.  ``keep_one``, the stage of the pipeline, tells these apart by row: exactly one stays.
 """
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,18 +36,19 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A table in ``path`` with one row per digest ever seen: ``digest, first_id``.
+    """A table in ``path`` with one row per digest ever seen: ``digest, first_id, batch``.
 
     The files outlive the session: another session opens the same path with the same number
     of buckets.  ``append`` adds only digests that are not there, so a batch that is tried
-    again after a failure adds nothing twice.
+    again after a failure adds nothing twice.  When it is tried again under the same name, the
+    digests that it added itself (same batch, same first id) count as new.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path, buckets
         self.name = "digest_index_" + path.rstrip("/").rpartition("-")[2].replace("/", "_")
         spark.sql(
-            f"create table if not exists `{self.name}` (digest string, first_id bigint)"
+            f"create table if not exists `{self.name}` (digest string, first_id bigint, batch string)"
             f" using parquet clustered by (digest) sorted by (digest) into {buckets} buckets"
             f" location '{path}'"
         )
@@ -57,8 +60,19 @@ class DigestIndex:
         """Rows of ``digests`` (one per digest) that the index lacks, by sort-merge anti-join."""
         return digests.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
 
-    def append(self, digests: DataFrame) -> None:
-        new = self.unseen(digests.select("digest", F.col("keep_id").alias("first_id")))
+    def new_to(self, groups: DataFrame, batch: str) -> DataFrame:
+        """``digest`` of ``groups`` (``digest, keep_id``) that the index lacks or has from ``batch``."""
+        seen = self.rows().select(F.col("digest").alias("_seen"), "first_id", "batch").hint("merge")
+        own = F.coalesce(F.col("batch") == batch, F.lit(False)) & F.col("first_id").eqNullSafe(
+            F.col("keep_id")
+        )
+        at = (F.col("digest") == F.col("_seen")) & ~own
+        return groups.select("digest", "keep_id").join(seen, at, "left_anti").select("digest")
+
+    def append(self, digests: DataFrame, batch: str) -> None:
+        new = self.unseen(
+            digests.select("digest", F.col("keep_id").alias("first_id"), F.lit(batch).alias("batch"))
+        )
         # Written down first: a table cannot be read and appended to in one job.  Each
         # bucket is one task's, so that it becomes one sorted file.
         rows = written(new, "new-digests").repartition(self.buckets, "digest")
@@ -70,7 +84,10 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
 
 
-def _verdicts(df: DataFrame, index: DigestIndex, id_column: str, text: str) -> DataFrame:
+def _verdicts(
+    df: DataFrame, index: DigestIndex, id_column: str, text: str, batch: str | None
+) -> DataFrame:
+    batch = batch or uuid.uuid4().hex
     rows = written(
         df.select(
             df[id_column].alias("_id"),
@@ -82,43 +99,57 @@ def _verdicts(df: DataFrame, index: DigestIndex, id_column: str, text: str) -> D
     groups = rows.groupBy("digest").agg(
         F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
-    fresh = index.unseen(groups.select("digest")).withColumn("new", F.lit(True))
+    fresh = index.new_to(groups, batch).withColumn("new", F.lit(True))
     groups = written(groups.join(fresh, "digest", "left"), "groups")
-    index.append(groups.filter("new").select("digest", "keep_id"))
+    index.append(groups.filter("new").select("digest", "keep_id"), batch)
     # The left side may be skewed; adaptive execution splits it, the right has one row a key.
     kept = F.col("_id").eqNullSafe(F.col("keep_id")) & F.coalesce("new", F.lit(False))
     return rows.join(groups, "digest").withColumn("kept", kept)
 
 
 def deduplicate(
-    df: DataFrame, index: DigestIndex, id_column: str = "doc_id", text: str = "text"
+    df: DataFrame,
+    index: DigestIndex,
+    id_column: str = "doc_id",
+    text: str = "text",
+    batch: str | None = None,
 ) -> DataFrame:
     """Verdict of each row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
-    The batch is added to ``index``.  Groups are those of this batch.
+    The batch is added to ``index`` before the caller has written its rows: give it a name
+    (``batch``), and under that name it can be tried again with the same verdicts.  Without one
+    it cannot.  Groups are those of this batch.
     """
-    return _verdicts(df, index, id_column, text).select(
+    return _verdicts(df, index, id_column, text, batch).select(
         F.col("_id").alias(id_column), "keep_id", "group_size", "kept",
         F.col("digest").alias("text_sha256"),
     )
 
 
 def keep_new(
-    df: DataFrame, index: DigestIndex, id_column: str = "doc_id", text: str = "text"
+    df: DataFrame,
+    index: DigestIndex,
+    id_column: str = "doc_id",
+    text: str = "text",
+    batch: str | None = None,
 ) -> DataFrame:
     """The rows of ``df`` that stay, with their columns.
 
     The dropped rows are the smaller side, and they are known by id and text.
     """
-    dropped = _verdicts(df, index, id_column, text).filter("not kept").select("_id", "_raw")
+    dropped = _verdicts(df, index, id_column, text, batch).filter("not kept").select("_id", "_raw")
     return without(df, dropped, id_column, text)
 
 
 def keep_one(
-    df: DataFrame, index: DigestIndex, id_column: str = "doc_id", text: str = "text"
+    df: DataFrame,
+    index: DigestIndex,
+    id_column: str = "doc_id",
+    text: str = "text",
+    batch: str | None = None,
 ) -> DataFrame:
     """Exactly one row of each group of equal texts that the index lacks, with its columns."""
-    rows = _verdicts(df, index, id_column, text).withColumnRenamed("digest", "_group")
+    rows = _verdicts(df, index, id_column, text, batch).withColumnRenamed("digest", "_group")
     return one_of_each(df, rows.select("_id", "_raw", "_group", "kept"), id_column, text)
 
 

@@ -86,6 +86,20 @@ def test_exact_dedup_keeps_rows(spark):
     assert exact_dedup.deduplicate(cases.empty(spark), fresh).count() == 0
 
 
+def test_exact_dedup_batch_tried_again(spark):
+    def kept(rows, batch):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        return {r.doc_id for r in exact_dedup.deduplicate(df, index, batch=batch).filter("kept").collect()}
+
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "index"), 4)
+    one, two = [(1, "a"), (2, "A"), (3, "b"), (None, "c")], [(4, "b"), (5, "d"), (None, "C"), (6, "D")]
+    first = [kept(one, "one") for _ in range(2)]
+    assert first == [{2, 3, None}] * 2
+    assert [kept(two, "two") for _ in range(2)] == [{6}] * 2
+    assert kept(one, "two") == kept(one, None) == kept(two, None) == set()
+    assert kept(one, "one") == first[0] and index.rows().count() == 4
+
+
 def test_exact_dedup_keeps_one_row(spark):
     rows = [(7, "Same text", "en", "a", 1)] * 40 + [(7, "same TEXT", "en", "b", 2)]
     rows += [(None, "no id", "en", k, 3) for k in "abc"] + [(None, "NO id", None, None, None)] * 2
