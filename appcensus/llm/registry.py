@@ -2,6 +2,7 @@
 
 from appcensus.llm import (
     exact_dedup,
+    merkle_manifest,
     mixing,
     ngram_join,
     quality_model,
@@ -15,6 +16,7 @@ from appcensus.llm import (
 
 MODULES = (
     exact_dedup,
+    merkle_manifest,
     mixing,
     ngram_join,
     quality_model,
