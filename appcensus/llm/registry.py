@@ -2,6 +2,8 @@
 
 from appcensus.llm import (
     exact_dedup,
+    lexical_search,
+    maxscore,
     merkle_manifest,
     mixing,
     ngram_join,
@@ -16,6 +18,8 @@ from appcensus.llm import (
 
 MODULES = (
     exact_dedup,
+    lexical_search,
+    maxscore,
     merkle_manifest,
     mixing,
     ngram_join,
