@@ -181,9 +181,8 @@ class Manifest:
         langs = trees.join(wanted[height].select("tree").distinct(), "tree", "left_semi")
         above = self._wanted(langs.select(F.lit("").alias("tree"), "rank"), root[0])
 
-        nodes = self.spark.range(1).select(
-            F.lit("").alias("tree"), F.col("id").alias("rank"), F.lit(root[1]).alias("digest"),
-            F.array().cast(_PATH).alias("path"),
+        nodes = self._read("root", _TREE).select(
+            "tree", F.lit(0).cast("bigint").alias("rank"), "digest", F.array().cast(_PATH).alias("path")
         )
         for at in range(root[0], 0, -1):
             nodes = self._children(nodes, "root", at).join(above[at - 1], ["tree", "rank"], "left_semi")
