@@ -8,6 +8,9 @@ from appcensus.schema import ENTRY_COLUMNS, GROUP, ORD
 
 PAIR = ["host", "old_snapshot_id", "snapshot_id"]
 
+_NO_DAY = "0001-01-01"
+"""The day of scans without a time: before all others, as null is."""
+
 
 def snapshots_of(entries: DataFrame) -> DataFrame:
     """The snapshots that have rows; keep a snapshot table to know the empty ones too."""
@@ -28,17 +31,30 @@ def latest_inventory(entries: DataFrame, snapshots: DataFrame | None = None) ->
 def previous_snapshots(snapshots: DataFrame) -> DataFrame:
     """Pair every snapshot with the one before it on the same host.
 
-    The first snapshot of a host has none and is left out.  ``snapshots`` has one narrow row
-    per snapshot: a group is the scans that one host ever had.
+    The first snapshot of a host has none and is left out.  The scans of a host are taken day
+    by day, so a host with a third of all scans is as many groups as it has days; each day hands
+    its last scan on to the next day that has any.
     """
-    on_host = Window.partitionBy("host").orderBy("scan_ts", "snapshot_id")
-    before = F.lag(F.struct("snapshot_id")).over(on_host)
+    day = F.coalesce(F.to_date("scan_ts"), F.lit(_NO_DAY).cast("date"))
+    known = snapshots.select(*GROUP, "scan_ts", day.alias("_day"))
+    in_day = Window.partitionBy("host", "_day").orderBy("scan_ts", "snapshot_id")
+    scans = known.withColumn("_before", F.lag(F.struct("snapshot_id")).over(in_day))
+
+    # A row per host and day.
+    last = F.max_by(F.struct("snapshot_id"), F.struct("scan_ts", "snapshot_id"))
+    over_days = Window.partitionBy("host").orderBy("_day")
+    carried = (
+        known.groupBy("host", "_day").agg(last.alias("_last"))
+        .withColumn("_carried", F.lag("_last").over(over_days))
+        .filter(F.col("_carried").isNotNull())
+        .select(F.col("host").alias("_host"), F.col("_day").alias("_of"), "_carried")
+    )
+    met = F.col("host").eqNullSafe(F.col("_host")) & (F.col("_day") == F.col("_of"))
+    old = F.coalesce("_before", "_carried")
     return (
-        snapshots.select(*GROUP, "scan_ts")
-        .withColumn("_before", before)
-        .filter(F.col("_before").isNotNull())
-        .select("host", F.col("_before.snapshot_id").alias("old_snapshot_id"), "snapshot_id")
-        .select(*PAIR)
+        scans.join(carried, met, "left")
+        .filter(old.isNotNull())
+        .select("host", old["snapshot_id"].alias("old_snapshot_id"), "snapshot_id")
     )
 
 

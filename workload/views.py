@@ -21,10 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Deal rows out by ``key``, in as many partitions as the session has for a shuffle.
 
-    The files of a table may be few and large.  A join on ``key`` that follows needs the same
-    partitioning.
+    The files of a table may be few and large, and what is parsed is much more work than its
+    bytes tell: with a number, adaptive execution leaves the partitions apart.  A join on ``key``
+    that follows needs the same partitioning.
     """
-    return df.repartition(key)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
