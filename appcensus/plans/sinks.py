@@ -3,9 +3,10 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from appcensus.plans.archive import History
 from appcensus.plans.documents import ORDER, csv_rows
 from appcensus.plans.prepare import report_order
-from appcensus.schema import ENTRY_COLUMNS, GROUP, ORD
+from appcensus.schema import ENTRY_COLUMNS, GROUP
 
 
 def _folder_name(column: str):
@@ -65,17 +66,9 @@ def write_rows_json(prepared: DataFrame, path: str) -> None:
     prepared.select(*GROUP, *ENTRY_COLUMNS).write.json(path, ignoreNullFields=False)
 
 
-def write_history(prepared: DataFrame, path: str) -> None:
-    """Put prepared rows into the history table, a folder per day of the scan and host.
+def write_history(prepared: DataFrame, path: str, snapshots: DataFrame | None = None) -> None:
+    """Merge prepared rows into the history below ``path``.
 
-    Days and hosts that come again replace what they had, so that a job that runs twice
-    leaves one copy.  ``prepared`` has all snapshots of its hosts on its days.
+    Snapshots that come again replace themselves and nothing else.
     """
-    rows = prepared.select(*GROUP, "scan_ts", *ENTRY_COLUMNS, ORD)
-    rows = rows.withColumns({"scan_date": F.to_date("scan_ts"), "of_host": _folder_name("host")})
-    (
-        rows.write.partitionBy("scan_date", "of_host")
-        .option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite")
-        .parquet(path)
-    )
+    History(prepared.sparkSession, path).merge(prepared, snapshots)

@@ -51,8 +51,8 @@ def _bad_name(item: Column) -> Column:
     return (kind(field(item, "name")) != "STRING") | text.isNull()
 
 
-def parse_snapshots(texts: DataFrame) -> DataFrame:
-    """One row per file: ``status``, ``reason``, the scan block and the row values.
+def parse_snapshots(texts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per file: ``status``, ``reason``, the scan block, the row values and ``keep``.
 
     A file with one bad row is bad as a whole.  The check runs inside the array of the
     file, so it takes no shuffle.
@@ -95,6 +95,7 @@ def parse_snapshots(texts: DataFrame) -> DataFrame:
         "reason",
         scan.alias("scan"),
         F.when(F.col("reason").isNull(), items).alias("items"),
+        *keep,
     )
 
 

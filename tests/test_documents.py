@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from appcensus.operators.diff import compare
 from appcensus.plans import documents as P
+from appcensus.plans.archive import History
 from appcensus.plans import sinks
 from appcensus.plans.prepare import prepare
 from appcensus.schema import ENTRY_COLUMNS, SCAN_SCHEMA
@@ -214,8 +215,7 @@ def test_sinks(spark, tmp_path):
     dated = prepare(rows.withColumn("scan_ts", F.lit("2026-07-17 06:00:00").cast("timestamp")))
     for _ in range(2):
         sinks.write_history(dated, str(tmp_path / "history"))
-    assert (tmp_path / "history" / "scan_date=2026-07-17").is_dir()
-    assert spark.read.parquet(str(tmp_path / "history")).count() == prepared.count()
+    assert History(spark, str(tmp_path / "history")).rows().count() == prepared.count()
 
 
 def test_documents_of_all_hosts_stay_apart(spark, tmp_path):
