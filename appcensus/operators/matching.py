@@ -4,17 +4,20 @@ Within a snapshot, applications choose in report order.  Each takes the first un
 package of its best package name: the same name, else the names that contain it or
 are contained in it, the longest common part first and then in catalog order.
 
-The choice is made for all snapshots at once, in rounds.  Applications of one name
-have the same wishes, so they are spread over the wished names by the number of
-packages each holds; a name that more applications wish than it has packages keeps
-the first ones, and the others move on to their next name.  Nobody who was turned
-down could have got the package later, so the rounds end in the one result that the
+The choice is made for all snapshots at once.  First the applications of a name get the
+packages of the same name.  Where these are enough for every name of a snapshot, this is the
+result, and no two names are compared.  Only names with more takers than packages are looked
+for in other names, and only the snapshots that have such takers go on, in rounds: the takers
+left over are spread along the list of the names their own allows, by the number of packages
+each holds; a name that more applications ask for than it has packages keeps the first ones, and
+the others move on to their next name, which is looked up when it is first needed.  Nobody who
+was turned down could have got the package later, so the rounds end in the one result that the
 application-by-application choice gives.
 
-A package id may be listed under several names.  Applications that wish such a name
+A package id may be listed under several names.  Applications that ask for such a name
 propose for its packages one by one: an id keeps its earliest taker, and all others move
-on at once, past the packages that earlier applications hold.  Snapshots where nobody was turned down are done and
-leave the rounds.
+on at once, past the packages that earlier applications hold, by links that double their reach
+from level to level.  Snapshots where nobody was turned down are done and leave the rounds.
 """
 
 from pyspark.sql import DataFrame
@@ -28,8 +31,8 @@ from appcensus.schema import GROUP
 
 _SNAPSHOT = list(GROUP)
 
-LOOK_AHEAD = 64
-"""Packages that one round may pass over; a longer run of held ones takes another round."""
+_TOGETHER = 8
+"""Results of so many rounds are put into one table, so that the plan does not grow."""
 
 
 def importable_packages(packages: DataFrame) -> DataFrame:
@@ -56,7 +59,20 @@ def offers(packages: DataFrame, by: list[str]) -> DataFrame:
             F.col("_row.source").alias("package_source"),
         )
     )
-    return numbered(durable(once), [*by, "offer_key"], ["offer_ord"], "place")
+    return numbered(once, [*by, "offer_key"], ["offer_ord"], "place", along("offer_ord"))
+
+
+def offered_names(catalog: DataFrame, by: list[str]) -> DataFrame:
+    """The names of the catalog: place, number of packages, and whether one is listed elsewhere."""
+    listings = catalog.select(*by, "offer_key", "package_id")
+    twice = listings.groupBy(*by, "package_id").count().filter(F.col("count") > 1).drop("count")
+    shared = listings.join(twice, [*by, "package_id"], "left_semi").select(*by, "offer_key").distinct()
+    return (
+        catalog.groupBy(*by, "offer_key")
+        .agg(F.min("offer_ord").alias("first_ord"), F.count("*").alias("capacity"))
+        .join(shared.withColumn("shared", F.lit(True)), [*by, "offer_key"], "left")
+        .fillna(False, subset=["shared"])
+    )
 
 
 def wishes(wanted: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
@@ -89,7 +105,8 @@ def wishes(wanted: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
     )
     order = ["kind", "common", "first_ord"]
     totals = {"last": ("sum", F.col("capacity"))}
-    listed = running(durable(listed), [*by, "wish_key"], order, totals)
+    pieces = F.struct("kind", "common", along("first_ord"))
+    listed = running(durable(listed), [*by, "wish_key"], order, totals, pieces)
     return listed.withColumn("first", F.col("last") - F.col("capacity") + 1).select(
         *by, "wish_key", "offer_key", "kind", "first", "last", "capacity", "shared"
     )
@@ -99,10 +116,9 @@ def _covering_wish(seekers: DataFrame, lists: DataFrame, by: list[str]) -> DataF
     """For each list position sought, the name that holds it."""
     marks = lists.select(*by, "wish_key", F.col("first").alias("slot"), F.lit(0).alias("_sought"))
     sought = seekers.select(*by, "wish_key", "slot").distinct().withColumn("_sought", F.lit(1))
-    merged = durable(marks.unionByName(sought))
     begun = F.when(F.col("_sought") == 0, F.col("slot"))
     placed = running(
-        merged,
+        marks.unionByName(sought),
         [*by, "wish_key"],
         ["slot", "_sought"],
         {"first": ("max", begun)},
@@ -117,35 +133,53 @@ def _columns(by: list[str]) -> list[str]:
     return [*_SNAPSHOT, *[column for column in by if column not in _SNAPSHOT]]
 
 
-def _proposals(state: DataFrame, lists: DataFrame, by: list[str]) -> DataFrame:
-    """The package name each application asks for in this round."""
+def _spread(state: DataFrame, by: list[str]) -> DataFrame:
+    """``slot``: the place in their list that applications of one name ask for, one each."""
     mates = [*_columns(by), "wish_key"]
     ranked = numbered(state, mates, ["position"], "_rank", along("position"))
     shifts = {"_shift": ("max", F.col("low") - F.col("_rank"))}
     spread = running(durable(ranked), mates, ["position"], shifts, along("position"))
     slot = F.col("_rank") + F.col("_shift")
-    spread = durable(spread.withColumn("slot", slot).drop("_rank", "_shift", "low"))
-    return durable(spread.join(_covering_wish(spread, lists, by), [*by, "wish_key", "slot"]))
+    return spread.withColumn("slot", slot).drop("_rank", "_shift", "low")
+
+
+def _held_runs(held: DataFrame, at: list[str]) -> list[DataFrame]:
+    """``at, slot, latest`` per level: the latest holder of 2 ** level packages in a row, all held."""
+    levels = []
+    level = held
+    while not level.isEmpty():
+        levels.append(level)
+        further = level.select(
+            *at, (F.col("slot") - F.lit(1 << (len(levels) - 1))).alias("slot"), F.col("latest").alias("_more")
+        )
+        level = durable(
+            level.join(further, [*at, "slot"]).withColumn("latest", F.greatest("latest", "_more")).drop("_more")
+        )
+    return levels
 
 
 def _next_free(refused: DataFrame, holders: DataFrame, slots: DataFrame, by) -> DataFrame:
     """``low`` of refused proposals: the first package after theirs that no earlier
     application holds.  Holders only ever change to earlier ones."""
-    who = [*_columns(by), "wish_key", "position"]
-    ahead = refused.select(
-        *who, F.explode(F.sequence(F.col("slot") + 1, F.col("slot") + LOOK_AHEAD + 1)).alias("slot"),
-        (F.col("slot") + LOOK_AHEAD + 1).alias("_end"),
-    )
+    at = [*_columns(by), "wish_key"]
+    refused = durable(refused.select(*at, "position", (F.col("slot") + 1).alias("slot")))
+    asked = refused.select(*at).distinct()
     held = (
-        ahead.join(slots, [*by, "wish_key", "slot"])
+        slots.join(asked, [*by, "wish_key"])
         .join(holders, [*_columns(by), "package_id"])
-        .filter((F.col("_earliest") < F.col("position")) & (F.col("slot") < F.col("_end")))
+        .select(*at, "slot", F.col("_earliest").alias("latest"))
     )
-    free = ahead.join(held.select(*who, "slot"), [*who, "slot"], "left_anti")
-    return free.groupBy(*who).agg(F.min("slot").alias("low"))
+    runs = _held_runs(durable(held), at)
+    for level in range(len(runs) - 1, -1, -1):
+        met = refused.join(runs[level], [*at, "slot"], "left")
+        step = F.when(F.col("latest") < F.col("position"), F.lit(1 << level)).otherwise(0)
+        refused = met.withColumn("slot", F.col("slot") + step).drop("latest")
+    return refused.withColumnRenamed("slot", "low")
 
 
-def _answers(placed: DataFrame, listings: DataFrame, slots: DataFrame, by: list[str]) -> DataFrame:
+def _answers(
+    placed: DataFrame, listings: DataFrame, slots: DataFrame | None, by: list[str]
+) -> DataFrame:
     """``place, package_id`` of each proposal, whether it is refused, and where to go on."""
     columns = _columns(by)
     rivals = [*columns, "offer_key"]
@@ -156,8 +190,12 @@ def _answers(placed: DataFrame, listings: DataFrame, slots: DataFrame, by: list[
         "low", F.when(F.col("refused"), F.col("last") + 1).otherwise(F.col("first"))
     )
     by_name = by_name.join(listings, [*by, "offer_key", "place"], "left")
+    names = [*columns, "wish_key", "position", "offer_key", "kind", "place", "package_id"]
+    by_name = by_name.select(*names, "refused", "low")
+    if slots is None:
+        return by_name
 
-    one_by_one = (
+    one_by_one = durable(
         placed.filter("shared")
         .withColumn("place", F.col("slot") - F.col("first") + 1)
         .join(listings, [*by, "offer_key", "place"])
@@ -170,37 +208,140 @@ def _answers(placed: DataFrame, listings: DataFrame, slots: DataFrame, by: list[
     moved = _next_free(one_by_one.filter("refused"), holders, slots, by)
     one_by_one = one_by_one.join(moved, [*columns, "wish_key", "position"], "left")
     one_by_one = one_by_one.withColumn("low", F.coalesce("low", "slot"))
-    names = [*columns, "wish_key", "position", "offer_key", "kind", "place", "package_id"]
-    return by_name.select(*names, "refused", "low").unionByName(
-        one_by_one.select(*names, "refused", "low")
-    )
+    return by_name.unionByName(one_by_one.select(*names, "refused", "low"))
 
 
-def _settle(entries: DataFrame, lists: DataFrame, listings: DataFrame, by: list[str]) -> list[DataFrame]:
-    """Rounds until nobody is turned down: the choices of the snapshots done in each."""
-    columns = _columns(by)
-    slots = durable(
-        lists.filter("shared")
-        .select(*by, "wish_key", "offer_key", "first", F.explode(F.sequence("first", "last")).alias("slot"))
+def _slots(lists: DataFrame, listings: DataFrame, by: list[str]) -> DataFrame | None:
+    """The packages along the lists, of names that share packages; none where no name does."""
+    shared = lists.filter("shared")
+    if shared.isEmpty():
+        return None
+    return durable(
+        shared.select(*by, "wish_key", "offer_key", "first", F.explode(F.sequence("first", "last")).alias("slot"))
         .withColumn("place", F.col("slot") - F.col("first") + 1)
         .join(listings, [*by, "offer_key", "place"])
         .select(*by, "wish_key", "slot", "package_id")
     )
-    state = durable(
-        entries.select(*columns, "wish_key", "position", F.lit(1).cast("bigint").alias("low"))
+
+
+class _Lists:
+    """The names that application names may use, looked up when they are first needed."""
+
+    def __init__(self, names: DataFrame, by: list[str]):
+        self.names, self.by = names, by
+        self.known: DataFrame | None = None
+        self.asked: DataFrame | None = None
+
+    def need(self, keys: DataFrame) -> bool:
+        """Look up ``key`` values that are not known yet; were there any?"""
+        if self.asked is not None:
+            keys = keys.join(self.asked, [*self.by, "key"], "left_anti")
+        if keys.isEmpty():
+            return False
+        keys = durable(keys)
+        found = durable(wishes(keys, self.names, self.by))
+        self.asked = keys if self.asked is None else self.asked.unionByName(keys)
+        self.known = found if self.known is None else self.known.unionByName(found)
+        return True
+
+    def every(self) -> DataFrame:
+        """Lists of all names; those not looked up hold their own name."""
+        alone = self.names.withColumnRenamed("offer_key", "key").join(
+            self.asked, [*self.by, "key"], "left_anti"
+        )
+        alone = alone.select(
+            *self.by, F.col("key").alias("wish_key"), F.col("key").alias("offer_key"),
+            F.lit(0).alias("kind"), F.lit(1).cast("bigint").alias("first"),
+            F.col("capacity").alias("last"), "capacity", "shared",
+        )
+        return self.known.unionByName(alone)
+
+
+def _turned_down(answers: DataFrame, by: list[str]) -> DataFrame:
+    return answers.filter("refused").select(*by, F.col("wish_key").alias("key")).distinct()
+
+
+_CHOICE = ("position", "offer_key", "kind", "place", "package_id")
+
+
+def _settle(asked: DataFrame, names: DataFrame, listings: DataFrame, by: list[str]) -> DataFrame:
+    """The choice of every application that gets a package.
+
+    ``asked``: the applications with ``_rank`` among those of their name, and the ``capacity`` of
+    the package name that is the same (null: none).
+    """
+    columns = _columns(by)
+    own = F.col("_rank") <= F.col("capacity")
+    first = asked.select(
+        *columns, "wish_key", "position", F.col("_rank").alias("slot"), "capacity",
+        F.coalesce("shared", F.lit(False)).alias("shared"), (~F.coalesce(own, F.lit(False))).alias("refused"),
     )
-    results = []
-    while True:
-        answers = durable(_answers(_proposals(state, lists, by), listings, slots, by))
-        again = durable(answers.filter("refused").select(*columns).distinct())
-        done = answers if again.isEmpty() else answers.join(again, columns, "left_anti")
-        results.append(
-            durable(done.select(*columns, "position", "offer_key", "kind", "place", "package_id"))
+    at_home = first.filter(~F.col("refused")).select(
+        *columns, "wish_key", "position", "slot", F.col("wish_key").alias("offer_key"),
+        F.lit(0).alias("kind"), F.lit(1).cast("bigint").alias("first"), F.col("capacity").alias("last"),
+        "capacity", "shared",
+    )
+    alone = at_home.withColumn("place", F.col("slot")).join(listings, [*by, "offer_key", "place"])
+    alone = alone.select(*columns, *_CHOICE)
+    lists = _Lists(names, by)
+    shares = not asked.filter("shared").isEmpty()
+    if not lists.need(_turned_down(first, by)) and not shares:
+        return alone
+
+    # Snapshots with takers that have another name to go to, or with a name that shares packages.
+    walking = first.filter("shared").select(*columns)
+    if lists.known is not None:
+        others = lists.known.filter("kind = 1").select(*by, "wish_key").distinct()
+        walking = walking.union(
+            first.filter("refused").join(others, [*by, "wish_key"], "left_semi").select(*columns)
         )
-        if done is answers:
-            return results
-        going = answers.join(again, columns, "left_semi")
-        state = durable(going.select(*columns, "wish_key", "position", "low"))
+    walking = walking.distinct()
+    results = [alone.join(walking, columns, "left_anti")]
+    home = at_home.join(walking, columns, "left_semi")
+    if lists.known is None:
+        lists.known, lists.asked = _no_lists(names, by)
+    away = first.filter("refused").join(walking, columns, "left_semi").select(
+        *columns, "wish_key", "position", "slot"
+    )
+    away = away.join(_covering_wish(away, lists.known, by), [*by, "wish_key", "slot"])
+    placed = home.unionByName(away.select(*home.columns))
+    looked_up, slots = True, None
+    while True:
+        if looked_up and (shares or _shared(lists)):
+            slots = _slots(lists.every(), listings, by)
+        answers = durable(_answers(placed, listings, slots, by))
+        again = answers.filter("refused").select(*columns).distinct()
+        settled = again.isEmpty()
+        done = answers if settled else answers.join(again, columns, "left_anti")
+        results.append(done.select(*columns, *_CHOICE))
+        if len(results) > _TOGETHER:
+            results = [durable(_union(results))]
+        if settled:
+            return _union(results)
+        looked_up = lists.need(_turned_down(answers, by))
+        state = answers.join(again, columns, "left_semi").select(*columns, "wish_key", "position", "low")
+        spread = durable(_spread(state, by))
+        placed = spread.join(_covering_wish(spread, lists.every(), by), [*by, "wish_key", "slot"])
+
+
+def _shared(lists: _Lists) -> bool:
+    return not lists.known.filter("shared").isEmpty()
+
+
+def _no_lists(names: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    none = names.limit(0).withColumnRenamed("offer_key", "key")
+    known = none.select(
+        *by, F.col("key").alias("wish_key"), F.col("key").alias("offer_key"), F.lit(0).alias("kind"),
+        F.col("capacity").alias("first"), F.col("capacity").alias("last"), "capacity", "shared",
+    )
+    return known, none.select(*by, "key")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out, *more = parts
+    for part in more:
+        out = out.unionByName(part)
+    return out
 
 
 def match_catalog(entries: DataFrame, packages: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -217,44 +358,21 @@ def match_catalog(entries: DataFrame, packages: DataFrame, by: tuple[str, ...] =
 
 
 def _match(entries: DataFrame, packages: DataFrame, by: list[str]) -> DataFrame:
-    narrow = durable(
-        entries.select(*_SNAPSHOT, F.lower("name").alias("_lower"), "name", "registry_path", "ord")
-    )
-    # Rows are known by their sort keys; the wide columns join at the end.
-    ranked = durable(
-        numbered(narrow, _SNAPSHOT, ["_lower", "registry_path", "ord"], "position")
-        .withColumn("wish_key", match_key(F.col("name")))
-        .select(*_SNAPSHOT, "registry_path", "ord", "name", "position", "wish_key")
+    entries = durable(entries)
+    keyed = entries.select(
+        *_SNAPSHOT, F.lower("name").alias("_lower"), "registry_path", "ord",
+        match_key(F.col("name")).alias("wish_key"),
     )
+    ranked = numbered(keyed, _SNAPSHOT, ["_lower", "registry_path", "ord"], "position").drop("_lower")
     catalog = durable(offers(packages, by))
-    listings = catalog.select(*by, "offer_key", "place", "package_id")
-    listed_twice = (
-        listings.groupBy(*by, "package_id").count().filter(F.col("count") > 1).drop("count")
-    )
-    shared = (
-        listings.join(listed_twice, [*by, "package_id"], "left_semi")
-        .select(*by, "offer_key")
-        .distinct()
-        .withColumn("shared", F.lit(True))
-    )
-    names = (
-        catalog.groupBy(*by, "offer_key")
-        .agg(F.min("offer_ord").alias("first_ord"), F.count("*").alias("capacity"))
-        .join(shared, [*by, "offer_key"], "left")
-        .fillna(False, subset=["shared"])
-    )
-    wanted = (
-        ranked.filter(F.col("wish_key") != "")
-        .select(*by, F.col("wish_key").alias("key"))
-        .distinct()
+    names = durable(offered_names(catalog, by))
+    mates = [*_columns(by), "wish_key"]
+    ranked = durable(numbered(ranked, mates, ["position"], "_rank", along("position")))
+    asked = ranked.filter(F.col("wish_key") != "").select(*mates, "position", "_rank").join(
+        names.drop("first_ord").withColumnRenamed("offer_key", "wish_key"), [*by, "wish_key"], "left"
     )
-    lists = durable(wishes(wanted, durable(names), by))
-    seekers = ranked.join(
-        lists.select(*by, "wish_key").distinct(), [*by, "wish_key"], "left_semi"
-    ).select(*_columns(by), "wish_key", "position")
-    matched, *more = _settle(seekers, lists, listings, by)
-    for part in more:
-        matched = matched.unionByName(part)
+    listings = catalog.select(*by, "offer_key", "place", "package_id")
+    matched = _settle(asked, names, listings, by)
     details = matched.join(
         catalog.select(
             *by, "offer_key", "place", "package_name", "package_version", "package_source"
@@ -269,7 +387,7 @@ def _match(entries: DataFrame, packages: DataFrame, by: list[str]) -> DataFrame:
         "package_version",
         "package_source",
     )
-    placed = ranked.join(details, [*_SNAPSHOT, "position"], "left").drop("wish_key", "name")
+    placed = ranked.drop("wish_key", "_rank").join(details, [*_SNAPSHOT, "position"], "left")
     row = [*_SNAPSHOT, "registry_path", "ord"]
     keyed = placed.select(
         *[F.col(name).alias(f"_{name}") for name in row], *[c for c in placed.columns if c not in row]

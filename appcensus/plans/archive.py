@@ -83,6 +83,8 @@ class History:
             if snapshots is not None:
                 come = come.union(_dealt(snapshots, self.buckets).select(*come.columns))
             come = durable(come.distinct())
+            if come.isEmpty():
+                return
             parts = come.select("scan_date", "bucket").distinct()
             same = F.lit(True)
             for name in (*GROUP, "scan_date"):

@@ -169,3 +169,72 @@ def test_only_the_result_stays_on_disk(spark):
     after = {name for name in os.listdir(folder) if name.startswith("table-")}
     assert len(after - before) == 1
     assert out.count() == 1
+
+
+def test_enough_packages_need_no_pairs(spark, monkeypatch):
+    """Names with enough packages are not compared with other names."""
+    monkeypatch.setattr(matching, "wishes", lambda *a: pytest.fail("pairs of names"))
+    packages = [package("tool" + " x" * k, f"I.{k}") for k in range(60)]
+    rows = [entry("tool" + " x" * k, k, host=f"h{h}") for k in range(60) for h in range(3)]
+    out = match_catalog(fleet(spark, rows), catalog(spark, packages)).collect()
+    assert {(r.host, r.name, r.package_id, r.match_kind) for r in out} == {
+        (f"h{h}", "tool" + " x" * k, f"I.{k}", "exact") for k in range(60) for h in range(3)
+    }
+
+
+def test_only_names_with_takers_left_are_looked_up(spark, monkeypatch):
+    asked = []
+    real = matching.wishes
+    monkeypatch.setattr(matching, "wishes", lambda wanted, *a: asked.append(wanted.count()) or real(wanted, *a))
+    packages = [package(f"tool {chr(97 + k % 26)}{k}x", f"I.{k}") for k in range(2000)]
+    rows = [entry(f"tool {chr(97 + k % 26)}{k}x", k) for k in range(1, 2000)]
+    rows += [entry("a tool", 3000), entry("tool", 3001), entry("tool", 3002, registry_path="z")]
+    out = match_catalog(fleet(spark, rows), catalog(spark, packages)).collect()
+    # "tool" is in all names: the second one takes a package from the application it belongs to.
+    assert {r.ord: r.package_id for r in out if r.ord >= 3000} == {3000: None, 3001: "I.0", 3002: "I.1"}
+    assert asked == [2, 1]
+    assert all(r.package_id == (f"I.{r.ord}" if r.ord > 1 else None) for r in out if r.ord < 2000)
+
+
+def nested(k):
+    """Names that contain each other, two applications and a package of each."""
+    packages = [package("tool" + "x" * i, f"I.{i}") for i in range(k)]
+    rows = [entry("tool" + "x" * i, 2 * i + j, registry_path=f"p{j}") for i in range(k) for j in (0, 1)]
+    return rows, packages
+
+
+def test_nested_names(spark):
+    rows, packages = nested(6)
+    KEY_OF.update({row["name"]: row["name"] for row in rows})
+    out = match_catalog(fleet(spark, rows), catalog(spark, packages)).collect()
+    expected = one_by_one(rows, packages)
+    assert {r.ord: r.package_id and (r.package_id, r.package_name, r.package_version) for r in out} == expected
+
+
+def test_next_free_package(spark):
+    """The way past held packages, against a plain walk, in as many levels as the runs need."""
+    rng = random.Random(3)
+    n, by = 700, []
+    slots = [("w", slot, f"P{slot}") for slot in range(1, n)]
+    held = {(h, slot): rng.randrange(1, 90) for h in "ab" for slot in range(1, n) if rng.random() < 0.97}
+    held |= {("a", slot): 1 for slot in range(100, 400)}
+    refused = [(h, "s", "w", p, rng.randrange(1, n - 1)) for h in "ab" for p in range(50, 120)]
+    got = matching._next_free(
+        spark.createDataFrame(refused, "host string, snapshot_id string, wish_key string, position long, slot long"),
+        spark.createDataFrame(
+            [(h, "s", f"P{slot}", p) for (h, slot), p in held.items()],
+            "host string, snapshot_id string, package_id string, _earliest long",
+        ),
+        spark.createDataFrame(slots, "wish_key string, slot long, package_id string"),
+        by,
+    )
+
+    def walk(host, position, slot):
+        slot += 1
+        while held.get((host, slot), position) < position:
+            slot += 1
+        return slot
+
+    assert {(r.host, r.position): r.low for r in got.collect()} == {
+        (h, p): walk(h, p, slot) for h, _, _, p, slot in refused
+    }

@@ -41,7 +41,7 @@ captured as (
     case when l_linenumber % 4 = 0 then null else 'remove ' || l_partkey end as raw_uninstall,
     l_suppkey % 5 = 0 as packaged,
     (l_suppkey % 4)::int as view,
-    p_name, p_type, l_linenumber, l_suppkey
+    p_name, p_type, l_linenumber, l_suppkey, l_partkey
   from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey
 )"""
 
@@ -264,29 +264,37 @@ def key_of(name: str) -> str:
     return f"coalesce(nullif({short}, ''), {text})"
 
 
-MATCHED = f"""{prepared()},{CATALOG},
+def matched(catalog: str, by: str = "") -> str:
+    """The choice application by application; ``by``: the column that catalogs are told apart by."""
+    of = f"{by}, " if by else ""
+    same = f"w.{by} = names.{by} and " if by else ""
+    wished = f"q.{by} = w.{by} and " if by else ""
+    listed = f"q.{by} = o.{by} and " if by else ""
+    using = f"({of}offer_key)"
+    return f"""{prepared()},{catalog},
 queue as (
   select *, {key_of('name')} as wish_key, row_number() over (partition by host, snapshot_id
     order by lower(name), registry_path, ord) as position
   from prepared
 ),
 offers as (select *, {key_of('name')} as offer_key from importable),
-names as (select offer_key, min(ord) as first_ord from offers group by all),
+names as (select {of}offer_key, min(ord) as first_ord from offers group by all),
 wishes as (
-  select w.wish_key, names.offer_key, case when w.wish_key = names.offer_key then 'exact'
+  select {f"w.{by}, " if by else ""}w.wish_key, names.offer_key, case when w.wish_key = names.offer_key then 'exact'
       else 'containment' end as kind,
-    row_number() over (partition by w.wish_key order by w.wish_key <> names.offer_key,
+    row_number() over (partition by {f"w.{by}, " if by else ""}w.wish_key order by w.wish_key <> names.offer_key,
       -least(length(w.wish_key), length(names.offer_key)), first_ord) as nth
-  from (select distinct wish_key from queue) w join names on w.wish_key = names.offer_key
+  from (select distinct {of}wish_key from queue) w join names on {same}(w.wish_key = names.offer_key
     or (length(w.wish_key) >= 4 and length(names.offer_key) >= 4
-      and (contains(w.wish_key, names.offer_key) or contains(names.offer_key, w.wish_key)))
+      and (contains(w.wish_key, names.offer_key) or contains(names.offer_key, w.wish_key))))
 ),
 options as (
-  select wish_key, package_id, kind, offers.name as package_name, version as package_version,
-    row_number() over (partition by wish_key order by nth, ord) as preference
-  from wishes join offers using (offer_key)
+  select {of}wish_key, package_id, kind, offers.name as package_name, version as package_version,
+    row_number() over (partition by {of}wish_key order by nth, ord) as preference
+  from wishes join offers using {using}
+  qualify row_number() over (partition by {of}wish_key, package_id order by nth, ord) = 1
 ),
-wished as (select wish_key, list(package_id order by preference) as ids from options group by all),
+wished as (select {of}wish_key, list(package_id order by preference) as ids from options group by all),
 choice as (
   select host, snapshot_id, 0::bigint as position, []::varchar[] as used, null::varchar as package_id
   from (select distinct host, snapshot_id from queue)
@@ -298,14 +306,23 @@ choice as (
       list_filter(coalesce(w.ids, []), lambda id: not list_contains(c.used, id))[1] as pick
     from choice c join queue q
       on c.host = q.host and c.snapshot_id = q.snapshot_id and q.position = c.position + 1
-    left join wished w on q.wish_key = w.wish_key
+    left join wished w on {wished}q.wish_key = w.wish_key
   ) q, (select 1) one, lateral (select q.host, q.snapshot_id) c
 ),
 matches as (
   select q.*, o.kind as match_kind, c.package_id, o.package_name, o.package_version
   from queue q join choice c
     on q.host = c.host and q.snapshot_id = c.snapshot_id and q.position = c.position
-  left join options o on q.wish_key = o.wish_key and c.package_id = o.package_id
+  left join options o on {listed}q.wish_key = o.wish_key and c.package_id = o.package_id
+)"""
+
+
+MATCHED = matched(CATALOG)
+HOST_CATALOGS = """
+importable as (
+  select distinct host, case when l_partkey % 3 = 0 then p_name else p_name || ' 1.0' end as name,
+    'Maker.' || (l_partkey - (l_partkey % 10 = 1)::int) as package_id, '1.0' as version, 'winget' as source, l_partkey as ord
+  from captured
 )"""
 
 
@@ -611,6 +628,7 @@ ORACLE: dict[str, str] = {
       or contains(lower(source), 'tion') or contains(lower(lang), 'tion')""",
     "prepare": f"{prepared()} select {ROW} from prepared",
     "prepare_all": f"{prepared(system=True, updates=True)} select {ROW} from prepared",
+    "history_merge": f"{prepared()} select {ROW} from prepared",
     "prepare_stats": f"{prepared()},{STATS} select host, snapshot_id, {COUNTERS} from stats",
     "identity_index": f"with {CAPTURED},{HISTORY},{indexed('history', 'host, snapshot_id')}"
     f" select host, snapshot_id, {IDENTITY}, {FIELDS} from indexed",
@@ -638,6 +656,8 @@ ORACLE: dict[str, str] = {
       (select host as h, max(scan_ts) as newest from fleet group by all) on host = h and scan_ts = newest""",
     "catalog_match": f"{MATCHED} select host, snapshot_id, position, name, match_kind, package_id,"
     " package_name, package_version from matches",
+    "catalog_match_shared": f"{matched(HOST_CATALOGS, 'host')} select host, snapshot_id, position, name,"
+    " match_kind, package_id, package_name, package_version from matches",
     "match_summary": f"{MATCHED},{COUNTS} select host, snapshot_id, matched, unmatched from counts",
     "scan_metadata": f"{prepared()},{STATS},{SCAN} select *, 0::bigint as collector_sources from scans",
     "report_document": report_sql(

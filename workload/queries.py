@@ -1,5 +1,7 @@
 """The registered queries, each over whole driver tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -8,12 +10,14 @@ from appcensus.functions import text as X
 from appcensus.functions import values as V
 from appcensus.operators import diff as D
 from appcensus.operators import matching as M
+from appcensus.operators.durable import shared_folder
 from appcensus.operators.dedupe import deduplicate, index_by_identity
 from appcensus.operators.filters import filter_entries, hidden_reason, select_source
 from appcensus.operators.shadow import drop_shadowed
 from appcensus.operators.running import numbered
 from appcensus.plans import documents as P
 from appcensus.plans import history as H
+from appcensus.plans.archive import History
 from appcensus.plans.prepare import in_report_order, prepare, prepare_stats
 from appcensus.schema import ENTRY_COLUMNS, GROUP, ORD
 from appcensus.session import tune
@@ -224,6 +228,16 @@ def stats(spark, sf):
     return prepare_stats(views.fleet(spark, sf))
 
 
+def history_merge(spark, sf):
+    """The history after three merges; the quarters of one year come twice."""
+    rows = prepare(views.fleet(spark, sf))
+    store = History(spark, f"{shared_folder(spark)}/history-{uuid.uuid4().hex}")
+    time = F.col("scan_ts")
+    for part in (time < "1995-01-01", (time >= "1994-01-01") & (time < "1997-01-01"), time >= "1997-01-01"):
+        store.merge(rows.filter(part))
+    return store.rows().select(*ROW)
+
+
 # Comparing
 
 
@@ -284,6 +298,16 @@ def catalog_match(spark, sf):
     )
 
 
+def catalog_match_shared(spark, sf):
+    """A catalog for each host, with ids that stand under several names."""
+    matches = M.match_catalog(
+        prepare(views.fleet(spark, sf)), views.host_catalogs(spark, sf), by=("host",)
+    )
+    return matches.select(
+        *GROUP, "position", "name", "match_kind", "package_id", "package_name", "package_version"
+    )
+
+
 def match_summary(spark, sf):
     return M.match_summary(_matches(spark, sf))
 
@@ -402,6 +426,7 @@ QUERIES = {
     "prepare": prepared,
     "prepare_all": prepared_all,
     "prepare_stats": stats,
+    "history_merge": history_merge,
     "identity_index": identity_index,
     "consecutive_diff": consecutive_diff,
     "snapshot_diff": snapshot_diff,
@@ -411,6 +436,7 @@ QUERIES = {
     "diff_summary": diff_summary,
     "latest_inventory": latest_inventory,
     "catalog_match": catalog_match,
+    "catalog_match_shared": catalog_match_shared,
     "match_summary": match_summary,
     "scan_metadata": scan_metadata,
     "report_document": report_document,

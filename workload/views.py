@@ -194,6 +194,18 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def host_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog per host of the parts it has ordered; some ids stand under several names."""
+    return lines(spark, sf_dir).select(
+        F.expr(CAPTURE["host"]).alias("host"),
+        F.expr("case when l_partkey % 3 = 0 then p_name else concat(p_name, ' 1.0') end").alias("name"),
+        F.expr("concat('Maker.', cast(l_partkey - int(l_partkey % 10 = 1) as string))").alias("package_id"),
+        F.lit("1.0").alias("version"),
+        F.lit("winget").alias("source"),
+        F.col("l_partkey").alias(ORD),
+    ).distinct()
+
+
 def snapshot_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as snapshot files, some of them malformed in one way each."""
     item = (
