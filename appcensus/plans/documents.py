@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from appcensus.functions import values as V
 from appcensus.functions.text import cell, json_object, json_value, markdown_cell, quoted
-from appcensus.operators.diff import ADDED, CHANGED, COMPARED_FIELDS, REMOVED, diff_summary
+from appcensus.operators.diff import ADDED, CHANGED, COMPARED_FIELDS, REMOVED, UNCHANGED, diff_summary
+from appcensus.operators.durable import durable
 from appcensus.operators.matching import match_summary
 from appcensus.operators.running import numbered
-from appcensus.plans.prepare import prepare_stats
+from appcensus.plans.prepare import counters, judged, shown_rows, written_judged
 from appcensus.schema import ENTRY_COLUMNS, GROUP, ORD, REPORT_VERSION, SCAN_SCHEMA
 
 ORDER = ("section", "order_1", "order_2", "order_3", "order_4")
@@ -58,8 +59,13 @@ def _list_pieces(items: DataFrame, group: list[str], before: str, between: str)
     """Put a separator before every item of a list; ``before`` leads the first one."""
     place = F.struct(*ORDER[1:])
     first = items.groupBy(*group, "section").agg(F.min(place).alias("_first"))
-    lead = F.when(place == F.col("_first"), before).otherwise(between)
-    return items.join(first, [*group, "section"]).select(
+    # The place is part of the key, so that the rows of a large document are spread.
+    first = first.select(*[F.col(c).alias(f"_{c}") for c in (*group, "section")], "_first")
+    same = place == F.col("_first")
+    for name in (*group, "section"):
+        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+    lead = F.when(F.col("_first").isNotNull(), before).otherwise(between)
+    return items.join(first, same, "left").select(
         *group, *ORDER, F.concat(lead, F.col("piece")).alias("piece")
     )
 
@@ -102,7 +108,14 @@ def scan_metadata(
     ``snapshots`` has ``host, snapshot_id, started_at, completed_at`` (timestamps) and
     ``platform``; ``labels`` has ``collector_sources`` per snapshot.
     """
-    rows = snapshots.join(prepare_stats(entries, snapshots, **options), list(GROUP))
+    return scan_blocks(judged(entries, **options), snapshots, labels)
+
+
+def scan_blocks(
+    rows: DataFrame, snapshots: DataFrame, labels: DataFrame | None = None
+) -> DataFrame:
+    """``scan_metadata`` of judged rows."""
+    rows = snapshots.join(counters(rows, snapshots), list(GROUP))
     if labels is not None:
         rows = rows.join(labels, list(GROUP), "left")
     else:
@@ -142,6 +155,26 @@ def _scan_json(pretty: bool) -> Column:
     return F.concat(F.lit("{\n"), F.concat_ws(",\n", *lines), F.lit("\n  }"))
 
 
+def report_documents(
+    entries: DataFrame,
+    snapshots: DataFrame | None = None,
+    labels: DataFrame | None = None,
+    pretty: bool = False,
+    array_only: bool = False,
+    **options,
+) -> DataFrame:
+    """``report_pieces`` of raw rows, which are read once.
+
+    The judged rows are written down, those that are not shown without their fields; counters,
+    items and, without ``snapshots``, the snapshots themselves come from this one table.
+    ``snapshots`` may also be a function of it: the judged rows have ``scan_ts`` if ``entries`` do.
+    """
+    rows = written_judged(entries, **options)
+    known = snapshots(rows) if callable(snapshots) else snapshots
+    scans = scan_blocks(rows, known, labels)
+    return report_pieces(shown_rows(rows), scans, pretty, array_only)
+
+
 def report_pieces(
     prepared: DataFrame, scans: DataFrame, pretty: bool = False, array_only: bool = False
 ) -> DataFrame:
@@ -228,10 +261,21 @@ def _diff_order(name: Column) -> list[Column]:
     return [F.lower(name), tie]
 
 
+def written_diff(diff: DataFrame) -> DataFrame:
+    """``diff`` as a table, without the fields of rows that are unchanged.
+
+    Documents read it several times: for counts, headings, items and the first of each list.
+    """
+    told = F.col("status") != UNCHANGED
+    wide = {name: F.when(told, F.col(name)) for name in ("changes", "old", "new")}
+    return durable(diff.withColumns(wide))
+
+
 def diff_pieces(
     diff: DataFrame, pair: list[str], pairs: DataFrame | None = None, pretty: bool = False
 ) -> DataFrame:
     """Diff documents: the counts, then the added, removed and changed rows."""
+    diff = written_diff(diff)
     old, new = F.col("old"), F.col("new")
     row, part = (4, 6) if pretty else (None, None)
     changed = _fields_json(
@@ -292,12 +336,15 @@ def diff_pieces(
 
 def diff_lines(diff: DataFrame, pair: list[str], pairs: DataFrame | None = None) -> DataFrame:
     """Diffs as text for people, one row per line."""
-    summary = diff_summary(diff, pair, pairs)
+    diff = written_diff(diff)
+    # One small row per pair; all headings come from it.
+    summary = durable(diff_summary(diff, pair, pairs))
     counts = {s: F.col(s) for s in ("added", "removed", "changed", "unchanged")}
 
     def line(at: int, text: Column) -> Column:
         return F.struct(F.lit(at).cast("bigint").alias("at"), text.alias("text"))
 
+    # The headings of the text.
     head = F.array(
         line(0, F.lit("Inventory Diff Summary")),
         line(1, F.lit("======================")),
@@ -453,6 +500,7 @@ def checklist_lines(matches: DataFrame, snapshots: DataFrame | None = None) -> D
         F.col("unmatched").cast("string"),
         F.lit("**"),
     )
+    # The sentences and columns of the checklist.
     intro = F.array(
         F.lit("# Unmatched software (manual reinstall checklist)"),
         F.lit(""),

@@ -1,8 +1,9 @@
 """From raw rows of many snapshots to the rows and counters of their reports."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from appcensus.operators.durable import durable
 from appcensus.operators.dedupe import COPIES, deduplicate
 from appcensus.operators.filters import HIDDEN_SYSTEM, HIDDEN_UPDATE, hidden_reason
 from appcensus.operators.shadow import SHADOWED, with_shadowed
@@ -25,10 +26,28 @@ def judged(entries: DataFrame, **options) -> DataFrame:
     return with_shadowed(deduplicate(entries)).withColumn("reason", hidden_reason(**options))
 
 
+def _is_shown() -> Column:
+    return ~F.col(SHADOWED) & F.col("reason").isNull()
+
+
+def shown_rows(rows: DataFrame) -> DataFrame:
+    """The rows of the reports out of judged ones."""
+    return rows.filter(_is_shown()).drop("reason", SHADOWED, COPIES)
+
+
 def prepare(entries: DataFrame, **options) -> DataFrame:
     """Rows of the reports, one snapshot after the other."""
-    shown = judged(entries, **options).filter(~F.col(SHADOWED) & F.col("reason").isNull())
-    return shown.drop("reason", SHADOWED, COPIES)
+    return shown_rows(judged(entries, **options))
+
+
+def written_judged(entries: DataFrame, **options) -> DataFrame:
+    """``judged`` as a table, for callers that need rows and counters.
+
+    Rows that are not shown only count, and are written without their fields.
+    """
+    rows = judged(entries, **options)
+    told = {name: F.when(_is_shown(), F.col(name)).alias(name) for name in (*ENTRY_COLUMNS, ORD)}
+    return durable(rows.select(*[told.get(name, F.col(name)) for name in rows.columns]))
 
 
 def report_order() -> list:
@@ -47,9 +66,14 @@ def prepare_stats(
 
     Give ``snapshots`` (at least the group columns) to also see empty snapshots.
     """
+    return counters(judged(entries, **options), snapshots)
+
+
+def counters(rows: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
+    """``prepare_stats`` of judged rows."""
     left, reason = ~F.col(SHADOWED), F.col("reason")
     counts = (
-        judged(entries, **options)
+        rows
         .groupBy(*GROUP)
         .agg(
             F.sum(COPIES).alias("raw_entry_count"),

@@ -18,7 +18,7 @@ from appcensus.operators.running import numbered
 from appcensus.plans import documents as P
 from appcensus.plans import history as H
 from appcensus.plans.archive import History
-from appcensus.plans.prepare import in_report_order, prepare, prepare_stats
+from appcensus.plans.prepare import in_report_order, prepare, prepare_stats, written_judged
 from appcensus.schema import ENTRY_COLUMNS, GROUP, ORD
 from appcensus.session import tune
 from appcensus.sources import catalog as C
@@ -315,9 +315,9 @@ def match_summary(spark, sf):
 # Documents
 
 
-def _snapshots(spark, sf):
+def _snapshots(rows):
     start = F.col("scan_ts")
-    return H.snapshots_of(views.fleet(spark, sf)).select(
+    return H.snapshots_of(rows).select(
         *GROUP,
         start.alias("started_at"),
         (start + F.expr("interval 3 seconds")).alias("completed_at"),
@@ -326,20 +326,19 @@ def _snapshots(spark, sf):
 
 
 def scan_metadata(spark, sf):
-    rows = P.scan_metadata(views.fleet(spark, sf), _snapshots(spark, sf))
+    judged = written_judged(views.fleet(spark, sf))
+    rows = P.scan_blocks(judged, _snapshots(judged))
     return rows.withColumn("collector_sources", F.size("collector_sources").cast("bigint"))
 
 
 def report_document(spark, sf):
-    rows = views.fleet(spark, sf)
-    pieces = P.report_pieces(prepare(rows), P.scan_metadata(rows, _snapshots(spark, sf)))
+    pieces = P.report_documents(views.fleet(spark, sf), _snapshots)
     return pieces.select(*GROUP, "section", "piece")
 
 
 def report_array(spark, sf):
-    rows = views.fleet(spark, sf)
-    scans = P.scan_metadata(rows, _snapshots(spark, sf))
-    return P.report_pieces(prepare(rows), scans, array_only=True).select(*GROUP, "section", "piece")
+    pieces = P.report_documents(views.fleet(spark, sf), _snapshots, array_only=True)
+    return pieces.select(*GROUP, "section", "piece")
 
 
 def diff_document(spark, sf):
