@@ -27,9 +27,9 @@ def clean(text: Column) -> Column:
     return F.when(stripped != "", stripped)
 
 
-def clean_binary(data: Column) -> Column:
-    """``clean`` for captured bytes; bytes that are not UTF-8 become U+FFFD."""
-    return clean(F.make_valid_utf8(data.cast("string")))
+def decoded(data: Column) -> Column:
+    """Captured bytes as text; bytes that are not UTF-8 become U+FFFD."""
+    return F.make_valid_utf8(data.cast("string"))
 
 
 def folded(text: Column) -> Column:

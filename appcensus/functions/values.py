@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from appcensus.functions.text import TRUE_WORDS, clean, folded, strip
+from appcensus.functions.text import TRUE_WORDS, clean, decoded, folded, strip
 
 EARLIEST_DAY = datetime.date(1980, 1, 1)
 
@@ -78,10 +78,38 @@ def size_kb(text: Column) -> Column:
     return F.when(value >= 0, value)
 
 
-def size_kb_of_number(number: Column) -> Column:
-    """``size_kb`` where the capture holds a number: the fraction is cut off."""
-    value = number.try_cast("bigint")
-    return F.when(value >= 0, value)
+def captured_text(value: Column, kind: str, whole: Column) -> Column:
+    """A captured value as the text that the rules for captured text are written for.
+
+    ``kind`` is the column's type: text, bytes, a number, a truth value, or a VARIANT that holds
+    any of them.  Bytes are decoded, with U+FFFD for what is not UTF-8.  Where ``whole`` holds, a
+    number loses its fraction and a truth value is 1 or 0; elsewhere both are written out.
+    """
+
+    def number(v: Column) -> Column:
+        return F.when(whole, v.try_cast("bigint").cast("string")).otherwise(v.cast("string"))
+
+    def truth(v: Column) -> Column:
+        return F.when(whole, v.cast("int").cast("string")).otherwise(F.initcap(v.cast("string")))
+
+    if kind == "string":
+        return value
+    if kind == "binary":
+        return decoded(value)
+    if kind == "boolean":
+        return truth(value)
+    if kind != "variant":
+        return number(value)
+    held = F.schema_of_variant(value)
+    floating = F.try_variant_get(value, "$", "double")
+    return (
+        F.when(held == "STRING", F.try_variant_get(value, "$", "string"))
+        .when(held == "BINARY", decoded(F.try_variant_get(value, "$", "binary")))
+        .when(held == "BOOLEAN", truth(F.try_variant_get(value, "$", "boolean")))
+        .when(held == "BIGINT", F.try_variant_get(value, "$", "bigint").cast("string"))
+        .when(whole & ~F.isnan(floating), floating.try_cast("bigint").cast("string"))
+        .otherwise(F.try_variant_get(value, "$", "string"))
+    )
 
 
 def system_flag(text: Column) -> Column:

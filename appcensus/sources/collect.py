@@ -16,8 +16,8 @@ def collect(
 ) -> DataFrame:
     """Registry rows, then packages, per snapshot.
 
-    With ``all``, a bad package listing only costs its own host the packages; with
-    ``appx`` alone it is an error.
+    With ``all``, a bad package listing only costs its own host the packages, and
+    ``collect_status`` names it; with ``appx`` alone it is an error.
     """
     if source not in SOURCE_CHOICES:
         raise ValueError(f"unknown source {source!r}; expected one of {', '.join(SOURCE_CHOICES)}")
@@ -38,6 +38,29 @@ def collect(
     return rows
 
 
+def collect_status(registry_values: DataFrame | None, listings: DataFrame | None) -> DataFrame:
+    """What ``collect`` with ``all`` makes of every capture: ``source, status, reason``.
+
+    A bad package listing is left out there and named here.
+    """
+    parts = []
+    if registry_values is not None:
+        seen = registry_values.select(*GROUP).distinct()
+        parts.append(
+            seen.select(
+                *GROUP, F.lit(SOURCE_REGISTRY).alias("source"), F.lit("ok").alias("status"),
+                F.lit(None).cast("string").alias("reason"),
+            )
+        )
+    if listings is not None:
+        parsed = parse_listings(listings)
+        parts.append(parsed.select(*GROUP, F.lit(SOURCE_APPX).alias("source"), "status", "reason"))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows
+
+
 def collector_sources(
     registry_values: DataFrame | None, listings: DataFrame | None
 ) -> DataFrame:

@@ -21,6 +21,9 @@ VALUE_NAMES = (
     "SystemComponent",
 )
 
+# Those that are numbers.
+NUMBER_NAMES = ("EstimatedSize", "SystemComponent")
+
 _UNINSTALL = "SOFTWARE\\Microsoft\\Windows\\CurrentVersion\\Uninstall"
 _UNINSTALL_32 = "SOFTWARE\\WOW6432Node\\Microsoft\\Windows\\CurrentVersion\\Uninstall"
 
@@ -45,7 +48,11 @@ def gather_values(captured: DataFrame) -> DataFrame:
     """One row per registry key out of ``(view, sub_name, key_ord, value_name, value)``.
 
     ``view`` numbers the entries of ``VIEWS`` from 0.  A value name occurs once in a key.
+    ``value`` is text, bytes, a number or a truth value, or a VARIANT of them all.
     """
+    kind = captured.schema["value"].dataType.simpleString()
+    text = V.captured_text(F.col("value"), kind, F.col("value_name").isin(*NUMBER_NAMES))
+    captured = captured.withColumn("value", text)
     named = [
         F.first(F.when(F.col("value_name") == name, F.col("value")), ignorenulls=True).alias(name)
         for name in VALUE_NAMES

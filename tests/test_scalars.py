@@ -16,8 +16,27 @@ def test_clean(spark):
     check(spark, X.clean, pairs)
 
 
-def test_clean_binary(spark):
-    check(spark, X.clean_binary, [(bytearray(b" ok "), "ok"), (bytearray(b"a\xff"), "a\ufffd")], "binary")
+def test_decoded(spark):
+    pairs = [(bytearray(b" ok "), " ok "), (bytearray(b"a\xff"), "a\ufffd"), (None, None)]
+    check(spark, X.decoded, pairs, "binary")
+
+
+def test_captured_values(spark):
+    def held(expressions, whole):
+        rows = spark.range(1).select(*[F.expr(f"cast({e} as variant)").alias(f"c{i}") for i, e in enumerate(expressions)])
+        kept = rows.select(*[V.captured_text(F.col(c), "variant", F.lit(whole)).alias(c) for c in rows.columns])
+        return list(kept.first())
+
+    values = ["' a '", "X'61FF'", "12.7D", "-0.5D", "cast(5 as bigint)", "true", "false", "double('NaN')", "null"]
+    assert held(values, True) == [" a ", "a\ufffd", "12", "0", "5", "1", "0", "NaN", None]
+    assert held(values, False) == [" a ", "a\ufffd", "12.7", "-0.5", "5", "True", "False", "NaN", None]
+    whole = [(12.7, "12"), (-1.0, "-1"), (None, None)]
+    check(spark, lambda c: V.captured_text(c, "double", F.lit(True)), whole, "double")
+    assert scalar(
+        spark, lambda c: V.size_kb(V.captured_text(c, "double", F.lit(True))), [12.7, -1.0, -0.5, None], "double"
+    ) == [12, None, 0, None]
+    check(spark, lambda c: V.captured_text(c, "boolean", F.lit(False)), [(True, "True"), (None, None)], "boolean")
+    check(spark, lambda c: V.captured_text(c, "binary", F.lit(True)), [(bytearray(b"7"), "7")], "binary")
 
 
 def test_install_date(spark):
@@ -53,7 +72,6 @@ def test_size(spark):
         [("850", 850), (" 1024 ", 1024), ("1_000", 1000), ("+5", 5), ("12.7", None), ("abc", None),
          ("-5", None), ("_1", None), ("1__0", None), (None, None)],
     )
-    check(spark, V.size_kb_of_number, [(12.7, 12), (-1.0, None), (None, None)], "double")
 
 
 def test_system_flag(spark):

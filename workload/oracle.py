@@ -41,7 +41,7 @@ captured as (
     case when l_linenumber % 4 = 0 then null else 'remove ' || l_partkey end as raw_uninstall,
     l_suppkey % 5 = 0 as packaged,
     (l_suppkey % 4)::int as view,
-    p_name, p_type, l_linenumber, l_suppkey, l_partkey
+    p_name, p_type, l_linenumber, l_suppkey, l_partkey, l_orderkey, l_extendedprice
   from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey
 )"""
 
@@ -506,6 +506,27 @@ registry_entries as (
   from captured where trim(raw_name) <> ''
 )"""
 
+TYPED_NAME = "case when l_partkey % 5 = 0 then trim(raw_name || '\ufffd') else trim(raw_name) end"
+TYPED_ROWS = (
+    REGISTRY_ROWS.replace("registry_entries as", "typed_entries as")
+    .replace("trim(raw_name) as name", f"{TYPED_NAME} as name")
+    .replace("where trim(raw_name) <> ''", f"where {TYPED_NAME} <> ''")
+    .replace(
+        f"{clean('raw_version')} as version",
+        "case when l_orderkey % 2 = 0 then l_linenumber::varchar else raw_version end as version",
+    )
+    .replace(
+        f"{size_of('raw_size')} as estimated_size_kb",
+        f"case when l_partkey % 11 = 3 and l_orderkey % 2 = 0 then 12"
+        f" when l_partkey % 11 > 4 then trunc(l_extendedprice * 10)::bigint"
+        f" else {size_of('raw_size')} end as estimated_size_kb",
+    )
+    .replace(f"{flag_of('raw_system')} as system", "l_suppkey % 17 in (0, 1, 4) as system")
+    .replace(f"{clean('raw_location')} as", "null::varchar as")
+    .replace(f"{clean('raw_uninstall')} as", "null::varchar as")
+    .replace(f"{clean('raw_release')} as", "null::varchar as")
+)
+
 CATALOG_ROWS = """
 files as (
   select p.*, 'catalog-' || p_partkey as path from part p
@@ -589,6 +610,15 @@ ORACLE: dict[str, str] = {
     "source_select": prepared("chosen", ", chosen as (select * from fleet where source = 'appx')")
     + f" select {ROW} from prepared",
     "registry_map": f"with {CAPTURED},{REGISTRY_ROWS} select {ROW} from registry_entries",
+    "registry_map_typed": f"with {CAPTURED},{TYPED_ROWS} select {ROW} from typed_entries",
+    "collect_status": f"""with {CAPTURED}
+      select distinct host, snapshot_id, 'registry' as source, 'ok' as status, null::varchar as reason
+      from captured
+      union all
+      select 'host-' || lpad((o_custkey % 20)::varchar, 2, '0'), 'scan-' || o_orderkey, 'appx',
+        case when o_orderkey % 13 in (2, 3) then 'bad' else 'ok' end,
+        case o_orderkey % 13 when 2 then 'invalid JSON' when 3 then 'not a list of packages' end
+      from orders""",
     "appx_parse": f"with {PACKAGE_ROWS} select * exclude (o_custkey, o_orderkey) from packages",
     "appx_map": f"with {PACKAGE_ROWS} select {ROW} from package_entries",
     "collect_union": f"""with {CAPTURED},{REGISTRY_ROWS},{PACKAGE_ROWS}
@@ -757,6 +787,11 @@ select path,
 from files left join firsts on firsts.snapshot = files.snapshot and reason is null"""
 
 
+def _numbered(sql: str, key: str, order: str) -> str:
+    return f"""select {key}, piece, row_number() over (partition by {key} order by {order}) as position
+      from ({sql})"""
+
+
 def _with_positions(sql: str) -> str:
     """The pieces of diff documents in their order: section, then place in its list."""
     nth = f"row_number() over (partition by {PAIR}, status order by lower(name), {PATH}, {IDENTITY})"
@@ -768,3 +803,139 @@ def _with_positions(sql: str) -> str:
 
 
 ORACLE["diff_document_positions"] = _with_positions(ORACLE["diff_document"])
+
+
+def _split(sql: str, mark: str) -> tuple[str, str]:
+    """The tables of a query and its last select."""
+    at = sql.rindex(mark)
+    return sql[:at], sql[at:]
+
+
+_REPORT_ORDER = "row_number() over (partition by host, snapshot_id order by lower(name), registry_path, ord)"
+ORACLE["report_array_positions"] = f"""{prepared()},{STATS},{SCAN},
+bodies as (
+  select host, snapshot_id, {_REPORT_ORDER} as nth, {json_row()} as piece from prepared
+)
+select host, snapshot_id, '[' as piece, 1 as position from scans
+union all select host, snapshot_id, case nth when 1 then '' else ',' end || piece, nth + 1 from bodies
+union all select host, snapshot_id, ']', result_count + 2 from scans"""
+
+_NTH = f"row_number() over (partition by {PAIR}, status order by lower(name), {PATH}, {IDENTITY})"
+ORACLE["diff_lines_positions"] = f"""{PAIRED},{SUMMARY},
+texts as (
+  select {PAIR}, case status when 'added' then 1 when 'removed' then 3 else 5 end as section, {_NTH} as nth,
+    case status
+      when 'added' then ['  + ' || name || ' (' || coalesce(n.version, '?') || ') — ' || coalesce(n.publisher, '?')]
+      when 'removed' then ['  - ' || name || ' (' || coalesce(o.version, '?') || ') — ' || coalesce(o.publisher, '?')]
+      else list_filter(['  ~ ' || name || ': ' || coalesce(old_version, '?') || ' → '
+        || coalesce(new_version, '?'), {CHANGE_LINES}], lambda t: t is not null) end as lines
+  from diff where status <> 'unchanged'
+  union all select {PAIR}, -1, 0, ['Inventory Diff Summary', '======================', 'Added:      ' || added,
+    'Removed:    ' || removed, 'Changed:    ' || changed, 'Unchanged:  ' || unchanged] from summary
+  union all select {PAIR}, 0, 0, ['', 'Added', '-----'] from summary where added > 0
+  union all select {PAIR}, 2, 0, ['', 'Removed', '-------'] from summary where removed > 0
+  union all select {PAIR}, 4, 0, ['', 'Changed', '-------'] from summary where changed > 0
+  union all select {PAIR}, 6, 0, ['', '(no differences)'] from summary where added + removed + changed = 0
+), single as (select {PAIR}, section, nth, unnest(lines) as piece, generate_subscripts(lines, 1) as line from texts)
+{_numbered('select * from single', PAIR, 'section, nth, line')}"""
+
+_HEAD, _LAST = _split(ORACLE["import_document"], "select host, snapshot_id, 0 as section")
+_HEAD = _HEAD.replace(" as piece\n        from matches", " as piece, position as nth\n        from matches")
+_LAST = _LAST.replace(" from counts", ", 0 as nth from counts").replace("1, piece from", "1, piece, nth from")
+ORACLE["import_document_positions"] = f"{_HEAD} {_numbered(_LAST, 'host, snapshot_id', 'section, nth')}"
+
+ORACLE["unmatched_checklist_positions"] = f"""{MATCHED},{COUNTS},
+texts as (
+  select host, snapshot_id, 0 as section, '' as lower_name, 0 as nth, list_concat([{CHECK_HEAD}],
+    case when unmatched > 0 then ['| Reinstalled? | Name | Version | Publisher | Install location |',
+      '| --- | --- | --- | --- | --- |']
+    else ['_All inventory rows matched an importable winget package._'] end) as lines from counts
+  union all select host, snapshot_id, 1, lower(name), position, ['| [ ] | ' || name || ' | ' || coalesce(version, '')
+    || ' | ' || coalesce(publisher, '') || ' | ' || coalesce(install_location, '') || ' |']
+  from matches where package_id is null
+), single as (
+  select host, snapshot_id, section, lower_name, nth, unnest(lines) as piece, generate_subscripts(lines, 1) as line
+  from texts
+)
+{_numbered('select * from single', 'host, snapshot_id', 'section, lower_name, nth, line')}"""
+
+
+# Indented documents: a line per field, as the standard library indents them.
+
+
+def indented_row(pad: int, alias: str = "") -> str:
+    blank = " " * (pad + 2)
+    prefix = f"{alias}." if alias else ""
+    fields = [
+        f"'{blank}\"{f.strip()}\": ' || coalesce(to_json({prefix}{f.strip()})::varchar, 'null')"
+        for f in FIELDS.split(",")
+    ]
+    lines = " || ',\n' || ".join(fields)
+    return f"'{{\n' || {lines} || '\n{' ' * pad}}}'"
+
+
+def _scan_lines() -> str:
+    names = ["started_at", "completed_at", "duration_ms", "hostname", "platform"]
+    lines = [f"'    \"{c}\": ' || to_json({c})::varchar" for c in names]
+    lines += ["'    \"collector_sources\": []'"]
+    lines += [f"'    \"{c.strip()}\": ' || {c.strip()}" for c in COUNTERS.split(",")]
+    joined = " || ',\n' || ".join(lines)
+    return f"'{{\n' || {joined} || '\n  }}'"
+
+
+ORACLE["report_document_pretty"] = f"""{prepared()},{STATS},{SCAN},
+bodies as (
+  select host, snapshot_id, case when {_REPORT_ORDER} = 1 then '\n' else ',\n' end
+    || '    ' || {indented_row(4)} as piece from prepared
+)
+select host, snapshot_id, 0 as section, '{{\n  "schema_version": "1.2",\n  "scan": ' || {_scan_lines()}
+  || ',\n  "software": [' as piece from scans
+union all select host, snapshot_id, 1, piece from bodies
+union all select host, snapshot_id, 2, case when result_count > 0 then '\n  ]\n}}' else ']\n}}' end from scans"""
+
+
+def _indented_change(field: str) -> str:
+    return (
+        f"case when o.{field} is distinct from n.{field} then '        {{\n          \"field\": \"{field}\",\n"
+        f"          \"old\": ' || coalesce(to_json(o.{field})::varchar, 'null') || ',\n          \"new\": '"
+        f" || coalesce(to_json(n.{field})::varchar, 'null') || '\n        }}' end"
+    )
+
+
+ORACLE["diff_document_pretty"] = f"""{PAIRED},{SUMMARY},
+bodies as (
+  select {PAIR}, case status when 'added' then 1 when 'removed' then 3 else 5 end as section,
+    case when {_NTH} = 1 then '\n' else ',\n' end || '    ' ||
+    case status when 'added' then {indented_row(4, 'n')} when 'removed' then {indented_row(4, 'o')}
+      else '{{\n      "name": ' || to_json(name)::varchar
+        || ',\n      "old_version": ' || coalesce(to_json(old_version)::varchar, 'null')
+        || ',\n      "new_version": ' || coalesce(to_json(new_version)::varchar, 'null')
+        || ',\n      "changes": [\n' || concat_ws(',\n', {', '.join(_indented_change(f) for f in COMPARED)})
+        || '\n      ],\n      "old": ' || {indented_row(6, 'o')} || ',\n      "new": '
+        || {indented_row(6, 'n')} || '\n    }}' end as piece
+  from diff where status <> 'unchanged'
+)
+select {PAIR}, 0 as section, '{{\n  "summary": {{\n    "added": ' || added || ',\n    "removed": ' || removed
+  || ',\n    "changed": ' || changed || ',\n    "unchanged": ' || unchanged || '\n  }},\n  "added": [' as piece
+from summary
+union all select * from bodies
+union all select {PAIR}, 2, case when added > 0 then '\n  ' else '' end || '],\n  "removed": [' from summary
+union all select {PAIR}, 4, case when removed > 0 then '\n  ' else '' end || '],\n  "changed": [' from summary
+union all select {PAIR}, 6, case when changed > 0 then '\n  ' else '' end || ']\n}}' from summary"""
+
+ORACLE["import_document_pretty"] = f"""{MATCHED},{COUNTS},
+bodies as (
+  select host, snapshot_id, case when row_number() over (partition by host, snapshot_id order by position) = 1
+      then '\n' else ',\n' end || '        {{\n          "PackageIdentifier": ' || to_json(package_id)::varchar
+    || ',\n          "Version": ' || to_json(coalesce(package_version, version))::varchar || '\n        }}' as piece
+  from matches where package_id is not null
+)
+select host, snapshot_id, 0 as section, '{{\n  "$schema": "https://aka.ms/winget-packages.schema.2.0.json",\n'
+  || '  "CreationDate": "2026-09-24T05:00:00.000-00:00",\n  "Sources": [' || case when matched > 0 then
+  '\n    {{\n      "SourceDetails": {{\n        "Name": "winget",\n'
+  || '        "Identifier": "Microsoft.Winget.Source_8wekyb3d8bbwe",\n'
+  || '        "Argument": "https://cdn.winget.microsoft.com/cache",\n'
+  || '        "Type": "Microsoft.PreIndexed.Package"\n      }},\n      "Packages": [' else '' end as piece from counts
+union all select host, snapshot_id, 1, piece from bodies
+union all select host, snapshot_id, 2,
+  case when matched > 0 then '\n      ]\n    }}\n  ]' else ']' end || '\n}}' from counts"""

@@ -23,7 +23,7 @@ from appcensus.schema import ENTRY_COLUMNS, GROUP, ORD
 from appcensus.session import tune
 from appcensus.sources import catalog as C
 from appcensus.sources import packaged, registry, snapshots
-from appcensus.sources.collect import collect, collector_sources
+from appcensus.sources.collect import collect, collect_status, collector_sources
 from workload import views
 
 ROW = [*GROUP, *ENTRY_COLUMNS, ORD]
@@ -143,6 +143,16 @@ def registry_map(spark, sf):
     return registry.registry_entries(keys).select(*ROW)
 
 
+def registry_map_typed(spark, sf):
+    """Registry values as bytes, numbers and truth values."""
+    keys = registry.gather_values(views.typed_registry_values(spark, sf))
+    return registry.registry_entries(keys).select(*ROW)
+
+
+def captures_status(spark, sf):
+    return collect_status(views.registry_values(spark, sf), views.package_captures(spark, sf))
+
+
 def appx_parse(spark, sf):
     return packaged.packages_of(packaged.parse_listings(views.package_captures(spark, sf)))
 
@@ -349,9 +359,12 @@ def diff_lines(spark, sf):
     return P.diff_lines(_history_diff(spark, sf), PAIR).select(*PAIR, "section", "piece")
 
 
+def _stamp():
+    return F.lit("2026-09-24 05:00:00").cast("timestamp")
+
+
 def import_document(spark, sf):
-    stamp = F.lit("2026-09-24 05:00:00").cast("timestamp")
-    pieces = P.import_pieces(_matches(spark, sf), stamp, include_versions=True)
+    pieces = P.import_pieces(_matches(spark, sf), _stamp(), include_versions=True)
     return pieces.select(*GROUP, "section", "piece")
 
 
@@ -381,6 +394,41 @@ def report_positions(spark, sf):
     return placed.select(*GROUP, "position", "name", "registry_path", ORD)
 
 
+def _positions(pieces, group):
+    return P.with_position(pieces, list(group)).select(*group, "position", "piece")
+
+
+def report_array_positions(spark, sf):
+    pieces = P.report_documents(views.fleet(spark, sf), _snapshots, array_only=True)
+    return _positions(pieces, GROUP)
+
+
+def diff_lines_positions(spark, sf):
+    return _positions(P.diff_lines(_history_diff(spark, sf), PAIR), PAIR)
+
+
+def import_document_positions(spark, sf):
+    return _positions(P.import_pieces(_matches(spark, sf), _stamp(), include_versions=True), GROUP)
+
+
+def unmatched_checklist_positions(spark, sf):
+    return _positions(P.checklist_lines(_matches(spark, sf)), GROUP)
+
+
+def report_document_pretty(spark, sf):
+    pieces = P.report_documents(views.fleet(spark, sf), _snapshots, pretty=True)
+    return pieces.select(*GROUP, "section", "piece")
+
+
+def diff_document_pretty(spark, sf):
+    return P.diff_pieces(_history_diff(spark, sf), PAIR, pretty=True).select(*PAIR, "section", "piece")
+
+
+def import_document_pretty(spark, sf):
+    pieces = P.import_pieces(_matches(spark, sf), _stamp(), include_versions=True, pretty=True)
+    return pieces.select(*GROUP, "section", "piece")
+
+
 def diff_document_positions(spark, sf):
     """The place of every piece in its diff document."""
     pieces = P.diff_pieces(_history_diff(spark, sf), PAIR)
@@ -408,6 +456,8 @@ QUERIES = {
     "entry_rehydrate": entry_rehydrate,
     "source_select": source_select,
     "registry_map": registry_map,
+    "registry_map_typed": registry_map_typed,
+    "collect_status": captures_status,
     "appx_parse": appx_parse,
     "appx_map": appx_map,
     "collect_union": collect_union,
@@ -448,7 +498,14 @@ QUERIES = {
     "csv_rows": csv_rows,
     "csv_rows_by_snapshot": csv_rows_by_snapshot,
     "report_positions": report_positions,
+    "report_array_positions": report_array_positions,
     "diff_document_positions": diff_document_positions,
+    "diff_lines_positions": diff_lines_positions,
+    "import_document_positions": import_document_positions,
+    "unmatched_checklist_positions": unmatched_checklist_positions,
+    "report_document_pretty": report_document_pretty,
+    "diff_document_pretty": diff_document_pretty,
+    "import_document_pretty": import_document_pretty,
     "snapshot_status": snapshot_status,
 }
 

@@ -345,3 +345,32 @@ def registry_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ord").alias("key_ord"),
         F.explode(F.create_map(*pairs)).alias("value_name", "value"),
     )
+
+
+def typed_registry_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry values as they were stored: text, bytes that may be no UTF-8, numbers, truth values."""
+    values = {
+        "DisplayName": "case when l_partkey % 5 = 0"
+        " then cast(concat(cast(raw_name as binary), X'FF') as variant)"
+        " when l_partkey % 5 = 1 then cast(cast(raw_name as binary) as variant)"
+        " else cast(raw_name as variant) end",
+        "DisplayVersion": "case when l_orderkey % 2 = 0 then cast(l_linenumber as variant)"
+        " else cast(raw_version as variant) end",
+        "Publisher": "cast(raw_publisher as variant)",
+        "InstallDate": "case when l_orderkey % 7 = 0 then cast(cast(raw_date as bigint) as variant)"
+        " else cast(raw_date as variant) end",
+        "EstimatedSize": "case when raw_size = '12.7' and l_orderkey % 2 = 0 then cast(12.7 as variant)"
+        " when raw_size = '-5' then cast(cast(-5 as bigint) as variant)"
+        " when l_partkey % 11 > 4 then cast(l_extendedprice * 10 as variant)"
+        " else cast(raw_size as variant) end",
+        "SystemComponent": "case l_suppkey % 17 when 0 then cast(1 as variant) when 1 then cast(true as variant)"
+        " when 2 then cast(false as variant) when 3 then cast(0.5D as variant)"
+        " when 4 then cast(cast('yes' as binary) as variant) else cast(raw_system as variant) end",
+    }
+    columns = {name: F.expr(CAPTURE[name]) for name in CAPTURE}
+    rows = lines(spark, sf_dir).select("*", *[value.alias(name) for name, value in columns.items()])
+    pairs = [F.lit(name) if i == 0 else F.expr(raw) for name, raw in values.items() for i in (0, 1)]
+    return rows.select(
+        *GROUP, "view", F.col("mark").alias("sub_name"), F.col("ord").alias("key_ord"),
+        F.explode(F.create_map(*pairs)).alias("value_name", "value"),
+    )
