@@ -5,7 +5,8 @@ match must contain.  A block of texts is one segment of the index: for the trigr
 occur in some query, the segment has the sorted list of texts that contain them (ASCII case
 folded).  A rule's candidates are the union, over its alternatives, of the intersected lists;
 only candidates are verified with the expression.  Rules without mandatory trigrams scan
-every text.
+every text.  Of each part of an expression it is known what its matches begin with, end with and
+are, so that two parts make a trigram only where nothing unknown can stand between them.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned each; spans
 of different kinds may overlap; positions are code points.  Other columns are not looked at.
@@ -26,7 +27,8 @@ from appcensus.llm.tables import documents, in_python
 from appcensus.llm.words import FOLD, blocks, text_bytes
 
 MOST_STRINGS = 256
-"""Exact strings followed in one run of an expression; above it the run ends there."""
+"""Strings, or alternatives of a query, that are followed; beyond it less is known of a match."""
+MOST_COPIES = 8
 SMALL_CLASS = 6
 
 
@@ -65,6 +67,7 @@ RULES = BASE + FURTHER
 
 Query = frozenset[frozenset[bytes]]
 """Alternatives, each a set of trigrams that must all occur."""
+Strings = frozenset[str]
 
 
 def _trigrams(text: str) -> frozenset[bytes]:
@@ -94,90 +97,129 @@ def _characters(item, folded: bool) -> list[str] | None:
     return sorted(letters) if len(letters) <= SMALL_CLASS else None
 
 
-class _Reader:
-    """Walks a parsed expression: a set of exact strings so far, and the queries behind it."""
+_ANY: Query = frozenset([frozenset()])
+"""The query that every text meets."""
 
-    def __init__(self):
-        self.strings: set[str] | None = {""}
-        self.queries: list[Query] = []
 
-    def stop(self) -> None:
-        """What follows is not known exactly: turn the strings into a query."""
-        if self.strings is not None and self.strings != {""}:
-            if all(len(s.encode()) >= 3 for s in self.strings):
-                self.queries.append(frozenset(map(_trigrams, self.strings)))
-        self.strings = {""}
+def _shortest(query: Query) -> Query:
+    """Without alternatives that ask for more than another one does."""
+    return frozenset(a for a in query if not any(b < a for b in query))
 
-    def add(self, more: set[str]) -> None:
-        if len(self.strings) * len(more) > MOST_STRINGS:
-            self.stop()
-        if len(more) > MOST_STRINGS:
-            return
-        self.strings = {a + b for a in self.strings for b in more}
-
-    def read(self, items) -> None:
-        for item in items:
-            op, value = item
-            if (found := _characters(item, True)) is not None:
-                self.add(set(found))
-            elif op is sre.SUBPATTERN:
-                self.read(value[3])
-            elif op is sre.BRANCH:
-                self.branch(value[1])
-            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
-                self.repeat(*value)
-            elif op is not sre.AT:
-                self.stop()
-
-    def branch(self, choices) -> None:
-        readers = []
-        for choice in choices:
-            reader = _Reader()
-            reader.read(choice)
-            readers.append(reader)
-        if all(not r.queries and r.strings != {""} for r in readers):
-            self.add(set().union(*(r.strings for r in readers)))
-            return
-        self.stop()
-        for reader in readers:
-            reader.stop()
-        if all(r.queries for r in readers):
-            self.queries.append(frozenset().union(*(r.best() for r in readers)))
-
-    def repeat(self, low: int, high, items) -> None:
-        inner = _Reader()
-        inner.read(items)
-        exact = not inner.queries and inner.strings is not None
-        if exact and low == 0 and high == 1:
-            self.add(inner.strings | {""})
-        elif exact and low == high and inner.strings != {""}:
-            for _ in range(min(low, 8)):
-                self.add(inner.strings)
-            if low > 8:
-                self.stop()
+
+def _both(one: Query, other: Query) -> Query:
+    """A query that both imply; the weaker one is left out where it would get too long."""
+    if len(one) * len(other) > MOST_STRINGS:
+        return min(one, other, key=len) if _ANY not in (one, other) else max(one, other, key=len)
+    return _shortest(frozenset(a | b for a in one for b in other))
+
+
+def _either(queries) -> Query:
+    found = _shortest(frozenset().union(*queries))
+    return found if len(found) <= MOST_STRINGS else _ANY
+
+
+def _held(strings: Strings) -> Query:
+    """The query that a text meets when it holds one of the strings."""
+    if any(len(s.encode()) < 3 for s in strings):
+        return _ANY
+    return _either([frozenset([_trigrams(s)]) for s in strings])
+
+
+def _joined(one: Strings, other: Strings) -> Strings | None:
+    if len(one) * len(other) > MOST_STRINGS:
+        return None
+    return frozenset(a + b for a in one for b in other)
+
+
+@dataclass(frozen=True)
+class _Part:
+    """What is known of every text that a part of an expression matches.
+
+    It begins with one of ``starts`` and ends with one of ``ends``, which meet nothing unknown on
+    that side, and it meets ``query``.  Where the part is known whole, it is one of ``exact``.
+    """
+
+    exact: Strings | None = None
+    starts: Strings = frozenset([""])
+    ends: Strings = frozenset([""])
+    query: Query = _ANY
+
+    @staticmethod
+    def of(strings: Strings) -> "_Part":
+        return _Part(strings, strings, strings) if len(strings) <= MOST_STRINGS else _Part()
+
+    def all(self) -> Query:
+        if self.exact is not None:
+            return _held(self.exact)
+        return _both(self.query, _both(_held(self.starts), _held(self.ends)))
+
+    def then(self, other: "_Part") -> "_Part":
+        if self.exact is not None and other.exact is not None:
+            if (both := _joined(self.exact, other.exact)) is not None:
+                return _Part.of(both)
+        query = _both(self.all(), other.all())
+        if (border := _joined(self.ends, other.starts)) is not None:
+            query = _both(query, _held(border))
+        starts, ends = self.starts, other.ends
+        if self.exact is not None:
+            starts = _joined(self.exact, other.starts) or self.exact
+        if other.exact is not None:
+            ends = _joined(self.ends, other.exact) or other.exact
+        return _Part(None, starts, ends, query)
+
+    @staticmethod
+    def one_of(parts: list["_Part"]) -> "_Part":
+        if all(p.exact is not None for p in parts):
+            return _Part.of(frozenset().union(*(p.exact for p in parts)))
+        starts, ends = (frozenset().union(*(getattr(p, n) for p in parts)) for n in ("starts", "ends"))
+        unknown = frozenset([""])
+        return _Part(
+            None, starts if len(starts) <= MOST_STRINGS else unknown,
+            ends if len(ends) <= MOST_STRINGS else unknown, _either([p.all() for p in parts]),
+        )
+
+    def times(self, low: int, high: int) -> "_Part":
+        if high == 1 and low == 0:
+            return _Part.one_of([self, _EMPTY])
+        if low == 0:
+            return _EMPTY if high == 0 else _Part()
+        copies = self
+        for _ in range(min(low, MOST_COPIES) - 1):
+            copies = copies.then(self)
+        if low == high <= MOST_COPIES:
+            return copies
+        # More copies may stand between those it begins with and those it ends with.
+        return _Part(None, copies.starts, copies.ends, copies.all())
+
+
+_EMPTY = _Part.of(frozenset([""]))
+
+
+def _known(items) -> _Part:
+    """What is known of a parsed expression."""
+    whole = _EMPTY
+    for op, value in items:
+        if (found := _characters((op, value), True)) is not None:
+            part = _Part.of(frozenset(found))
+        elif op is sre.SUBPATTERN:
+            part = _known(value[3])
+        elif op is sre.ATOMIC_GROUP:
+            part = _known(value)
+        elif op is sre.BRANCH:
+            part = _Part.one_of([_known(choice) for choice in value[1]])
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
+            part = _known(value[2]).times(int(value[0]), int(value[1]))
+        elif op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+            part = _EMPTY  # matches no character
         else:
-            if low > 0 and exact:
-                self.add(inner.strings)
-            self.stop()
-            if low > 0:
-                self.queries.extend(inner.queries)
-
-    def best(self) -> Query:
-        """All queries hold; the alternatives of all, while these are few."""
-        found: Query = frozenset([frozenset()])
-        for query in self.queries:
-            both = frozenset(a | b for a in found for b in query)
-            if len(both) <= MOST_STRINGS:
-                found = both
-        return found
+            part = _Part()
+        whole = whole.then(part)
+    return whole
 
 
 def trigram_query(pattern: str) -> Query | None:
     """The trigrams a match of ``pattern`` must contain, or None if there are none."""
-    reader = _Reader()
-    reader.read(parser.parse(pattern, re.ASCII))
-    reader.stop()
-    query = reader.best()
+    query = _known(parser.parse(pattern, re.ASCII)).all()
     return None if frozenset() in query else query
 
 

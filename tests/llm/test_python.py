@@ -243,6 +243,41 @@ def test_trigram_queries():
     assert secret_scan.trigram_query("(abcd)+[0-9]xyz") == {frozenset([b"abc", b"bcd", b"xyz"])}
 
 
+def random_expression(rng, depth=3):
+    kind = rng.randrange(8 if depth else 3)
+    if kind < 2:
+        return "".join(rng.choice("abcX") for _ in range(rng.randrange(1, 5)))
+    if kind == 2:
+        return rng.choice(["[^x]", ".", "[ab]", "[a-c]", "[A-Z0-9]", "\\d", "(?i:aB)", "^", "$", "\\b", "(?=a)", "(?!b)"])
+    if kind < 5:
+        return "".join(random_expression(rng, depth - 1) for _ in range(rng.randrange(2, 4)))
+    if kind < 7:
+        return "(?:" + "|".join(random_expression(rng, depth - 1) for _ in range(rng.randrange(2, 4))) + ")"
+    inner = random_expression(rng, depth - 1)
+    inner = f"(?:{inner})" if not inner.startswith("(?=") and not inner.startswith("(?!") else "(?:a|b)"
+    return inner + rng.choice(["?", "*", "+", "{2}", "{2,3}", "{0,2}", "{9}", "+?", "{1,}", "{0}"])
+
+
+def test_trigram_queries_miss_nothing():
+    rng = random.Random(6)
+    texts = ["foo-barend", "-abc-abc", "", "abcabc", "quxend fooquxend"]
+    texts += ["".join(rng.choice("abcABCXx1-") for _ in range(rng.randrange(0, 40))) for _ in range(1500)]
+    texts += ["".join(rng.choice(["abc", "ab", "bc", "aB", "X", "ca", "x"]) for _ in range(12)) for _ in range(500)]
+    column = pa.array(texts)
+    data, offsets = words.text_bytes(column)
+    patterns = [r"foo(?:[^x]bar|qux)end", r"(?:[^x]abc){2}", r"(?:a|bcab)+c", "(?:abc){9}", "(?:abc|)X(?:ab|)c"]
+    patterns += [random_expression(rng) for _ in range(600)]
+    narrowed = 0
+    for pattern in patterns:
+        rule = secret_scan.Rule("r", pattern)
+        query = secret_scan.trigram_query(pattern)
+        segment = secret_scan.Segment(data, offsets, secret_scan.wanted_trigrams([query]))
+        found = set(segment.candidates(query).tolist())
+        narrowed += query is not None
+        assert {k for k, text in enumerate(texts) if rule.spans(text)} <= found, pattern
+    assert narrowed > 100
+
+
 def test_secret_scan(spark):
     secrets = [
         "api_key: 'abcdefgh1'", "API-KEY=abcdefgh", "Token = short", 'secret":"0123456789abcdef"',
