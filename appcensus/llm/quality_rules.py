@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from appcensus.llm.tables import SPACES, WORDS, documents
+from appcensus.llm.tables import documents, quoted, SPACES, WORDS
 
 WINDOW = 5
 
@@ -156,7 +156,8 @@ def quality_report(
 
 def keep_good(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows that pass, with their columns, whatever these are called."""
-    packed = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), df[text].alias("_raw"))
+    row = F.struct(*[df[quoted(c)] for c in df.columns])
+    packed = df.select(row.alias("_row"), df[text].alias("_raw"))
     judged = _with_statistics(packed, "_raw").filter(
         ~F.expr(BASE_FAILED) & (F.size(verdict(rules)) == 0)
     )

@@ -18,6 +18,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def quoted(column: str) -> str:
+    """A column's name as it is, dots included."""
+    return f"`{column.replace('`', '``')}`"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a local session without one gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -92,7 +97,7 @@ def one_of_each(
     keys = bounded(tied.select("_one_id", "_one_text"))
     same = df[id_column].eqNullSafe(keys["_one_id"]) & (F.xxhash64(df[text]) == keys["_one_text"])
     packed = df.join(keys, same, "left_semi").select(
-        F.struct(*[df[c] for c in df.columns]).alias("_row"),
+        F.struct(*[df[quoted(c)] for c in df.columns]).alias("_row"),
         df[id_column].alias("_one_id"), F.xxhash64(df[text]).alias("_one_text"),
     )
     ones = packed.groupBy("_one_id", "_one_text").agg(

@@ -42,7 +42,7 @@ def rows(seed=1):
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # Names the operators use themselves.
-CLASHES = ("_id", "digest", "size", "n_words", "kept", "token", "label", "hash", "_text", "_row", "copies")
+CLASHES = ("_id", "digest", "size", "n_words", "kept", "token", "label", "hash", "_text", "_row", "copies", "a.b")
 
 
 def frame(spark, seed=1, clashes=False):

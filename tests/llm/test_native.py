@@ -137,22 +137,64 @@ def test_mixing(spark, bits):
         if not free:
             break
     assert len(got) == len(cases.rows())
-    source_of = {r[0]: r[3] for r in cases.rows() if r[0] is not None}
-    taken, largest = Counter(), Counter()
+    largest, taken = Counter(), Counter()
+    for _, text, _, source, _ in cases.rows():
+        largest[source] = max(largest[source], len(WORD.findall(text or "")))
+    # Sources are told apart by their size here.
+    named = {n: source for source, n in size.items()}
+    assert len(named) == len(size)
     for r in got:
         assert 0 <= r.taken <= 2 * r.size
-        if r.doc_id is not None:
-            source = source_of[r.doc_id]
-            assert r.source_size == size[source]
-            assert r.target == pytest.approx(target[source])
-            taken[source] += r.taken
-            largest[source] = max(largest[source], r.size)
-    for source in ("b", "c", "ü"):  # sources without rows that have no id
-        assert abs(taken[source] - target[source]) <= 2 * largest[source]
+        assert r.target == pytest.approx(target[named[r.source_size]])
+        taken[named[r.source_size]] += r.taken
+    for source in size:
+        assert abs(taken[source] - target[source]) <= largest[source]
     again = mixing.mix(df.repartition(5), level_bits=bits).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_mixing_meets_targets_without_ids(spark):
+    rows = [(k, f"w{k} " * (k % 20 + 1), "en", "a", k) for k in range(100)]
+    rows += [(None, f"n{k} " * (k % 20 + 1), "en", "a", k) for k in range(150)]  # no id
+    rows += [(None, "same words here", "en", "a", 1)] * 50  # one row, many times
+    rows += [(7, f"x{k}", "en", "b", 1) for k in range(90)] + [(k, "y " * 9, "en", "c", k) for k in range(40)]
+    df = spark.createDataFrame(rows, cases.SCHEMA)
+    got = mixing.mix(df).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+        assert r.taken <= 2 * r.size
+    assert len(target) == 3 and all(abs(taken[s] - target[s]) <= 20 for s in target)
+    mixed = Counter((r.doc_id, r.text) for r in mixing.mixed(df).collect())
+    words = Counter()
+    for (_, text), n in mixed.items():
+        words[len(WORD.findall(text))] += n * len(WORD.findall(text))
+    expected = Counter()
+    for r in got:
+        expected[r.size] += r.taken
+    assert words == +expected
+    again = mixing.mix(df).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_sources_without_bound(spark):
+    rows = [(k, "w " * (k % 7 + 1), "en", f"s{k % 900:04d}", k) for k in range(2_000)]
+    got = mixing.mix(spark.createDataFrame(rows, cases.SCHEMA)).collect()
+    size = Counter()
+    for k, _, _, source, _ in rows:
+        size[source] += k % 7 + 1
+    weights = {s: (3, 1, 2)[n % 3] for n, s in enumerate(sorted(size))}
+    low, high = 0.0, 1e9
+    for _ in range(200):  # the level that all sources below their cap share
+        level = (low + high) / 2
+        spent = sum(min(2 * size[s], level * weights[s]) for s in size)
+        low, high = (level, high) if spent < 1.5 * sum(size.values()) else (low, level)
+    for r in got:
+        source = f"s{r.doc_id % 900:04d}"
+        assert r.target == pytest.approx(min(2 * size[source], low * weights[source]))
+
+
 def test_mixed_rows(spark):
     df = cases.frame(spark, clashes=True)
     out = mixing.mixed(df)
