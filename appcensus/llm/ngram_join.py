@@ -26,8 +26,8 @@ least a threshold t; the result is the component of each document and its number
    smallest hub it shares.  A comparison returns a spanning forest of links and link counts.
 6. The components of these forests are the result.
 
-There is no cap on lists, candidates or clusters.  Shingles, words and sets are compared by
-64-bit hashes.
+There is no cap on lists, candidates or clusters.  Shingles and words are compared by 64-bit
+hashes, sets are equal by 128 bits.
 
 Defined results: null and empty texts, and texts without words, have no shingles, link with
 nothing and form their own component; a text with fewer words than a shingle has its whole
@@ -50,10 +50,12 @@ from appcensus.llm.words import mixed, shingle_sets
 
 REGIMES = ((64, 10.0), (256, 4.0), (None, 2.0))
 """Largest size of a regime, and how many times the part 1 - t of all hashes its band holds."""
-SCAN_COST = 1 / 256
-"""Cost of a list entry scanned, against that of a row written: entries are compared many at
-once, and most meet again under the other tokens of their sets."""
-BLOCK_SETS = 256
+SCAN_COST = 1.0
+"""Cost of a list entry scanned, against that of a row written.  Measured on one core: a row of a
+2-subset takes 10 microseconds through its explosion and two shuffles; an entry scanned is a pair
+compared, for sets of 300 shingles 7 microseconds by itself, and in a block 1 for near copies and 9
+for sets that only share a list."""
+BLOCK_SETS = 1024
 BLOCK_TOKENS = 1 << 21
 """A block of a large cluster has about so many sets, or so many shingles."""
 FEW = 24
@@ -64,9 +66,13 @@ def first_tokens(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 2
 
 
-def _set_digest(tokens: np.ndarray) -> int:
-    total = mixed(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-    return int(mixed(np.array([total + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
+_SALTS = (np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x3C6EF372FE94F82B))
+
+
+def _set_digest(tokens: np.ndarray) -> bytes:
+    """128 bits of a set."""
+    sums = np.array([mixed(tokens ^ salt).sum(dtype=np.uint64) for salt in _SALTS], np.uint64)
+    return mixed(sums + np.uint64(len(tokens))).tobytes()
 
 
 def _edges(percent: int) -> list[np.uint64]:
@@ -100,7 +106,7 @@ def _shingled(df: DataFrame, width: int, percent: int, id_column: str, text: str
     digests.
     """
     schema = pa.schema(
-        [("_id", pa.int64()), ("th", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()),
+        [("_id", pa.int64()), ("th", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()),
          ("bands", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))]
     )
 
@@ -124,7 +130,7 @@ def _shingled(df: DataFrame, width: int, percent: int, id_column: str, text: str
             ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(digests, pa.int64()),
+                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()),
                  pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                 schema=schema,
@@ -136,7 +142,7 @@ def _shingled(df: DataFrame, width: int, percent: int, id_column: str, text: str
     )
     scanned = in_python(
         rows, scan,
-        "_id bigint, th bigint, digest bigint, n bigint, bands array<bigint>, tokens array<bigint>",
+        "_id bigint, th bigint, digest binary, n bigint, bands array<bigint>, tokens array<bigint>",
     )
     return scanned.withColumn("num", F.monotonically_increasing_id())
 
@@ -320,14 +326,14 @@ def _forest(members: dict, hub: int, same: bool, block: int, percent: int) -> tu
     return digests, [top(d) for d in digests], [links[d] for d in digests]
 
 
-_SPREAD = "hub bigint, bi bigint, bj bigint, digest bigint, copies bigint, block bigint," \
+_SPREAD = "hub bigint, bi bigint, bj bigint, digest binary, copies bigint, block bigint," \
     " guest boolean, hubs array<bigint>, tokens binary"
 _SPREAD_ARROW = pa.schema(
-    [("hub", pa.int64()), ("bi", pa.int64()), ("bj", pa.int64()), ("digest", pa.int64()),
+    [("hub", pa.int64()), ("bi", pa.int64()), ("bj", pa.int64()), ("digest", pa.binary()),
      ("copies", pa.int64()), ("block", pa.int64()), ("guest", pa.bool_()),
      ("hubs", pa.list_(pa.int64())), ("tokens", pa.binary())]
 )
-_FOREST_ARROW = pa.schema([("digest", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
+_FOREST_ARROW = pa.schema([("digest", pa.binary()), ("root", pa.binary()), ("links", pa.int64())])
 
 
 def _compared(
@@ -358,7 +364,7 @@ def _compared(
                     hubs.setdefault(place["slot"], []).append(place["hub"])
                 rows = []
                 for place in places[k]:
-                    block = digests[k] % place["blocks"]
+                    block = int.from_bytes(digests[k][:8]) % place["blocks"]
                     rows.extend(
                         (place["hub"], min(block, other), max(block, other), digests[k], copies[k],
                          block, place["guest"], hubs[place["slot"]], tokens.tobytes())
@@ -382,7 +388,7 @@ def _compared(
             if len(members) > 1:
                 found = _forest(members, key[0], key[1] == key[2], key[1], percent)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in found], schema=_FOREST_ARROW
+                    [pa.array(c, f.type) for c, f in zip(found, _FOREST_ARROW)], schema=_FOREST_ARROW
                 )
 
         for batch in batches:
@@ -395,7 +401,7 @@ def _compared(
                 members[digest] = (copies, block, guest, tokens, set(hubs))
         yield from done()
 
-    return in_python(groups, compare, "digest bigint, root bigint, links bigint")
+    return in_python(groups, compare, "digest binary, root binary, links bigint")
 
 
 def ngram_join(
@@ -420,11 +426,15 @@ def ngram_join(
     )
     nodes = groups.withColumnRenamed("digest", "_d").join(classes, F.col("_d") == classes["digest"])
     nodes = nodes.withColumn("guest", _band_of(F.col("n"), percent) < F.col("slot"))
-    sizes = nodes.groupBy(F.col("hub").alias("_of")).agg(
-        F.greatest(
-            F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)
-        ).alias("blocks"),
-        (~F.min("guest")).alias("kept"),  # guests alone have met elsewhere
+    # Written down, so that the join with it can split a hub that very many sets hang on.
+    sizes = written(
+        nodes.groupBy(F.col("hub").alias("_of")).agg(
+            F.greatest(
+                F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)
+            ).alias("blocks"),
+            (~F.min("guest")).alias("kept"),  # guests alone have met elsewhere
+        ),
+        "hub-sizes",
     )
     place = F.struct("slot", "hub", "blocks", "guest", "kept")
     # A class is in at most two groups for each of its first tokens.

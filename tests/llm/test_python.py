@@ -104,6 +104,22 @@ def test_ngram_join_light_sets(spark, monkeypatch):
     assert ngram_join.light_limit([(10, 5, 2, 1000), (100, 50, 20, 10)], 90) >= 10
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="driver tables are not here")
+def test_boundary_lies_inside_the_sizes(spark, monkeypatch):
+    """With the shipped cost, documents have light sets, whose 2-subsets are enumerated."""
+    seen, real = [], ngram_join.light_limit
+    monkeypatch.setattr(ngram_join, "light_limit", lambda h, p: seen.append((real(h, p), h)) or seen[-1][0])
+    first = ngram_join._first_shared(
+        ngram_join._shingled(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), 3, 90, "doc_id", "text"), 90
+    )
+    first = ngram_join.written(first, "first-tokens")
+    lists = ngram_join._lists(first, 90)
+    limit, histogram = seen[0]
+    assert min(row[0] for row in histogram) < limit < max(row[0] for row in histogram)
+    tokens = first.select(F.col("token").alias("key")).distinct()
+    assert lists.join(tokens, "key", "left_anti").count() > 0 < lists.join(tokens, "key", "left_semi").count()
+
+
 def test_ngram_join_keeps_one(spark):
     df = cases.frame(spark, clashes=True)
     kept = ngram_join.keep_one(df)
