@@ -3,7 +3,11 @@
 The index is a table of distinct digests, bucketed and sorted by digest.  New rows are
 reduced to one row per digest (map-side first, so a text that makes up a third of all rows
 costs a few rows per task), anti-joined with the index by sort-merge on the digest and
-appended.  Only digests travel; texts never leave the scan.
+appended with their number of copies.  Only digests travel; texts never leave the scan.
+
+Every append adds a file to each bucket.  When there are many, the buckets are merged into one
+sorted file each, in a table beside the old one that counts once it is complete; its number of
+buckets follows the number of digests.  A merged bucket is read in its order and not sorted again.
 
 Texts are equal when they agree after lower-casing A-Z only.  Defined results: a null text
 counts as empty, and empty texts are copies of each other; of equal texts the largest id
@@ -12,6 +16,7 @@ rows.  ``deduplicate`` and ``keep_new`` decide by id, so rows that share the lar
 stay.  ``keep_one``, the stage of the pipeline, tells these apart by row: exactly one stays.
 """
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +25,11 @@ from pyspark.sql import functions as F
 from appcensus.llm.tables import documents, new_path, one_of_each, without, written
 
 BUCKETS = 64
+"""Buckets of a new index, and of any index at least."""
+BUCKET_DIGESTS = 4_000_000
+"""Digests of a bucket when buckets are merged."""
+MERGE_FILES = 8
+"""Files of a bucket that are merged into one."""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,26 +46,65 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A table in ``path`` with one row per digest ever seen: ``digest, first_id, batch``.
-
-    The files outlive the session: another session opens the same path with the same number
-    of buckets.  ``append`` adds only digests that are not there, so a batch that is tried
-    again after a failure adds nothing twice.  When it is tried again under the same name, the
-    digests that it added itself (same batch, same first id) count as new.
+    """Tables below ``path`` with the digests ever seen: ``digest, first_id, batch, copies, fresh``.
+
+    A batch has one row per digest it holds; ``fresh`` tells the one that brought the digest.
+    The files outlive the session: another session opens the same path.  ``append`` adds what the
+    index lacks of a batch, so a batch that is tried again under its name adds nothing twice, and
+    the digests that it added itself (same batch, same first id) count as new to it.  Merging
+    keeps the batch that brought a digest and forgets which ones added copies: merge when no
+    batch will be tried again.
     """
 
+    _COLUMNS = ("digest", "first_id", "batch", "copies", "fresh")
+
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        self.name = "digest_index_" + path.rstrip("/").rpartition("-")[2].replace("/", "_")
-        spark.sql(
-            f"create table if not exists `{self.name}` (digest string, first_id bigint, batch string)"
-            f" using parquet clustered by (digest) sorted by (digest) into {buckets} buckets"
-            f" location '{path}'"
+        self.spark, self.path, self.least = spark, path.rstrip("/"), buckets
+        # A bucket that is one file is read in its order.
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        self._open(*self._latest())
+
+    def _files(self, folder: str):
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
+
+    def _latest(self) -> tuple[int, int]:
+        """Version and number of buckets of the newest table that is complete."""
+        files, place = self._files(self.path)
+        found = [(0, self.least)]
+        for status in files.listStatus(place) if files.exists(place) else []:
+            name = status.getPath().getName()
+            version, _, buckets = name.removeprefix("version-").partition("-of-")
+            done = files.exists(self._files(f"{self.path}/{name}/_SUCCESS")[1])
+            if name.startswith("version-") and (done or int(version) == 0):
+                found.append((int(version), int(buckets)))
+        return max(found, key=lambda f: f[0] + (f is not found[0]) / 2)
+
+    def _open(self, version: int, buckets: int) -> None:
+        self.version, self.buckets = version, buckets
+        self.location = f"{self.path}/version-{version:06d}-of-{buckets}"
+        known_as = hashlib.sha256(self.location.encode()).hexdigest()[:32]
+        self.name = f"digest_index_{known_as}"
+        self.spark.sql(
+            f"create table if not exists `{self.name}` (digest string, first_id bigint, batch string,"
+            f" copies bigint, fresh boolean) using parquet clustered by (digest) sorted by (digest)"
+            f" into {buckets} buckets location '{self.location}'"
         )
 
-    def rows(self) -> DataFrame:
+    def _every(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def rows(self) -> DataFrame:
+        """``digest, first_id, batch``, one row per digest."""
+        return self._every().filter("fresh").select("digest", "first_id", "batch")
+
+    def groups(self) -> DataFrame:
+        """``digest, keep_id, group_size`` over all batches; nothing is shuffled."""
+        return self._every().groupBy("digest").agg(
+            F.max(F.when(F.col("fresh"), F.col("first_id"))).alias("keep_id"),
+            F.sum("copies").alias("group_size"),
+        )
+
     def unseen(self, digests: DataFrame) -> DataFrame:
         """Rows of ``digests`` (one per digest) that the index lacks, by sort-merge anti-join."""
         return digests.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
@@ -69,26 +118,44 @@ class DigestIndex:
         at = (F.col("digest") == F.col("_seen")) & ~own
         return groups.select("digest", "keep_id").join(seen, at, "left_anti").select("digest")
 
-    def append(self, digests: DataFrame, batch: str) -> None:
-        new = self.unseen(
-            digests.select("digest", F.col("keep_id").alias("first_id"), F.lit(batch).alias("batch"))
-        )
-        # Written down first: a table cannot be read and appended to in one job.  Each
-        # bucket is one task's, so that it becomes one sorted file.
-        rows = written(new, "new-digests").repartition(self.buckets, "digest")
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        # Each bucket is one task's, so that it becomes one sorted file.
         (
-            rows.write.mode("append").format("parquet")
+            rows.select(*self._COLUMNS).repartition(self.buckets, "digest")
+            .write.mode(mode).format("parquet")
             .bucketBy(self.buckets, "digest").sortBy("digest")
-            .option("path", self.path).saveAsTable(self.name)
+            .option("path", self.location).saveAsTable(self.name)
         )
         self.spark.catalog.refreshTable(self.name)
 
-
-def _verdicts(
-    df: DataFrame, index: DigestIndex, id_column: str, text: str, batch: str | None
-) -> DataFrame:
-    batch = batch or uuid.uuid4().hex
-    rows = written(
+    def append(self, groups: DataFrame, batch: str) -> None:
+        """Add a batch's ``digest, keep_id, group_size, new``."""
+        mine = self._every().filter(F.col("batch") == batch).select("digest").hint("merge")
+        rows = groups.select(
+            "digest", F.col("keep_id").alias("first_id"), F.lit(batch).alias("batch"),
+            F.col("group_size").alias("copies"), F.coalesce("new", F.lit(False)).alias("fresh"),
+        )
+        # Written down first: a table cannot be read and appended to in one job.
+        self._write(written(rows.join(mine, "digest", "left_anti"), "new-digests"), "append")
+        if len(self._every().inputFiles()) > MERGE_FILES * self.buckets:
+            self.merge()
+
+    def merge(self) -> None:
+        """Make every bucket one sorted file, in as many buckets as the digests need."""
+        one = F.struct("first_id", "batch")
+        rows = self._every().groupBy("digest").agg(
+            F.max(F.when(F.col("fresh"), one)).alias("_first"), F.sum("copies").alias("copies")
+        ).select("digest", "_first.first_id", "_first.batch", "copies", F.lit(True).alias("fresh"))
+        rows = written(rows, "merged-digests")
+        buckets = self.least
+        while rows.count() > buckets * BUCKET_DIGESTS:
+            buckets *= 2
+        self._open(self.version + 1, buckets)
+        self._write(rows, "overwrite")
+
+
+def _digests(df: DataFrame, id_column: str, text: str) -> DataFrame:
+    return written(
         df.select(
             df[id_column].alias("_id"),
             digest(df[text]).alias("digest"),
@@ -96,17 +163,44 @@ def _verdicts(
         ),
         "digests",
     )
+
+
+def _added(rows: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+    """Add a batch to ``index``: ``digest, keep_id, group_size, new`` of its groups."""
     groups = rows.groupBy("digest").agg(
         F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
     fresh = index.new_to(groups, batch).withColumn("new", F.lit(True))
     groups = written(groups.join(fresh, "digest", "left"), "groups")
-    index.append(groups.filter("new").select("digest", "keep_id"), batch)
+    index.append(groups, batch)
+    return groups
+
+
+def _verdicts(
+    df: DataFrame, index: DigestIndex, id_column: str, text: str, batch: str | None
+) -> DataFrame:
+    rows = _digests(df, id_column, text)
+    groups = _added(rows, index, batch or uuid.uuid4().hex)
     # The left side may be skewed; adaptive execution splits it, the right has one row a key.
     kept = F.col("_id").eqNullSafe(F.col("keep_id")) & F.coalesce("new", F.lit(False))
     return rows.join(groups, "digest").withColumn("kept", kept)
 
 
+def _by_halves(df: DataFrame, index: DigestIndex, id_column: str, text: str) -> DataFrame:
+    """Verdicts over a whole table that goes into a new ``index`` in two batches.
+
+    The half with the larger ids goes first, so the id that the index has of a digest is the
+    largest, and the other half is rejected where the index has its digests.
+    """
+    rows = _digests(df, id_column, text)
+    middle = rows.agg(F.percentile_approx("_id", 0.5)).first()[0]
+    later = F.coalesce(F.col("_id") >= F.lit(middle), F.lit(False))
+    for name, part in (("later ids", later), ("earlier ids", ~later)):
+        _added(rows.filter(part), index, name)
+    kept = F.col("_id").eqNullSafe(F.col("keep_id"))
+    return rows.join(index.groups(), "digest").withColumn("kept", kept)
+
+
 def deduplicate(
     df: DataFrame,
     index: DigestIndex,
@@ -149,12 +243,34 @@ def keep_one(
     batch: str | None = None,
 ) -> DataFrame:
     """Exactly one row of each group of equal texts that the index lacks, with its columns."""
-    rows = _verdicts(df, index, id_column, text, batch).withColumnRenamed("digest", "_group")
+    return _one_of(df, _verdicts(df, index, id_column, text, batch), id_column, text)
+
+
+def deduplicate_table(
+    df: DataFrame, index: DigestIndex, id_column: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``deduplicate`` of a whole table through a new index, in two batches; groups are the table's."""
+    return _by_halves(df, index, id_column, text).select(
+        F.col("_id").alias(id_column), "keep_id", "group_size", "kept",
+        F.col("digest").alias("text_sha256"),
+    )
+
+
+def keep_one_of_table(
+    df: DataFrame, index: DigestIndex, id_column: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``keep_one`` of a whole table through a new index, in two batches."""
+    return _one_of(df, _by_halves(df, index, id_column, text), id_column, text)
+
+
+def _one_of(df: DataFrame, rows: DataFrame, id_column: str, text: str) -> DataFrame:
+    rows = rows.withColumnRenamed("digest", "_group")
     return one_of_each(df, rows.select("_id", "_raw", "_group", "kept"), id_column, text)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(documents(spark, sf_dir), DigestIndex(spark, new_path(spark, "digest-index")))
+    index = DigestIndex(spark, new_path(spark, "digest-index"))
+    return deduplicate_table(documents(spark, sf_dir), index)
 
 
 OP4_SQL = f"""

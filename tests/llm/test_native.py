@@ -75,6 +75,71 @@ def test_exact_dedup(spark):
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
+def index_side(index):
+    """Operators that read the index in an anti-join with other digests."""
+    other = index.spark.createDataFrame([("x",)], "digest string").repartition(3)
+    plan = index.unseen(other)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    scan = next(k for k, line in enumerate(lines) if "digest_index" in line and "Scan" in line)
+    join = next(k for k, line in enumerate(lines) if "SortMergeJoin" in line)
+    # The right side of the join is printed after the left one.
+    right = [line for line in lines[join + 1 : scan + 1] if line.lstrip(" :").startswith(("+-", "*"))]
+    depth = lines[join].index("SortMergeJoin") + 3
+    start = max(k for k in range(join + 1, scan + 1) if lines[k][depth - 3 : depth] == "+- ")
+    return "\n".join(lines[start : scan + 1]) if right else ""
+
+
+def test_index_is_used_and_merged(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MERGE_FILES", 3)
+    monkeypatch.setattr(exact_dedup, "BUCKET_DIGESTS", 20)
+    path = new_path(spark, "index-first") + "/same-1"
+    index, twin = exact_dedup.DigestIndex(spark, path, 2), exact_dedup.DigestIndex(spark, path[:-2] + "x-1", 2)
+    assert index.name != twin.name
+    texts = [f"t{k % 70}" for k in range(200)]
+    seen = Counter()
+    for k in range(0, 200, 25):
+        rows = [(k + j, text) for j, text in enumerate(texts[k : k + 25])]
+        got = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), index, batch=f"b{k}")
+        assert {r.text_sha256 for r in got.collect() if r.kept} == {
+            hashlib.sha256(t.encode()).hexdigest() for _, t in rows if t not in seen
+        }
+        seen.update(t for _, t in rows)
+    assert index.version > 0 and index.buckets == 4  # 70 digests, 20 to a bucket
+    index.merge()
+    assert len(index._every().inputFiles()) <= index.buckets
+    again = exact_dedup.DigestIndex(spark, path, 2)
+    assert (again.version, again.buckets) == (index.version, 4) and twin.rows().count() == 0
+    sizes = {r.digest: r.group_size for r in again.groups().collect()}
+    assert sizes == {hashlib.sha256(t.encode()).hexdigest(): n for t, n in seen.items()}
+    side = index_side(again)
+    assert "Scan parquet" in side and "Sort " not in side and "Exchange" not in side
+
+
+def test_whole_table_goes_through_the_index(spark, monkeypatch):
+    df = cases.frame(spark, clashes=True)
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "index"), 4)
+    rejected, real = [], exact_dedup.DigestIndex.new_to
+
+    def spy(self, groups, batch):
+        found = real(self, groups, batch)
+        rejected.append(groups.count() - found.count())
+        return found
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "new_to", spy)
+    got = Counter(map(tuple, exact_dedup.deduplicate_table(df, index).collect()))
+    other = exact_dedup.DigestIndex(spark, new_path(spark, "index"), 4)
+    assert got == Counter(map(tuple, exact_dedup.deduplicate(df, other).collect()))
+    rows = [(k, f"t{k % 40}") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "index"), 4)
+    got = exact_dedup.deduplicate_table(df, index).collect()
+    assert rejected[-1] > 30  # the second half finds its digests in the index
+    assert {r.doc_id for r in got if r.kept} == set(range(60, 100)) and all(
+        r.group_size == (3 if r.doc_id % 40 < 20 else 2) and r.keep_id >= 60 for r in got
+    )
+    assert {r.batch for r in index.rows().collect()} == {"later ids"}
+
+
 def test_exact_dedup_keeps_rows(spark):
     df = cases.frame(spark, clashes=True)
     index = exact_dedup.DigestIndex(spark, new_path(spark, "index"), 4)
