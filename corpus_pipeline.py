@@ -20,7 +20,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     index = exact_dedup.DigestIndex(spark, new_path(spark, "digest-index"))
-    return exact_dedup.keep_one(docs, index)
+    return exact_dedup.keep_one_of_table(docs, index)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
