@@ -155,6 +155,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> Da
                      F.monotonically_increasing_id().alias("_row")),
         "calls",
     )
+    results = written(
+        results.select("conv_id", "turn", "call_id", "content", F.monotonically_increasing_id().alias("_row")),
+        "results",
+    )
     several = _several(calls, results)
     same_id = F.col("call_id") == F.col("_si")
     same_conv = F.col("conv_id").eqNullSafe(F.col("_sc"))
@@ -165,9 +169,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> Da
     later = many.join(_first_rows(many, ["turn", "name", "arguments", "parent_id"]), "_row", "left_anti")
     later = written(later, "later-calls")
     repeated = written(
-        results.select("conv_id", "turn", "call_id", "content").join(several, same_conv & any_id)
-        .drop("_sc", "_si").withColumn("_row", F.monotonically_increasing_id()),
-        "repeated-results",
+        results.join(several, same_conv & any_id).drop("_sc", "_si"), "repeated-results",
     )
     first_rows = written(_first_rows(repeated, ["turn", "content"]), "first-results")
 
@@ -181,15 +183,18 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> Da
     )
     answers = (
         results.filter("call_id is not null").join(several, same_conv & any_id, "left_anti")
-        .select("conv_id", "call_id", "content", F.lit(1).cast("bigint").alias("n_results"))
+        .select("conv_id", "call_id", "_row", F.lit(1).cast("bigint").alias("n_results"))
         .union(
             repeated.join(first_rows, "_row", "left_semi")
-            .select("conv_id", "call_id", "content", "n_results")
+            .select("conv_id", "call_id", "_row", "n_results")
         )
-        .toDF("_rc", "_ri", "content", "n_results")
+        .toDF("_rc", "_ri", "_rr", "n_results")
     )
     same = F.col("conv_id").eqNullSafe(F.col("_rc")) & (F.col("call_id") == F.col("_ri"))
-    linked = leveled.join(answers.hint("shuffle_hash"), same, "full_outer").select(
+    # The hash join holds identifiers and numbers only; contents follow by number.
+    contents = results.select(F.col("_row").alias("_of"), "content")
+    linked = leveled.drop("_row").join(answers.hint("shuffle_hash"), same, "full_outer")
+    linked = linked.join(contents, F.col("_rr") == F.col("_of"), "left").select(
         F.when(F.col("n_calls").isNull(), F.col("_rc")).otherwise(F.col("conv_id")).alias("conv_id"),
         F.when(F.col("n_calls").isNull(), F.col("_ri")).otherwise(F.col("call_id")).alias("call_id"),
         "level", "name", "arguments", "parent_id", "content",
@@ -250,7 +255,7 @@ def traffic(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that a conversation stands for.
 
     Every assistant turn is a call with its whole text, and builds on the assistant turn before
-    the last user turn; every user turn is the result of the turn before it.
+    the last user turn; every other turn, whatever its role, is the result of the turn before it.
     """
     call = conversations.filter("role = 'assistant'")
     arguments = F.expr(
@@ -269,7 +274,7 @@ def traffic(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.expr("element_at(array('answer', 'lookup', 'measure'), cast(pmod(conv_id + turn, 3) + 1 as int))").alias("name"),
         arguments.alias("arguments"),
     )
-    results = conversations.filter("role = 'user'").select(
+    results = conversations.filter("not (role <=> 'assistant')").select(
         "conv_id", "turn", F.expr("concat('c', conv_id, '-', turn - 1)").alias("call_id"),
         F.col("text").alias("content"),
     )
@@ -289,7 +294,7 @@ with recursive calls as (
   from conversations where role = 'assistant'
 ), results as (
   select conv_id, turn, 'c' || conv_id || '-' || (turn - 1) as call_id, text as content
-  from conversations where role = 'user'
+  from conversations where role is distinct from 'assistant'
 ), depth as (
   select conv_id, call_id, cast(0 as bigint) as level from calls
   where parent_id is null or parent_id not in (select call_id from calls)
