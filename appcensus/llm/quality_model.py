@@ -174,8 +174,9 @@ def fold_of(id_column: Column, folds: int) -> Column:
 def labelled_sample(
     labels: DataFrame, label: str, keep: Column, rows: int = SAMPLE_ROWS
 ) -> DataFrame:
-    """At most ``rows`` labelled ids, in hash order: ``_of, _label``."""
+    """At most ``rows`` labelled ids, in hash order: ``_of, _label``; the least label of an id counts."""
     picked = labels.filter(keep & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    picked = picked.groupBy("doc_id").agg(F.min(label).alias(label))
     return (
         picked.orderBy(F.xxhash64("doc_id"), "doc_id", label).limit(rows)
         .select(F.col("doc_id").alias("_of"), F.col(label).cast("double").alias("_label"))
@@ -187,18 +188,21 @@ def train(df: DataFrame, labels: DataFrame, keep: Column, label: str = "quality"
     sample = labelled_sample(labels, label, keep)
     rows = df.select(df["doc_id"].alias("_id"), df["text"].cast("string").alias("_text"))
     # The sample's size is bounded, so every executor may have it.
-    rows = rows.join(F.broadcast(sample), F.col("_id") == F.col("_of")).select("_label", "_text")
+    rows = rows.join(F.broadcast(sample), F.col("_id") == F.col("_of")).select("_label", "_text", "_id")
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = statistics(batch.column(1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(x[:, k]) for k in range(x.shape[1])]],
-                names=["label", *FEATURES],
+                [batch.column(2).cast(pa.int64()), batch.column(0), *[pa.array(x[:, k]) for k in range(x.shape[1])]],
+                names=["_id", "label", *FEATURES],
             )
 
-    schema = ", ".join(f"{name} double" for name in ("label", *FEATURES))
-    table = in_python(rows, described, schema).toPandas()
+    names = ("label", *FEATURES)
+    schema = ", ".join(["_id bigint", *[f"{name} double" for name in names]])
+    # One row of numbers for each id of the sample, however many rows have this id.
+    one = in_python(rows, described, schema).groupBy("_id").agg(F.min(F.struct(*names)).alias("_row"))
+    table = one.select("_row.*").toPandas()
     # Rows come in any order; sorted, a rerun grows the same trees.
     table = table.sort_values(list(table.columns)).to_numpy()
     return fit(table[:, 1:], table[:, 0])
