@@ -197,33 +197,46 @@ def round_trip(
 
     short = in_python(rows.filter(F.length("_text") <= spread_chars), encode_rows, _RESULT)
 
-    # Long texts: their parts become rows that any task may encode.
+    # Long texts: their parts become rows that any task may encode.  Equal rows are one with a count.
     long = rows.filter(F.length("_text") > spread_chars).withColumn("_th", F.xxhash64("_text"))
-    parts = long.select(
-        "_id", "_th",
-        F.explode(F.expr(f"sequence(0, (length(_text) - 1) div {spread_chars})")).alias("_part"),
-        "_text",
-    ).withColumn("_text", F.expr(f"substring(_text, _part * {spread_chars} + 1, {spread_chars})"))
+    long = long.groupBy("_id", "_th").agg(F.first("_text").alias("_text"), F.count(F.lit(1)).alias("_copies"))
+    cut_schema = pa.schema(
+        [("_id", pa.int64()), ("_th", pa.int64()), ("_copies", pa.int64()), ("_part", pa.int64()),
+         ("_text", pa.string())]
+    )
+
+    def cut(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                key = [batch.column(i)[k].as_py() for i in (0, 1, 3)]
+                whole = batch.column(2)[k].as_py()
+                for part, start in enumerate(range(0, len(whole), spread_chars)):
+                    values = (*key, part, whole[start : start + spread_chars])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([v], f.type) for v, f in zip(values, cut_schema)], schema=cut_schema
+                    )
+
+    parts = in_python(long, cut, "_id bigint, _th bigint, _copies bigint, _part bigint, _text string")
     parts = parts.repartition("_id", "_th", "_part")
     part_schema = pa.schema(
-        [("_id", pa.int64()), ("_th", pa.int64()), ("_part", pa.int64()), ("_text", pa.string()),
-         ("_ids", pa.binary())]
+        [("_id", pa.int64()), ("_th", pa.int64()), ("_copies", pa.int64()), ("_part", pa.int64()),
+         ("_text", pa.string()), ("_ids", pa.binary())]
     )
 
     def encode_parts(batches):
         encoder = Encoder.of(vocabulary)
         for batch in batches:
-            texts = batch.column(3).to_pylist()
+            texts = batch.column(4).to_pylist()
             for k, ids in enumerate(encode_texts(encoder, texts, leaf_chars)):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(k, 1), batch.column(1).slice(k, 1),
-                     batch.column(2).slice(k, 1).cast(pa.int64()), pa.array([texts[k]]),
+                    [*[batch.column(i).slice(k, 1) for i in range(4)], pa.array([texts[k]]),
                      pa.array([ids.tobytes()], pa.binary())],
                     schema=part_schema,
                 )
 
     coded = in_python(
-        parts, encode_parts, "_id bigint, _th bigint, _part bigint, _text string, _ids binary"
+        parts, encode_parts,
+        "_id bigint, _th bigint, _copies bigint, _part bigint, _text string, _ids binary",
     )
     coded = coded.repartition("_id", "_th").sortWithinPartitions("_id", "_th", "_part")
 
@@ -241,15 +254,13 @@ def round_trip(
 
         for batch in batches:
             numbers = [batch.column(i).to_pylist() for i in range(3)]
-            for k, (doc, th, part) in enumerate(zip(*numbers)):
+            for k, (doc, th, n) in enumerate(zip(*numbers)):
                 if (doc, th) != key:
                     if texts:
                         yield from done()
-                    key, texts, ids, copies = (doc, th), [], [], 0
-                copies += part == 0
-                if part == len(texts):  # rows of the same id and text have the same parts
-                    texts.append(batch.column(3)[k].as_py())
-                    ids.append(np.frombuffer(batch.column(4)[k].as_py(), np.uint32))
+                    key, texts, ids, copies = (doc, th), [], [], n
+                texts.append(batch.column(4)[k].as_py())
+                ids.append(np.frombuffer(batch.column(5)[k].as_py(), np.uint32))
         if texts:
             yield from done()
 
