@@ -106,10 +106,11 @@ class TokenFiles:
         end_id: int = END_ID, kind: int = BYTES, chunk_ids: int = CHUNK_IDS,
     ) -> None:
         rows = df.select(
-            df[id_column].cast("bigint").alias("_id"), df[text].cast("string").alias("_text")
+            df[id_column].cast("bigint").alias("_id"), df[text].cast("string").alias("_text"),
+            F.monotonically_increasing_id().alias("_tie"),
         )
-        # The text's hash settles the order of rows with the same id.
-        order = [F.col("_id").asc_nulls_first(), F.xxhash64("_text")]
+        # The text's hash settles the order of rows with the same id, and a number parts equal rows.
+        order = [F.col("_id").asc_nulls_first(), F.xxhash64("_text"), F.col("_tie")]
         rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
         def chunks(batches):
