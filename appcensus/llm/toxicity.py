@@ -53,6 +53,9 @@ REPORTING = frozenset(
 ADDRESSING = frozenset("you your you're u du dich dein ihr euch tu toi ton vous tú te usted vosotros".split())
 
 
+_WORD = re.compile(r"[^\W\d_]+")
+
+
 def edits_allowed(stem: str) -> int:
     return 0 if len(stem) < 5 else 1 if len(stem) < 9 else 2
 
@@ -192,6 +195,15 @@ def _factor(pieces: list[str], at: int) -> float:
     return ADDRESSED if words & ADDRESSING else 1.0
 
 
+def _match(automaton: Automaton, piece: str) -> tuple[int, int] | None:
+    """The stem that a piece or a run of letters in it begins with; fewest edits, then longest."""
+    found = [automaton.match(piece)]
+    if not piece.isalpha():
+        found += map(automaton.match, _WORD.findall(piece))
+    found = [f for f in found if f is not None]
+    return min(found, key=lambda f: (f[1], -len(automaton.stems[f[0]]), f[0])) if found else None
+
+
 def matches(column: pa.Array, lexicon: Lexicon) -> Iterator[list[tuple[int, int, float, str]]]:
     """The matches of each text: stem, edits, context factor, piece before the match."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -200,7 +212,7 @@ def matches(column: pa.Array, lexicon: Lexicon) -> Iterator[list[tuple[int, int,
     for row, stop in blocks(offsets, 4 << 20):
         pieces, first = _pieces(column.slice(row, stop - row))
         coded = pc.utf8_trim(pieces, TRIMMED).dictionary_encode()
-        found = [automaton.match(word) for word in coded.dictionary.to_pylist()]
+        found = [_match(automaton, piece) for piece in coded.dictionary.to_pylist()]
         hit = np.array([f is not None for f in found], bool)
         index = coded.indices.to_numpy()
         out: list[list] = [[] for _ in range(stop - row)]
@@ -223,9 +235,6 @@ def totals(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
     )
 
 
-_WORD = re.compile(r"[^\W\d_]+")
-
-
 def _candidate_counts(rows: DataFrame) -> DataFrame:
     """Per stem the number of toxic and of other documents with a word that begins with it."""
 
@@ -278,7 +287,10 @@ def train(df: DataFrame, labels: DataFrame, keep: Column) -> Lexicon:
         sample = part if sample is None else sample.union(part)
     rows = df.select(df["doc_id"].alias("_id"), df["text"].cast("string").alias("_text"))
     # The sample's size is bounded, so every executor may have it.
-    rows = rows.join(F.broadcast(sample), F.col("_id") == F.col("_of")).select("_label", "_text")
+    rows = rows.join(F.broadcast(sample), F.col("_id") == F.col("_of"))
+    # One text for each id of the sample, however many rows have this id.
+    one = F.min_by(F.struct("_label", "_text"), F.struct(F.xxhash64("_text"), "_text"))
+    rows = rows.groupBy("_of").agg(one.alias("_row")).select("_row.*")
     # A copied text counts once, or its rare words would look like stems.
     rows = rows.dropDuplicates(["_label", "_text"])
     sizes = {r[0]: r[1] for r in sample.groupBy("_label").count().collect()}

@@ -370,7 +370,7 @@ def test_every_tool_call_is_a_row(spark):
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     connection = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "benchmark", "embeddings"):
         connection.sql(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     expected = connection.sql(ORACLE[name])
     got = QUERIES[name](spark, DATA)

@@ -435,3 +435,53 @@ def test_lexicon_is_learned(spark):
     assert lexicon.stems == ["grumbo"]
     got = {r.doc_id: r.predicted for r in toxicity.classify(df, lexicon, held).filter("held_out").collect()}
     assert got == {k: int(k % 4 == 0) for k in range(0, 200, 5)}
+
+
+def test_terms_glued_to_others():
+    lexicon = toxicity.Lexicon(["idiot", "scum"], np.array([[5.0, 3.0], [5.0, 3.0]]), middle=2.5, slope=1.6)
+    texts = ["you/idiot", "total-idiot", "non-idiot", "*idiot*", "_idiot_", "a(scum)b", "x-idoit", "idol", "plain-words"]
+    hits = [[(s, e) for s, e, _, _ in found] for found in toxicity.matches(pa.array(texts), lexicon)]
+    assert hits[:6] == [[(0, 0)]] * 5 + [[(1, 0)]] and hits[7:] == [[], []]
+
+
+def test_samples_have_one_row_per_id(spark):
+    rows = [(1, f"idiot text {k}") for k in range(300)] + [(2, f"fine text {k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1)] * 4 + [(2, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    real = quality_model.fit
+    try:
+        quality_model.fit = lambda x, y: seen.append(len(y)) or real(x, y)
+        quality_model.train(df, labels, F.lit(True))
+    finally:
+        quality_model.fit = real
+    assert seen == [2]
+    totals = []
+    middle = toxicity._middle
+    try:
+        toxicity._middle = lambda total, toxic: totals.append(len(total)) or middle(total, toxic)
+        toxicity.train(df, labels, F.lit(True))
+    finally:
+        toxicity._middle = middle
+    assert totals and totals[0] <= 3
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables are not here")
+def test_toxicity_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = toxicity.op7_toxicity(spark, folder).filter("held_out").join(labels, "doc_id").filter("toxic is not null")
+    found = rows.collect()
+    assert len(found) > 20 and np.mean([r.predicted == r.toxic for r in found]) > 0.95
+
+
+def test_long_texts_are_cut_once(spark, encoder):
+    rng = random.Random(12)
+    long = cases.prose(rng, 3_000)
+    df = spark.createDataFrame([(1, long)] * 5 + [(1, long + "x"), (None, long), (2, "short")], "doc_id long, text string")
+    got = tree_bpe.round_trip(df.repartition(3), default_vocabulary(), spread_chars=1_000, leaf_chars=300).collect()
+    whole = encoder.tokenizer.encode(long, add_special_tokens=False).ids
+    assert Counter(r.doc_id for r in got) == {1: 6, None: 1, 2: 1}
+    assert Counter(r.n_tokens for r in got)[len(whole)] >= 6
+    digest = hashlib.sha256(",".join(map(str, whole)).encode()).hexdigest()
+    assert sum(r.ids_sha256 == digest for r in got) == 6
