@@ -50,12 +50,13 @@ from appcensus.llm.words import mixed, shingle_sets
 
 REGIMES = ((64, 10.0), (256, 4.0), (None, 2.0))
 """Largest size of a regime, and how many times the part 1 - t of all hashes its band holds."""
-SCAN_COST = 1.0
+SCAN_COST = 1 / 256
 """Cost of a list entry scanned, against that of a row written.  Measured on one core: a row of a
-2-subset takes 10 microseconds through its explosion and two shuffles; an entry scanned is a pair
-compared, for sets of 300 shingles 7 microseconds by itself, and in a block 1 for near copies and 9
-for sets that only share a list."""
-BLOCK_SETS = 1024
+2-subset takes 10 microseconds through its explosion and two shuffles.  Two near copies of 300
+shingles are compared in a block in 1.1 microseconds, and being in the lists of about 30 tokens
+each they are 60 of the entries counted here: 0.02 microseconds an entry, 1/500 of a row; sets that
+only share a list cost up to 9 microseconds a pair, but are few."""
+BLOCK_SETS = 256
 BLOCK_TOKENS = 1 << 21
 """A block of a large cluster has about so many sets, or so many shingles."""
 FEW = 24
