@@ -6,8 +6,8 @@ costs a few rows per task), anti-joined with the index by sort-merge on the dige
 appended with their number of copies.  Only digests travel; texts never leave the scan.
 
 Every append adds a file to each bucket.  When there are many, the buckets are merged into one
-sorted file each, in a table beside the old one that counts once it is complete; its number of
-buckets follows the number of digests.  A merged bucket is read in its order and not sorted again.
+sorted file each, in a table beside the old one that counts once it is complete; the number of
+buckets follows the number of digests, also of the first batch.  A merged bucket is read in its order and not sorted again.
 
 Texts are equal when they agree after lower-casing A-Z only.  Defined results: a null text
 counts as empty, and empty texts are copies of each other; of equal texts the largest id
@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from appcensus.llm.tables import documents, new_path, one_of_each, without, written
 
-BUCKETS = 64
-"""Buckets of a new index, and of any index at least."""
+BUCKETS = 8
+"""Buckets of an index at least."""
 BUCKET_DIGESTS = 4_000_000
-"""Digests of a bucket when buckets are merged."""
-MERGE_FILES = 8
-"""Files of a bucket that are merged into one."""
+"""Digests of a bucket at most, when an index gets its first batch and when buckets are merged."""
+MERGE_BATCHES = 8
+"""Batches, each a file or more of every bucket, that are merged into one."""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -136,10 +136,21 @@ class DigestIndex:
             F.col("group_size").alias("copies"), F.coalesce("new", F.lit(False)).alias("fresh"),
         )
         # Written down first: a table cannot be read and appended to in one job.
-        self._write(written(rows.join(mine, "digest", "left_anti"), "new-digests"), "append")
-        if len(self._every().inputFiles()) > MERGE_FILES * self.buckets:
+        rows = written(rows.join(mine, "digest", "left_anti"), "new-digests")
+        if self._every().isEmpty() and self._needed(rows) > self.buckets:
+            self._open(self.version + 1, self._needed(rows))
+            self._write(rows, "overwrite")
+        else:
+            self._write(rows, "append")
+        if self._every().agg(F.count_distinct("batch")).first()[0] >= MERGE_BATCHES:
             self.merge()
 
+    def _needed(self, rows: DataFrame) -> int:
+        buckets, digests = self.least, rows.count()
+        while digests > buckets * BUCKET_DIGESTS:
+            buckets *= 2
+        return buckets
+
     def merge(self) -> None:
         """Make every bucket one sorted file, in as many buckets as the digests need."""
         one = F.struct("first_id", "batch")
@@ -147,10 +158,7 @@ class DigestIndex:
             F.max(F.when(F.col("fresh"), one)).alias("_first"), F.sum("copies").alias("copies")
         ).select("digest", "_first.first_id", "_first.batch", "copies", F.lit(True).alias("fresh"))
         rows = written(rows, "merged-digests")
-        buckets = self.least
-        while rows.count() > buckets * BUCKET_DIGESTS:
-            buckets *= 2
-        self._open(self.version + 1, buckets)
+        self._open(self.version + 1, self._needed(rows))
         self._write(rows, "overwrite")
 
 

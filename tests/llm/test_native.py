@@ -90,7 +90,7 @@ def index_side(index):
 
 
 def test_index_is_used_and_merged(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MERGE_FILES", 3)
+    monkeypatch.setattr(exact_dedup, "MERGE_BATCHES", 3)
     monkeypatch.setattr(exact_dedup, "BUCKET_DIGESTS", 20)
     path = new_path(spark, "index-first") + "/same-1"
     index, twin = exact_dedup.DigestIndex(spark, path, 2), exact_dedup.DigestIndex(spark, path[:-2] + "x-1", 2)
@@ -104,7 +104,10 @@ def test_index_is_used_and_merged(spark, monkeypatch):
             hashlib.sha256(t.encode()).hexdigest() for _, t in rows if t not in seen
         }
         seen.update(t for _, t in rows)
-    assert index.version > 0 and index.buckets == 4  # 70 digests, 20 to a bucket
+    assert index.version > 1 and index.buckets == 4  # 70 digests, 20 to a bucket
+    big = exact_dedup.DigestIndex(spark, new_path(spark, "index"), 2)
+    exact_dedup.deduplicate(spark.createDataFrame([(k, f"b{k}") for k in range(90)], "doc_id long, text string"), big)
+    assert big.buckets == 8 and big.rows().count() == 90
     index.merge()
     assert len(index._every().inputFiles()) <= index.buckets
     again = exact_dedup.DigestIndex(spark, path, 2)
