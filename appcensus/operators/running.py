@@ -69,7 +69,9 @@ def running(
             }
         )
     )
-    some = F.coalesce(*[F.col(f"_before_{name}") for name in totals]).isNotNull()
+    some = F.lit(False)
+    for name in totals:
+        some = some | F.col(f"_before_{name}").isNotNull()
     at = [*keys, "_slice"]
     carried = carried.filter(some).select(
         *[F.col(key).alias(f"_at_{key}") for key in at], *[f"_before_{name}" for name in totals]

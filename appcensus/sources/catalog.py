@@ -17,6 +17,9 @@ from appcensus.sources.variants import (
     worked_out,
 )
 
+OTHER_BREAKS = r"\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
+"""What ends a line beside carriage return and line feed, within a class of an expression."""
+
 COLUMNS = ("Name", "Id", "Version", "Available", "Source")
 
 
@@ -78,7 +81,7 @@ def catalog_packages(parsed: DataFrame) -> DataFrame:
     )
 
 
-def _is_header(line: Column) -> Column:
+def is_header(line: Column) -> Column:
     labels = (F.contains(line, F.lit(label)) for label in COLUMNS[:3])
     found = F.lit(True)
     for label in labels:
@@ -86,6 +89,21 @@ def _is_header(line: Column) -> Column:
     return found & ~F.startswith(lstrip(line), F.lit("-"))
 
 
+def column_starts(header: Column) -> Column:
+    """Where the columns begin, counted from 1; null for one that the header lacks."""
+    return F.struct(
+        *[
+            F.when(F.contains(header, F.lit(label)), F.instr(header, label)).alias(label)
+            for label in COLUMNS
+        ]
+    )
+
+
+def is_rule(line: Column) -> Column:
+    """A line that parts the header from the data."""
+    return strip(line).rlike("^[- ]*$")
+
+
 def parse_listing_texts(texts: DataFrame) -> DataFrame:
     """One row per listing: ``status``, ``reason``, the column starts and data lines.
 
@@ -93,28 +111,24 @@ def parse_listing_texts(texts: DataFrame) -> DataFrame:
     """
     lines = F.filter(
         F.transform(
-            F.split(F.col("text"), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"),
+            F.split(F.col("text"), rf"\r\n|[\n\r{OTHER_BREAKS}]"),
             lambda line: F.rtrim(line, F.lit("\r")),
         ),
         lambda line: strip(line) != "",
     )
     parsed = worked_out(texts, "_lines", lines)
-    header_at = F.array_position(F.transform("_lines", _is_header), F.lit(True))
+    header_at = F.array_position(F.transform("_lines", is_header), F.lit(True))
     parsed = worked_out(parsed, "_at", F.when(header_at > 0, header_at))
     parsed = parsed.withColumn("_header", F.try_element_at("_lines", F.col("_at").cast("int")))
-    starts = {
-        label: F.when(F.contains(F.col("_header"), F.lit(label)), F.instr("_header", label))
-        for label in COLUMNS
-    }
     following = F.slice("_lines", F.col("_at").cast("int") + 1, F.size("_lines"))
-    ruled = F.coalesce(strip(F.try_element_at(following, F.lit(1))).rlike("^[- ]*$"), F.lit(False))
+    ruled = F.coalesce(is_rule(F.try_element_at(following, F.lit(1))), F.lit(False))
     data = F.when(ruled, F.slice(following, 2, F.size(following))).otherwise(following)
     reason = F.when(F.col("_at").isNull(), "no header with Name, Id and Version")
     return parsed.select(
         "path",
         F.when(reason.isNull(), "ok").otherwise("bad").alias("status"),
         reason.alias("reason"),
-        F.struct(*[start.alias(label) for label, start in starts.items()]).alias("starts"),
+        column_starts(F.col("_header")).alias("starts"),
         F.when(reason.isNull(), data).alias("lines"),
     )
 
@@ -134,16 +148,21 @@ def _part(line: Column, start: Column, end: Column) -> Column:
 
 
 def listing_packages(parsed: DataFrame) -> DataFrame:
-    """Package rows of the usable listings.
+    """Package rows of the usable listings."""
+    rows = parsed.filter(F.col("status") == "ok").select(
+        "path", "starts", F.posexplode("lines").alias(ORD, "line")
+    )
+    return line_packages(rows)
+
+
+def line_packages(rows: DataFrame) -> DataFrame:
+    """Package rows out of data lines: ``path, starts, ord, line``.
 
     The source is the last word right of the version if that names a known source,
     since listings do not keep the source column aligned; else the source column, else
     that column begun one character earlier.
     """
-    rows = parsed.filter(F.col("status") == "ok").select(
-        "path", "starts", F.posexplode("lines").alias(ORD, "_line")
-    )
-    line, starts = F.col("_line"), F.col("starts")
+    line, starts = F.col("line"), F.col("starts")
     rows = rows.filter(
         ~F.startswith(lstrip(line), F.lit("---"))
         & ~F.contains(line, F.lit("\x08"))

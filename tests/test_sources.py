@@ -8,6 +8,11 @@ from appcensus.sources import packaged as P
 from appcensus.sources import registry as R
 from appcensus.sources.collect import collect, collector_sources
 from appcensus.sources.files import CaptureError, quarantine, read_texts, require_all
+from appcensus.sources.listing_files import (
+    listing_file_packages,
+    listing_file_status,
+    read_listing_lines,
+)
 from appcensus.sources.snapshots import parse_snapshots, snapshot_entries, snapshot_table
 
 
@@ -237,6 +242,46 @@ def test_text_listing(spark):
     assert {r.path for r in quarantine(parsed).collect()} == {"c"}
 
 
+def test_listing_files_read_by_range_equal_whole_ones(spark, tmp_path):
+    head = "Name".ljust(14) + "Id".ljust(10) + "Version".ljust(9) + "Source"
+    def rows(count):
+        for n in range(count):
+            yield f"App {n}".ljust(14) + f"V.{n}".ljust(10) + f"{n}.0".ljust(9) + "winget"
+            yield ["", "  noise", "---", "\x08 spin", head][n % 5]
+    many = list(rows(3000))
+    files = {
+        "large": "\r\n".join(["Loading", "  ", head, "-" * 40, *many]),
+        "late": "\n".join(["noise " * 8] * 2000 + [head] + many[:50]),
+        "breaks": "\x0b".join([head, *many[:40]]) + "\u2028" + "\n\n".join(many[40:60]),
+        "rules": "\n".join([head, "", "-- --", "-----", *many[:4]]),
+        "none": "\n".join(many[1:9:2][:3]),
+        "only": head,
+        "blank": "\n \n",
+        "empty": "",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_bytes(text.encode())
+    folder = str(tmp_path)
+    sizes = {"spark.sql.files.maxPartitionBytes": "8192", "spark.sql.files.openCostInBytes": "0"}
+    old = {name: spark.conf.get(name) for name in sizes}
+    for name, value in sizes.items():
+        spark.conf.set(name, value)
+    try:
+        lines = read_listing_lines(spark, folder)
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    assert lines.filter(F.col("path").endswith("large")).select("_block").distinct().count() > 10
+    whole = C.parse_listing_texts(read_texts(spark, folder))
+    expected = sorted(map(str, C.listing_packages(whole).collect()))
+    assert len(expected) > 3000
+    assert sorted(map(str, listing_file_packages(lines).collect())) == expected
+    status = listing_file_status(spark, folder, lines)
+    columns = ("path", "status", "reason")
+    assert sorted(map(str, status.collect())) == sorted(map(str, whole.select(*columns).collect()))
+    assert status.count() == len(files) - 1  # Spark lists no file without a byte
+
+
 def test_catalog_id_of_blanks_is_bad(spark):
     frame = spark.createDataFrame(
         [

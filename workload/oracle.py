@@ -646,6 +646,19 @@ ORACLE: dict[str, str] = {
       union all select 'listing-' || c_custkey, 'Store ' || c_custkey, 'Store.App', null, 'msstore',
         2 from c
       union all select 'listing-' || c_custkey, 'Local', 'ARP\' || c_custkey, '2.5', '', 3 from c""",
+    "listing_files": r"""with c as (select c_custkey, c_name, c_custkey // 1000 as listing from customer),
+      line as (
+        select listing, c_custkey, 0 as pos, c_name as name, 'Firm.' || c_custkey as package_id,
+          '1.0' as version, 'winget' as source from c
+        union all select listing, c_custkey, 1, null, null, null, null from c where c_custkey % 4 = 0
+        union all select listing, c_custkey, 2, 'Store ' || c_custkey, 'Store.App', null, 'msstore' from c),
+      placed as (
+        select *, row_number() over (partition by listing order by c_custkey, pos) - 1 as ord from line)
+      select listing, name, package_id, version, source, ord from placed
+      where name is not null and listing % 6 <> 5""",
+    "listing_files_status": r"""select listing, case when listing % 6 = 5 then 'bad' else 'ok' end as status,
+        case when listing % 6 = 5 then 'no header with Name, Id and Version' end as reason
+      from (select distinct c_custkey // 1000 as listing from customer)""",
     "catalog_importable": f"with {CATALOG} select name, package_id, version, source, ord from importable",
     "dedup_entries": f"{base()} select {ROW} from deduped",
     "cross_source_merge": f"{base()} select {ROW} from merged",

@@ -22,6 +22,7 @@ from appcensus.plans.prepare import in_report_order, prepare, prepare_stats, wri
 from appcensus.schema import ENTRY_COLUMNS, GROUP, ORD
 from appcensus.session import tune
 from appcensus.sources import catalog as C
+from appcensus.sources import listing_files as L
 from appcensus.sources import packaged, registry, snapshots
 from appcensus.sources.collect import collect, collect_status, collector_sources
 from workload import views
@@ -185,6 +186,26 @@ def listing_parse(spark, sf):
     return C.listing_packages(C.parse_listing_texts(views.listing_texts(spark, sf)))
 
 
+def _listing_files(spark, sf):
+    folder = f"{shared_folder(spark)}/listings-{uuid.uuid4().hex}"
+    views.listing_files(spark, sf, folder)
+    return folder, L.read_listing_lines(spark, folder)
+
+
+def _listing_number(df):
+    number = F.regexp_extract("path", "listing=([0-9]+)/", 1).cast("bigint")
+    return df.withColumn("listing", number).drop("path")
+
+
+def listing_files(spark, sf):
+    """Packages of listing files that are read by byte range."""
+    return _listing_number(L.listing_file_packages(_listing_files(spark, sf)[1]))
+
+
+def listing_files_status(spark, sf):
+    return _listing_number(L.listing_file_status(spark, *_listing_files(spark, sf)))
+
+
 def catalog_importable(spark, sf):
     return M.importable_packages(views.catalog(spark, sf))
 
@@ -465,6 +486,8 @@ QUERIES = {
     "catalog_read": catalog_read,
     "catalog_status": catalog_status,
     "listing_parse": listing_parse,
+    "listing_files": listing_files,
+    "listing_files_status": listing_files_status,
     "catalog_importable": catalog_importable,
     "dedup_entries": dedup_entries,
     "cross_source_merge": cross_source_merge,

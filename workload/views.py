@@ -324,6 +324,40 @@ def listing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def listing_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Customers as listing files below ``folder``, a thousand to a file; some have no header.
+
+    The spans differ from file to file, every fourth customer has a line of noise, and every
+    second file has a rule below its header.
+    """
+    listing = "cast(c_custkey div 1000 as int)"
+    wide = f"24 + {listing} % 5"
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    lines = (
+        f"concat(rpad(c_name, {wide}, ' '), rpad(concat('Firm.', c_custkey), 20, ' '),"
+        " rpad('1.0', 10, ' '), rpad('', 10, ' '), 'winget')",
+        "case when c_custkey % 4 = 0 then '  noise' else '' end",
+        f"concat(rpad(concat('Store ', c_custkey), {wide}, ' '), rpad('Store.App', 20, ' '),"
+        " rpad('', 10, ' '), rpad('9', 10, ' '), ' msstore')",
+    )
+    body = customers.select(
+        F.expr(listing).alias("listing"), "c_custkey", F.posexplode(F.array(*map(F.expr, lines)))
+    )
+    tops = (
+        f"case when {listing} % 3 = 0 then 'Loading' else '' end",
+        f"case when {listing} % 6 = 5 then 'nothing found' else concat(rpad('Name', {wide}, ' '),"
+        " rpad('Id', 20, ' '), rpad('Version', 10, ' '), rpad('Available', 10, ' '), 'Source') end",
+        f"case when {listing} % 2 = 0 then repeat('-', 70) else '' end",
+    )
+    firsts = customers.select((F.expr(listing) * 1000).alias("c_custkey")).distinct()
+    head = firsts.select(
+        F.expr(listing).alias("listing"), F.lit(-1).alias("c_custkey"),
+        F.posexplode(F.array(*map(F.expr, tops))),
+    )
+    rows = spread(head.unionByName(body), "listing").sortWithinPartitions("listing", "c_custkey", "pos")
+    rows.select("listing", F.col("col").alias("value")).write.partitionBy("listing").text(folder)
+
+
 def registry_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured rows of the fleet as single registry values."""
     values = {
