@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from appcensus.operators.diff import diff_sides
+from appcensus.operators.diff import diff_sides, narrowed, side_statuses
 from appcensus.schema import ENTRY_COLUMNS, GROUP, ORD
 
 PAIR = ["host", "old_snapshot_id", "snapshot_id"]
@@ -58,15 +58,10 @@ def previous_snapshots(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def consecutive_diff(
-    entries: DataFrame, snapshots: DataFrame | None = None, pairs: DataFrame | None = None
+def _consecutive_sides(
+    entries: DataFrame, rows: DataFrame, snapshots: DataFrame | None, pairs: DataFrame | None
 ) -> DataFrame:
-    """Diff every snapshot with the one before it on the same host.
-
-    Each row takes part twice, as the new side of one pair and the old side of the
-    next.  The pairs come from the snapshot table, so that a snapshot without rows
-    still makes all earlier rows removed.
-    """
+    """``rows``, made of ``entries``, on both sides of the pairs they are in."""
     if pairs is None:
         known = snapshots if snapshots is not None else snapshots_of(entries)
         pairs = previous_snapshots(known)
@@ -80,11 +75,30 @@ def consecutive_diff(
         ).alias("_role"),
     ).select("_host", "_old_snapshot_id", "_snapshot_id", "_role.*")
     roles = roles.withColumnRenamed("_host", "host").withColumnRenamed("of", "snapshot_id")
-    sides = (
-        entries.select(*GROUP, *ENTRY_COLUMNS, ORD)
-        .join(roles, list(GROUP))
+    return (
+        rows.join(roles, list(GROUP))
         .drop("snapshot_id")
         .withColumnRenamed("_old_snapshot_id", "old_snapshot_id")
         .withColumnRenamed("_snapshot_id", "snapshot_id")
     )
-    return diff_sides(sides, PAIR)
+
+
+def consecutive_diff(
+    entries: DataFrame, snapshots: DataFrame | None = None, pairs: DataFrame | None = None
+) -> DataFrame:
+    """Diff every snapshot with the one before it on the same host.
+
+    Each row takes part twice, as the new side of one pair and the old side of the
+    next.  The pairs come from the snapshot table, so that a snapshot without rows
+    still makes all earlier rows removed.
+    """
+    rows = entries.select(*GROUP, *ENTRY_COLUMNS, ORD)
+    return diff_sides(_consecutive_sides(entries, rows, snapshots, pairs), PAIR)
+
+
+def consecutive_statuses(
+    entries: DataFrame, snapshots: DataFrame | None = None, pairs: DataFrame | None = None
+) -> DataFrame:
+    """``consecutive_diff`` without fields and rows: all that moves are digests."""
+    rows = narrowed(entries, list(GROUP))
+    return side_statuses(_consecutive_sides(entries, rows, snapshots, pairs), PAIR)

@@ -119,6 +119,30 @@ def test_consecutive_pairs_and_empty_snapshots(spark):
     assert {(r.host, r.snapshot_id) for r in latest.collect()} == {("h1", "s4"), ("h2", "s1")}
 
 
+def test_statuses_are_those_of_the_diff(spark):
+    rng = random.Random(11)
+    old = random_rows(rng, 30) + random_rows(rng, 9, host="h2")
+    new = random_rows(rng, 30) + random_rows(rng, 9, host="h2")
+    # Nulls, blanks and texts that run together when they are only joined.
+    old += [entry("N", 90, version="1", publisher=None), entry("J", 91, version="1:2", release_type="3")]
+    new += [entry("N", 90, version="", publisher=None), entry("J", 91, version="1", release_type="2:3")]
+    old, new = old + [entry("Same", 92)], new + [entry("Same", 92)]
+    full = D.compare(fleet(spark, old), fleet(spark, new), ["host"])
+    short = D.compare_statuses(fleet(spark, old), fleet(spark, new), ["host"])
+    kept = full.select(*short.columns)
+    assert sorted(map(str, short.collect())) == sorted(map(str, kept.collect()))
+    assert {r.status for r in short.collect()} == set(D.STATUSES)
+
+    rows = fleet(spark, random_rows(rng, 30, snapshot="s1") + random_rows(rng, 30, snapshot="s2"))
+    rows = rows.withColumn("scan_ts", F.to_timestamp(F.replace("snapshot_id", F.lit("s"), F.lit("200"))))
+    short = H.consecutive_statuses(rows)
+    kept = H.consecutive_diff(rows).select(*short.columns)
+    assert sorted(map(str, short.collect())) == sorted(map(str, kept.collect()))
+    moved = H.side_statuses(D.narrowed(rows.withColumn("is_new", F.lit(True)), ["host", "is_new"]), ["host"])
+    shuffled = moved._jdf.queryExecution().executedPlan().toString()
+    assert "quiet_uninstall_string" not in shuffled.split("Exchange")[0]
+
+
 def test_diff_takes_one_shuffle(spark, tmp_path):
     fleet(spark, [entry("A", 0)]).write.parquet(str(tmp_path / "rows"))
     rows = spark.read.parquet(str(tmp_path / "rows"))

@@ -281,9 +281,7 @@ def _history_diff(spark, sf):
 
 
 def consecutive_diff(spark, sf):
-    return _history_diff(spark, sf).select(
-        *PAIR, *IDENTITY, "status", "name", "old_version", "new_version"
-    )
+    return H.consecutive_statuses(views.fleet_history(spark, sf))
 
 
 def snapshot_diff(spark, sf):
@@ -291,9 +289,7 @@ def snapshot_diff(spark, sf):
     rows = views.fleet(spark, sf)
     old = rows.filter(F.col("scan_ts") < "1998-07-01")
     new = rows.filter(F.col("scan_ts") >= "1998-07-01")
-    return D.compare(old, new, ["host"]).select(
-        "host", *IDENTITY, "status", "name", "old_version", "new_version"
-    )
+    return D.compare_statuses(old, new, ["host"])
 
 
 def diff_added(spark, sf):
@@ -309,7 +305,7 @@ def field_changes(spark, sf):
 
 
 def diff_summary(spark, sf):
-    return D.diff_summary(_history_diff(spark, sf), PAIR)
+    return D.diff_summary(H.consecutive_statuses(views.fleet_history(spark, sf)), PAIR)
 
 
 def latest_inventory(spark, sf):
