@@ -57,7 +57,17 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def edits_allowed(stem: str) -> int:
-    return 0 if len(stem) < 5 else 1 if len(stem) < 9 else 2
+    return 0 if len(stem) < 4 else 1 if len(stem) < 9 else 2
+
+
+def is_form(word: str, stem: str) -> bool:
+    """May ``word`` be a misspelled form of ``stem``, going by its length and first letter?
+
+    Nearly every short word is an edit away from some other word, so a short stem keeps both.
+    """
+    if len(stem) < 5:
+        return len(word) == len(stem) and word[0] == stem[0]
+    return len(word) <= len(stem) + LONGEST_ENDING
 
 
 class Automaton:
@@ -142,8 +152,7 @@ class Automaton:
             if state < 0:
                 break
             for number, edits in self.accepts[state]:
-                # With a misspelled stem only short endings count as forms of it.
-                if edits and len(word) > len(self.stems[number]) + LONGEST_ENDING:
+                if edits and not is_form(word, self.stems[number]):
                     continue
                 rank = (edits, -len(self.stems[number]), number)
                 if best is None or rank < best:
