@@ -13,6 +13,7 @@ from appcensus.sources.variants import (
     field,
     is_array,
     is_object,
+    json_value,
     kind,
     worked_out,
 )
@@ -32,11 +33,11 @@ def _package_id(item: Column) -> Column:
     return F.coalesce(as_filled_text(item, "id"), other)
 
 
-def parse_catalogs(texts: DataFrame) -> DataFrame:
-    """One row per catalog file: ``status``, ``reason`` and the package values."""
+def parse_catalogs(texts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per catalog file: ``status``, ``reason``, the package values and ``keep``."""
     doc = F.col("_doc")
     items = F.col("_items")
-    parsed = worked_out(texts, "_doc", F.try_parse_json(without_bom(F.col("text"))))
+    parsed = worked_out(texts, "_doc", json_value(without_bom(F.col("text"))))
     inner = field(doc, "packages")
     parsed = worked_out(
         parsed, "_list", F.when(is_object(doc) & inner.isNotNull(), inner).otherwise(doc)
@@ -63,6 +64,7 @@ def parse_catalogs(texts: DataFrame) -> DataFrame:
         F.when(F.col("reason").isNull(), "ok").otherwise("bad").alias("status"),
         "reason",
         F.when(F.col("reason").isNull(), items).alias("items"),
+        *keep,
     )
 
 
@@ -70,6 +72,11 @@ def catalog_packages(parsed: DataFrame) -> DataFrame:
     rows = parsed.filter(F.col("status") == "ok").select(
         "path", F.posexplode("items").alias(ORD, "_item")
     )
+    return item_packages(rows)
+
+
+def item_packages(rows: DataFrame) -> DataFrame:
+    """Package rows out of package values: ``path, ord, _item``."""
     item = F.col("_item")
     return rows.select(
         "path",

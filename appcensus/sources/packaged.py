@@ -7,7 +7,7 @@ from appcensus.functions import values as V
 from appcensus.functions.text import clean, folded, is_true_word, strip
 from appcensus.schema import APPX_SCHEMA, ENTRY_COLUMNS, GROUP, ORD, SOURCE_APPX
 from appcensus.sources.files import BOM
-from appcensus.sources.variants import fields_of, is_array, is_object, shown_text, worked_out
+from appcensus.sources.variants import fields_of, is_array, is_object, json_value, shown_text, worked_out
 
 # Fixed value: the label of this source in a report.
 SOURCE_LABEL = "Appx/MSIX packages [Windows.Management.Deployment.PackageManager, current user]"
@@ -22,7 +22,7 @@ def parse_listings(captures: DataFrame) -> DataFrame:
     body = F.ltrim(strip(F.col("text")), F.lit(BOM))
     doc = F.col("_doc")
     parsed = captures.withColumn("_blank", F.coalesce(body == "", F.lit(True)))
-    parsed = worked_out(parsed, "_doc", F.try_parse_json(body))
+    parsed = worked_out(parsed, "_doc", json_value(body))
     reason = F.when(~F.col("_blank") & doc.isNull(), "invalid JSON").when(
         ~F.col("_blank") & ~is_object(doc) & ~is_array(doc), "not a list of packages"
     )

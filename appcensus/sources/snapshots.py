@@ -20,6 +20,7 @@ from appcensus.sources.variants import (
     is_array,
     is_object,
     is_truthy,
+    json_value,
     kind,
     shown_text,
     worked_out,
@@ -59,7 +60,7 @@ def parse_snapshots(texts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """
     doc = F.col("_doc")
     items = F.col("_items")
-    parsed = worked_out(texts, "_doc", F.try_parse_json(without_bom(F.col("text"))))
+    parsed = worked_out(texts, "_doc", json_value(without_bom(F.col("text"))))
     parsed = parsed.withColumn("_is_report", is_object(doc))
     parsed = worked_out(
         parsed,

@@ -15,6 +15,21 @@ def worked_out(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def json_value(text: Column) -> Column:
+    """The value of a text that is one JSON value and nothing else.
+
+    The parser leaves alone what follows a value.  So the text becomes the first item of a list
+    whose second one no text can give by chance.
+    """
+    mark = F.xxhash64(text)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
+    pairs = F.filter(
+        F.array(F.try_variant_get(pair, "$", "array<variant>")),
+        lambda p: (F.size(p) == 2) & (F.try_variant_get(F.get(p, F.lit(1)), "$", "bigint") == mark),
+    )
+    return F.get(F.get(pairs, F.lit(0)), F.lit(0))
+
+
 def kind(value: Column) -> Column:
     """Schema name of a JSON value, such as ``OBJECT<...>`` or ``BIGINT``."""
     return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))

@@ -28,7 +28,7 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize(
     "name", ["prepare", "prepare_stats", "consecutive_diff", "catalog_match", "report_document", "report_positions",
      "diff_document_positions", "snapshot_status", "csv_rows_by_snapshot", "registry_map_typed", "collect_status",
-     "history_merge", "unmatched_checklist_positions", "listing_files", "listing_files_status", "import_document_pretty"]
+     "history_merge", "unmatched_checklist_positions", "catalog_files", "listing_files", "listing_files_status", "import_document_pretty"]
 )
 def test_same_as_sql(spark, name):
     connection = duckdb.connect()

@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 from appcensus.sources import catalog as C
 from appcensus.sources import packaged as P
 from appcensus.sources import registry as R
+from appcensus.sources.catalog_files import (
+    catalog_file_packages,
+    catalog_file_status,
+    read_catalog_items,
+)
 from appcensus.sources.collect import collect, collector_sources
 from appcensus.sources.files import CaptureError, quarantine, read_texts, require_all
 from appcensus.sources.listing_files import (
@@ -70,6 +75,10 @@ def test_bad_snapshots_are_set_aside_whole(spark):
         "ok": report([good]),
         "empty": "[]",
         "json": "{nope",
+        "json and more": report([good]) + " x",
+        "json twice": "[] []",
+        "json in two": "[],[]",
+        "json early end": "[],0] [",
         "text": '"hello"',
         "no version": json.dumps({"software": [good]}),
         "version": report([good], version="9"),
@@ -282,6 +291,52 @@ def test_listing_files_read_by_range_equal_whole_ones(spark, tmp_path):
     assert status.count() == len(files) - 1  # Spark lists no file without a byte
 
 
+def test_catalog_files_read_by_range_equal_whole_ones(spark, tmp_path):
+    def package(n):
+        more = [{}, {"note": 'a } \\" { ] [ "'}, {"tags": [{"k": [1, {}]}, []]}, {"o": {"p": {}}}, {"version": n}]
+        return {"name": f"App {n} é", "id": f"V.{n}", **more[n % 5]}
+    some = [package(n) for n in range(60)]
+    files = {
+        "large": json.dumps([package(n) for n in range(2500)], indent=1),
+        "tight": json.dumps(some, separators=(",", ":"), ensure_ascii=False) + "\n",
+        "object": json.dumps({"meta": {"a": {"b": []}}, "packages": some, "end": {"x": "}"}}),
+        "mark": "\ufeff" + json.dumps({"packages": some}),
+        "cut object": json.dumps({"packages": some})[:-1],
+        "cut mark": "\ufeff" + json.dumps({"packages": some})[:-1],
+        "cut list": json.dumps(some)[:-1],
+        "cut item": json.dumps(some)[:-2],
+        "cut text": json.dumps(some)[:-8],
+        "number": json.dumps([*some[:9], 3, *some[9:]]),
+        "first number": json.dumps([3, *some]),
+        "list": json.dumps([*some[:9], [some[0]], *some[9:]]),
+        "no id": json.dumps([*some, {"name": "x"}]),
+        "two commas": json.dumps(some[:2])[:-1] + ",," + json.dumps(some[2:4])[1:],
+        "no comma": json.dumps(some[:2])[:-1] + json.dumps(some[2:4])[1:],
+        "after": json.dumps(some) + " x",
+        "twice": json.dumps(some) * 2,
+        "escape": '[{"name":"a\\}","id":"b.c"}]',
+        "none": "[]", "no packages": '{"packages":[]}', "scalar": "5", "other": '{"none":{}}', "blank": " ",
+    }
+    for name, text in files.items():
+        (tmp_path / name.replace(" ", "_")).write_bytes(text.encode())
+    folder = str(tmp_path)
+    sizes = {"spark.sql.files.maxPartitionBytes": "16384", "spark.sql.files.openCostInBytes": "0"}
+    old = {name: spark.conf.get(name) for name in sizes}
+    for name, value in sizes.items():
+        spark.conf.set(name, value)
+    try:
+        items = read_catalog_items(spark, folder)
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    whole = C.parse_catalogs(read_texts(spark, folder))
+    expected = {r.path.rpartition("/")[2]: r.status for r in whole.collect()}
+    assert {r.path.rpartition("/")[2]: r.status for r in catalog_file_status(items).collect()} == expected
+    assert expected["object"] == expected["mark"] == expected["none"] == "ok"
+    rows = sorted(map(str, C.catalog_packages(whole).collect()))
+    assert sorted(map(str, catalog_file_packages(items).collect())) == rows and len(rows) == 2680
+
+
 def test_catalog_id_of_blanks_is_bad(spark):
     frame = spark.createDataFrame(
         [

@@ -646,6 +646,17 @@ ORACLE: dict[str, str] = {
       union all select 'listing-' || c_custkey, 'Store ' || c_custkey, 'Store.App', null, 'msstore',
         2 from c
       union all select 'listing-' || c_custkey, 'Local', 'ARP\' || c_custkey, '2.5', '', 3 from c""",
+    "catalog_files": r"""with file as (select distinct p_partkey // 500 as file from part),
+      package as (
+        select file, -1 as p_partkey, 'first' as name, 'Fix.ed' as package_id, null as version from file
+        union all
+        select p_partkey // 500, p_partkey, p_name, 'Part.' || p_partkey, p_size::varchar from part)
+      select file, name, package_id, version, '' as source,
+        row_number() over (partition by file order by p_partkey) - 1 as ord
+      from package where file % 7 <> 6 and file % 11 <> 10""",
+    "catalog_files_status": r"""select distinct p_partkey // 500 as file,
+        case when p_partkey // 500 % 7 = 6 or p_partkey // 500 % 11 = 10 then 'bad' else 'ok' end as status
+      from part""",
     "listing_files": r"""with c as (select c_custkey, c_name, c_custkey // 1000 as listing from customer),
       line as (
         select listing, c_custkey, 0 as pos, c_name as name, 'Firm.' || c_custkey as package_id,

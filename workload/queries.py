@@ -22,6 +22,7 @@ from appcensus.plans.prepare import in_report_order, prepare, prepare_stats, wri
 from appcensus.schema import ENTRY_COLUMNS, GROUP, ORD
 from appcensus.session import tune
 from appcensus.sources import catalog as C
+from appcensus.sources import catalog_files as J
 from appcensus.sources import listing_files as L
 from appcensus.sources import packaged, registry, snapshots
 from appcensus.sources.collect import collect, collect_status, collector_sources
@@ -206,6 +207,26 @@ def listing_files_status(spark, sf):
     return _listing_number(L.listing_file_status(spark, *_listing_files(spark, sf)))
 
 
+def _catalog_items(spark, sf):
+    folder = f"{shared_folder(spark)}/catalogs-{uuid.uuid4().hex}"
+    views.catalog_files(spark, sf, folder)
+    return J.read_catalog_items(spark, folder)
+
+
+def _file_number(df):
+    number = F.regexp_extract("path", "file=([0-9]+)/", 1).cast("bigint")
+    return df.withColumn("file", number).drop("path")
+
+
+def catalog_files(spark, sf):
+    """Packages of JSON catalog files that are read by byte range."""
+    return _file_number(J.catalog_file_packages(_catalog_items(spark, sf)))
+
+
+def catalog_files_status(spark, sf):
+    return _file_number(J.catalog_file_status(_catalog_items(spark, sf))).select("file", "status")
+
+
 def catalog_importable(spark, sf):
     return M.importable_packages(views.catalog(spark, sf))
 
@@ -482,6 +503,8 @@ QUERIES = {
     "catalog_read": catalog_read,
     "catalog_status": catalog_status,
     "listing_parse": listing_parse,
+    "catalog_files": catalog_files,
+    "catalog_files_status": catalog_files_status,
     "listing_files": listing_files,
     "listing_files_status": listing_files_status,
     "catalog_importable": catalog_importable,

@@ -358,6 +358,33 @@ def listing_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
     rows.select("listing", F.col("col").alias("value")).write.partitionBy("listing").text(folder)
 
 
+def catalog_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Parts as JSON catalog files below ``folder``, five hundred to a file, a package to a line.
+
+    Every third file is an object with a list, every seventh has a package without id, and
+    every eleventh ends early.
+    """
+    file = "cast(p_partkey div 500 as int)"
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    package = (
+        "concat(',{\"name\":\"', p_name, '\",\"id\":\"Part.', p_partkey, '\",\"version\":', p_size,"
+        " ',\"note\":\"} \\\\\" {', case when p_partkey % 2 = 0 then '\",\"tags\":[{\"k\":[{}]}]}' else '\"}' end)"
+    )
+    body = parts.select(F.expr(file).alias("file"), "p_partkey", F.expr(package).alias("value"))
+    top = (
+        f"concat(case when {file} % 3 = 2 then '{{\"made\":{{\"by\":{{}}}},\"packages\":' else '' end,"
+        f" '[{{\"name\":\"first\"', case when {file} % 7 = 6 then '' else ',\"id\":\"Fix.ed\"' end, '}}')"
+    )
+    bottom = f"concat(case when {file} % 11 = 10 then '' else ']' end, case when {file} % 3 = 2 then '}}' else '' end)"
+    firsts = parts.select((F.expr(file) * 500).alias("p_partkey")).distinct()
+    frame = firsts.select(
+        F.expr(file).alias("file"),
+        F.posexplode(F.array(F.expr(top), F.expr(bottom))).alias("pos", "value"),
+    ).select("file", F.when(F.col("pos") == 0, -1).otherwise(2**62).alias("p_partkey"), "value")
+    rows = spread(frame.unionByName(body), "file").sortWithinPartitions("file", "p_partkey")
+    rows.select("file", "value").write.partitionBy("file").text(folder)
+
+
 def registry_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured rows of the fleet as single registry values."""
     values = {
