@@ -183,3 +183,11 @@ def test_rows_without_position_or_host_survive(spark):
     assert sum(raw for raw, _ in counts.values()) == 3
     assert all(gone == 0 for _, gone in counts.values())
     assert None in counts and "" not in counts
+
+
+def test_dedupe_shuffles_no_field_twice(spark):
+    """The order of the copies and their fields are one value."""
+    rows = fleet(spark, [entry("App", 1), entry("app", 2, registry_path="a")])
+    plan = deduplicate(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "min_by" not in plan and "min(" in plan
+    assert [r.registry_path for r in deduplicate(rows).collect()] == ["a"]

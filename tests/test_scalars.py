@@ -197,3 +197,29 @@ def test_identity(spark):
     assert [tuple(r) for r in got] == [
         ("app", "pub", "c:\\x"), ("appx:fam", "", "32-bit"), ("app", "", ""),
     ]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dates_run_each_step_once(spark):
+    raw = spark.createDataFrame([("1-2-2026",), ("\t2026/7/17\n",), ("2026-7-5",), ("x20x260717",), ("7/17/1979",)], "v string")
+    out = raw.repartition(1).select(V.install_date(F.col("v")).alias("day"))
+    assert [r.day for r in out.collect()].count(None) == 2
+    assert {r.day for r in out.collect()} == {"2026-02-01", "2026-07-17", None}
+    assert _plan(out).count("regexp_replace") == 4
+
+
+def test_texts_without_white_space_at_their_ends_are_passed_on(spark):
+    values = ["a b", " a", "a　", "é", "", None, "\x7fa", "a\x85", "KB"]
+    assert scalar(spark, X.strip, values) == ["a b", "a", "a", "é", "", None, "\x7fa", "a", "KB"]
+    rows = spark.createDataFrame([("a",)], "v string").repartition(1)
+    assert "ascii" in _plan(rows.select(X.strip(F.col("v")))).lower()
+
+
+def test_sizes_are_read_once(spark):
+    values = ["-0", "-0_0", "-1", "+1_0", "1__0", "99999999999999999999"]
+    assert scalar(spark, V.size_kb, values) == [0, 0, None, 10, None, None]
+    rows = spark.createDataFrame([("1",)], "v string").repartition(1)
+    assert _plan(rows.select(V.size_kb(F.col("v")).alias("kb"))).count("RLIKE") == 1
