@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from appcensus.functions.text import clean
 from appcensus.functions.values import INTEGER_TEXT
+from appcensus.operators.durable import durable
 from appcensus.schema import (
     ENTRY_COLUMNS,
     GROUP,
@@ -100,11 +101,15 @@ def parse_snapshots(texts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def _named(field: str) -> Column:
+    return F.coalesce(clean(F.col(field)), F.col("path"))
+
+
 def snapshot_table(parsed: DataFrame) -> DataFrame:
     """One row per usable file.  A bare array is known by its path."""
     return parsed.filter(F.col("status") == "ok").select(
-        F.coalesce(clean(F.col("scan.hostname")), F.col("path")).alias("host"),
-        F.coalesce(clean(F.col("scan.started_at")), F.col("path")).alias("snapshot_id"),
+        _named("scan.hostname").alias("host"),
+        _named("scan.started_at").alias("snapshot_id"),
         F.try_to_timestamp(F.col("scan.started_at")).alias("scan_ts"),
         "path",
         "scan",
@@ -135,9 +140,15 @@ def unique_snapshots(table: DataFrame) -> DataFrame:
 
 
 def snapshot_status(parsed: DataFrame) -> DataFrame:
-    """``path, status, reason`` of every file: ok, bad, or repeated."""
-    again = _repeated(snapshot_table(parsed)).withColumnRenamed("path", "_path")
-    marked = parsed.join(again, F.col("path") == F.col("_path"), "left")
+    """``path, status, reason`` of every file: ok, bad, or repeated.
+
+    Files are parsed once, and what is told of them is written down.
+    """
+    names = {"host": _named("scan.hostname"), "snapshot_id": _named("scan.started_at")}
+    told = parsed.select("path", "status", "reason", *[value.alias(name) for name, value in names.items()])
+    told = durable(told)
+    again = _repeated(told.filter(F.col("status") == "ok")).withColumnRenamed("path", "_path")
+    marked = told.join(again, F.col("path") == F.col("_path"), "left")
     repeats = F.col("repeats").isNotNull()
     return marked.select(
         "path",

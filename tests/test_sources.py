@@ -18,7 +18,8 @@ from appcensus.sources.listing_files import (
     listing_file_status,
     read_listing_lines,
 )
-from appcensus.sources.snapshots import parse_snapshots, snapshot_entries, snapshot_table
+from appcensus.sources.snapshots import parse_snapshots, snapshot_entries, snapshot_status, snapshot_table
+from appcensus.sources.variants import is_array, is_object
 
 
 def texts(spark, files):
@@ -349,3 +350,44 @@ def test_catalog_id_of_blanks_is_bad(spark):
     )
     status = {r.path: r.status for r in C.parse_catalogs(frame).collect()}
     assert status == {"a": "bad", "b": "ok", "c": "ok", "d": "ok"}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_status_of_snapshots_parses_files_once(spark):
+    files = texts(spark, {
+        "a": report([{"name": "A"}], hostname="h", started_at="t"), "b": report([], hostname="h", started_at="t"),
+        "c": "[]", "d": "{",
+    })
+    out = snapshot_status(parse_snapshots(files))
+    assert "parse_json" not in _plan(out)
+    assert {(r.path, r.status, r.reason) for r in out.collect()} == {
+        ("a", "ok", None), ("b", "repeated", "the same snapshot is in a"), ("c", "ok", None), ("d", "bad", "invalid JSON"),
+    }
+
+
+def test_kinds_of_values_without_their_schema(spark):
+    given = ["{}", '{"b":[1]}', "[]", '[{"a":1}]', "null", "1", '"{}"', None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").repartition(1)
+    value = F.try_parse_json("t")
+    out = rows.select("i", is_object(value).alias("o"), is_array(value).alias("a"))
+    assert "schema_of_variant" not in _plan(out)
+    assert [(r.o, r.a) for r in out.orderBy("i").collect()] == [
+        (True, False), (True, False), (False, True), (False, True), *[(False, False)] * 4,
+    ]
+
+
+def test_registry_values_are_gathered_by_number_first(spark):
+    rows = [("h", "s", view, "k", n, "DisplayName", f"{view} {n}") for view in (0, 1) for n in (1, 2)]
+    rows.append((None, "s", 0, "k", 1, "Publisher", None))
+    captured = spark.createDataFrame(
+        rows, "host string, snapshot_id string, view int, sub_name string, key_ord bigint, value_name string, value string"
+    )
+    keys = R.gather_values(captured.repartition(2))
+    assert keys.columns == ["host", "snapshot_id", "view", "sub_name", "key_ord", *R.VALUE_NAMES]
+    assert {(r.host, r.view, r.key_ord, r.DisplayName) for r in keys.collect()} == {
+        *[("h", view, n, f"{view} {n}") for view in (0, 1) for n in (1, 2)], (None, 0, 1, None),
+    }
+    assert "Aggregate [key_ord" in _plan(keys)
