@@ -108,3 +108,21 @@ def test_replaced_folders_are_not_read(spark, tmp_path):
         write_history(scan(spark, "a", "s1", "2026-01-01 01:00:00", ["X"]), path)
     plan = History(spark, path).rows()._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan
+
+
+def test_history_query_prepares_its_rows_once(spark, monkeypatch):
+    from workload import queries
+
+    rows = [(entry(f"App {year}", year), datetime(year, 1, 1)) for year in (1993, 1994, 1996, 1999)]
+    frame = fleet(spark, [row for row, _ in rows])
+    times = spark.createDataFrame([(row["ord"], time) for row, time in rows], "ord bigint, scan_ts timestamp")
+    frame = frame.join(times, "ord")
+    merged = []
+    merge = History.merge
+    monkeypatch.setattr(queries.views, "fleet", lambda spark, sf: frame)
+    monkeypatch.setattr(History, "merge", lambda self, part: (merged.append(part), merge(self, part)))
+    assert queries.history_merge(spark, "none").count() == 4
+    assert len(merged) == 3
+    for part in merged:
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and "Join" not in plan
