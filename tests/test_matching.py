@@ -238,3 +238,54 @@ def test_next_free_package(spark):
     assert {(r.host, r.position): r.low for r in got.collect()} == {
         (h, p): walk(h, p, slot) for h, _, _, p, slot in refused
     }
+
+
+def displaced(k, shared):
+    """Each application takes the package of the next one; the first has two takers."""
+    packages = [package(f"app{i:02}x", f"I.{i}") for i in range(k)]
+    if shared:
+        packages = [package(f"app{i:02}x", f"I.{j}") for i in range(k) for j in (i, i + 1)]
+    rows = [entry(f"app{i:02}x", i) for i in range(k)] + [entry("app00x", k, registry_path="z")]
+    rows += [entry("app", k + 1 + i, registry_path=f"p{i}") for i in range(3)]
+    return rows, packages
+
+
+@pytest.mark.parametrize("shared", [False, True])
+@pytest.mark.parametrize("folded", [True, False])
+def test_displaced_applications(spark, monkeypatch, shared, folded):
+    """Chains of displaced applications take no round for each link; larger snapshots go on in rounds."""
+    rounds = []
+    answers = matching._answers
+    monkeypatch.setattr(matching, "_answers", lambda *a: rounds.append(1) or answers(*a))
+    if not folded:
+        monkeypatch.setattr(matching, "FOLDED_ROWS", 0)
+    rows, packages = displaced(6 if folded else 4, shared)
+    KEY_OF.update({row["name"]: row["name"] for row in rows})
+    out = match_catalog(fleet(spark, rows), catalog(spark, packages)).collect()
+    expected = one_by_one(rows, packages)
+    assert {r.ord: r.package_id and (r.package_id, r.package_name, r.package_version) for r in out} == expected
+    assert not folded or len(rounds) <= 1
+
+
+def test_lists_that_were_cut_too_short_are_read_further(spark, monkeypatch):
+    monkeypatch.setattr(matching, "_SPARE", 0)
+    monkeypatch.setattr(matching, "_FURTHER", 2)
+    packages = [package(name, f"I.{i}") for name in ("first", "second") for i in range(9)]
+    rows = [entry("first", i, registry_path=f"p{i}") for i in range(8)] + [entry("second", 9), entry("second", 10)]
+    KEY_OF.update({row["name"]: row["name"] for row in rows})
+    out = match_catalog(fleet(spark, rows), catalog(spark, packages)).collect()
+    expected = one_by_one(rows, packages)
+    assert {r.ord: r.package_id and (r.package_id, r.package_name, r.package_version) for r in out} == expected
+
+
+def test_too_large_snapshots_go_on_in_rounds(spark, monkeypatch):
+    """Of two snapshots one is dealt out whole, the other one is above the bound."""
+    monkeypatch.setattr(matching, "FOLDED_ROWS", 60)
+    rows, packages = displaced(3, True)
+    rows = [{**row, "host": "small"} for row in rows[:2]] + [{**row, "host": "large"} for row in rows]
+    KEY_OF.update({row["name"]: row["name"] for row in rows})
+    out = match_catalog(fleet(spark, rows), catalog(spark, packages)).collect()
+    for host in ("small", "large"):
+        expected = one_by_one([row for row in rows if row["host"] == host], packages)
+        got = {r.ord: r.package_id and (r.package_id, r.package_name, r.package_version) for r in out if r.host == host}
+        assert got == expected
