@@ -223,3 +223,12 @@ def test_sizes_are_read_once(spark):
     assert scalar(spark, V.size_kb, values) == [0, 0, None, 10, None, None]
     rows = spark.createDataFrame([("1",)], "v string").repartition(1)
     assert _plan(rows.select(V.size_kb(F.col("v")).alias("kb"))).count("RLIKE") == 1
+
+
+def test_dates_of_ascii_alone_take_one_step(spark):
+    """A text that is not all ASCII counts digits of any script, the others go through one pattern."""
+    values = ["1/2/2026", "2026/1/2", "1-2-2026", "01/02/2015", "2026年07月17日", "２0260717", "20260717７", "a2b0c2d6e0f7g1h7i", "1/2-2026"]
+    days = ["2026-01-02", "2026-01-02", "2026-02-01", None, "2026-07-17", None, None, "2026-07-17", None]
+    assert scalar(spark, V.install_date, values) == days
+    rows = spark.createDataFrame([("1",)], "v string").repartition(1)
+    assert "octet_length" in _plan(rows.select(V.install_date(F.col("v")).alias("day")))
